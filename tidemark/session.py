@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # a malformed CSV row must be noticed even when its bad column is not selected
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 

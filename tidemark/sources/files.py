@@ -47,6 +47,9 @@ def read_options(filetype: str) -> dict[str, str]:
     options = text_options(filetype)
     if filetype in ("csv", "json"):
         options["mode"] = "FAILFAST"
+    if filetype == "csv":
+        # an empty cell is null, a quoted empty one is an empty text
+        options["nullValue"] = "\u0000"
     return options
 
 
