@@ -20,7 +20,7 @@ from tidemark.functions.requests import DEFAULT_BOOKMARK_FORMAT, bookmark_text,
 from tidemark.operators.changes import EPOCH, bookmark_literal
 from tidemark.operators.pages import cut_pages
 from tidemark.operators.records import (
-    RESPONSE_SCHEMA, accept, decode, explode_records, first_schema, is_accepted, with_selection,
+    RESPONSE_SCHEMA, BadResponse, decode, explode_records, first_schema, is_accepted, with_selection,
 )
 
 # fetch(request) -> (status, body text); a request is a dict with the keys
@@ -211,16 +211,20 @@ def poll(
     landed = spark.read.schema(RESPONSE_SCHEMA).parquet(*[f"{land}/{n}" for n in storage.list_names(spark, land)])
     if source.pagination != "none":
         landed = cut_pages(landed, facts, source.page_size, limit)
+        facts = cut_pages(facts, facts, source.page_size, limit)
     return _judge(landed, facts, source)
 
 
 def _judge(landed: DataFrame, facts: DataFrame, source: ApiSource) -> DataFrame:
-    """Apply the failure policy: refused responses stop the job, or drop the
-    endpoint from this poll."""
+    """Apply the failure policy: a refused response stops the poll, or drops
+    its endpoint from this poll."""
+    refused = facts.where(~F.col("accepted")).select("endpoint", "page")
     if source.on_fail == "stop":
-        return accept(landed, "stop")
-    refused = landed.where(~is_accepted(F.col("status"), F.col("body"))).select("endpoint").distinct()
-    return landed.join(refused, "endpoint", "left_anti")
+        first = refused.first()
+        if first is not None:
+            raise BadResponse(f"response of {first['endpoint']} page {first['page']} refused")
+        return landed
+    return landed.join(refused.select("endpoint"), "endpoint", "left_anti")
 
 
 def continue_cursors(responses: DataFrame, source: ApiSource) -> DataFrame:
