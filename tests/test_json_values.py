@@ -76,3 +76,20 @@ def test_counts_and_records(spark):
     df = spark.createDataFrame(texts, "t string").select(J.parse(F.col("t")).alias("v"))
     got = df.select(J.record_count(F.col("v")), F.size(J.as_records(F.col("v")))).collect()
     assert [tuple(r) for r in got] == [(3, 3), (1, 1), (0, 0), (1, 1)]
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [
+        ('{"a":1}', True), ("[1,2]", True), ("5", True), ('"x"', True), (" null \n", True), ("[]", True), ("{}", True),
+        ('{"a":1}]', False), ('{"a":1}}', False), ('{"a":1},"x":2', False), ('{"a":1},{"a":2}', False), ("1 2", False),
+        ("1],[2", False), ('1,"value":2', False), ("", False), ("   ", False), ("1]", False), ("{broken", False), (None, False),
+        ("1,", False), ("nul", False), ('{"a":1} x', False), ("1] }", False), ("1} ]", False),
+    ],
+)
+def test_is_json(spark, text, valid):
+    assert spark.createDataFrame([(text,)], "t string").select(J.is_json(F.col("t"))).first()[0] is valid
+
+
+def test_repeated_members_count_once(spark):
+    assert select(spark, '{"a":1,"a":2}', ["a"]) == "2"

@@ -27,10 +27,25 @@ def json_path(keys: Sequence[str]) -> str:
 
 
 def parse(body: Column) -> Column:
-    """Text to variant; null when the text is not JSON."""
+    """Text to variant; null when the text does not begin with JSON.
+
+    What follows the first value is not looked at; `is_json` judges whole texts.
+    """
     return F.try_parse_json(body)
 
 
+def is_json(body: Column) -> Column:
+    """True when the whole text is exactly one JSON value.
+
+    The text must parse both as the only item of an array and as the only
+    member of an object: any trailing text breaks at least one of the two.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"value":'), body, F.lit("}")))
+    one_item = F.size(as_items(in_array)) == 1
+    return F.coalesce(one_item & in_object.isNotNull(), F.lit(False))
+
+
 def as_items(value: Column, keys: Sequence[str] = ()) -> Column:
     """The elements of an array value, or null when it is no array."""
     return F.try_variant_get(value, json_path(keys), "array<variant>")

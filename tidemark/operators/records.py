@@ -26,7 +26,7 @@ class BadResponse(ValueError):
 
 def is_accepted(status: Column, body: Column) -> Column:
     """True for a status in 200-299 with a body that is JSON."""
-    return F.coalesce(status.between(200, 299) & J.parse(body).isNotNull(), F.lit(False))
+    return F.coalesce(status.between(200, 299) & J.is_json(body), F.lit(False))
 
 
 def accept(responses: DataFrame, on_fail: str = "stop") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # bookmarks and formatted timestamps are UTC
     "spark.sql.session.timeZone": "UTC",
+    # a repeated member of a JSON object: the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # runtime re-planning: broadcast only after measuring, split skewed
     # partitions, merge small ones
     "spark.sql.adaptive.enabled": "true",

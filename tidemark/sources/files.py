@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -50,6 +52,9 @@ def read_options(filetype: str) -> dict[str, str]:
     if filetype == "csv":
         # an empty cell is null, a quoted empty one is an empty text
         options["nullValue"] = "\u0000"
+        # texts may hold line breaks; set to false for single-line data, so
+        # that large files can be split
+        options["multiLine"] = "true"
     return options
 
 
@@ -180,14 +185,19 @@ def stream_file_names(spark: SparkSession, source: FileSource) -> DataFrame:
 def split_unreadable(
     spark: SparkSession, paths: list[str], source: FileSource, schema: T.StructType
 ) -> tuple[list[str], list[str]]:
-    """(readable, unreadable) files, found by reading ever smaller halves.
+    """(readable, unreadable) files of a batch whose read has failed.
 
-    Runs only after a read has failed; each probe is a distributed scan into
-    the no-op sink.
+    Malformed text is found with one scan; files that cannot be opened or
+    decoded at all by reading ever smaller halves. Every probe is distributed.
     """
+    unreadable: set[str] = set()
+    if source.filetype in ("csv", "json"):
+        try:
+            unreadable = _malformed(spark, paths, source, schema)
+        except Exception:  # a file that is no text table at all
+            unreadable = set()
     readable: list[str] = []
-    unreadable: list[str] = []
-    pending = [paths]
+    pending = [[path for path in paths if path not in unreadable]]
     while pending:
         group = pending.pop()
         if not group:
@@ -198,8 +208,30 @@ def split_unreadable(
             readable += group
         except Exception:  # any read error marks the group
             if len(group) == 1:
-                unreadable += group
+                unreadable.update(group)
             else:
                 middle = len(group) // 2
                 pending += [group[middle:], group[:middle]]
     return sorted(readable), sorted(unreadable)
+
+
+def _malformed(spark: SparkSession, paths: list[str], source: FileSource, schema: T.StructType) -> set[str]:
+    """Files with at least one row that does not fit the schema."""
+    corrupt = "_corrupt_row"
+    options = {**source.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    wide = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType(), True)])
+    rows = read_files(spark, paths, source.filetype, wide, options)
+    # the hash keeps every column in the scan, so every value is checked
+    checked = rows.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col(corrupt).isNotNull().alias("bad"),
+        F.xxhash64(*[f"`{name}`" for name in schema.names]).alias("digest"),
+    )
+    per_file = checked.groupBy("path").agg(F.max("bad").alias("bad"), F.max("digest").alias("digest"))
+    found = {_plain_path(row["path"]) for row in per_file.collect() if row["bad"]}
+    return {path for path in paths if _plain_path(path) in found}
+
+
+def _plain_path(path: str) -> str:
+    """A path without scheme, authority and URL encoding."""
+    return unquote(re.sub("^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", path))
