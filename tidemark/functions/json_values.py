@@ -6,7 +6,7 @@ shuffle: one response is one row, and its nested parts are handled in that row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -76,12 +76,20 @@ def find(value: Column, keys: Sequence[str], levels: int = MAX_ARRAY_LEVELS) ->
         if levels == 0:
             options.append(_refuse_deeper(member(value, keys[:depth]) if depth else value))
             continue
-        found = F.transform(items, _finder(rest, levels - 1))
-        whole = F.forall(found, lambda item: item.isNotNull())
-        options.append(F.when(whole, F.to_variant_object(found)))
+        options.append(let(F.transform(items, _finder(rest, levels - 1)), _when_whole))
     return F.coalesce(*options)
 
 
+def let(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """`expression` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), expression), 1)
+
+
+def _when_whole(found: Column) -> Column:
+    whole = F.forall(found, lambda item: item.isNotNull())
+    return F.when(whole, F.to_variant_object(found))
+
+
 def _finder(keys: list[str], levels: int):
     return lambda item: find(item, keys, levels)
 
@@ -105,13 +113,7 @@ def record_count(value: Column) -> Column:
 
 def as_text(value: Column) -> Column:
     """Strings raw, other values as JSON text, JSON null as null."""
-    is_string = F.schema_of_variant(value) == "STRING"
-    is_null = F.schema_of_variant(value) == "VOID"
-    return (
-        F.when(is_null, F.lit(None).cast("string"))
-        .when(is_string, F.variant_get(value, "$", "string"))
-        .otherwise(F.to_json(value))
-    )
+    return F.variant_get(value, "$", "string")
 
 
 def cursor_value(

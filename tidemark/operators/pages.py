@@ -41,14 +41,10 @@ def follow_cursors(links: DataFrame, page_size: int, max_requests: int = 100) ->
     """
     if max_requests < 1:
         raise ValueError("max_requests must be at least 1")
+    keys = storage.materialize(links.select("endpoint", "cursor", "next_cursor", "records"), "cursor-links")
     walkable = F.col("next_cursor").isNotNull() & (F.col("records") >= page_size)
-    jumps = storage.materialize(
-        links.where(walkable).select(
-            "endpoint", F.col("cursor").alias("here"), F.col("next_cursor").alias("there")
-        ),
-        "cursor-jumps",
-    )
-    known = storage.materialize(links.select("endpoint", F.col("cursor").alias("page_cursor")), "cursor-pages")
+    jumps = keys.where(walkable).select("endpoint", F.col("cursor").alias("here"), F.col("next_cursor").alias("there"))
+    known = keys.select("endpoint", F.col("cursor").alias("page_cursor"))
     reached = known.where("page_cursor is null").select(
         "endpoint", F.col("page_cursor").alias("cursor"), F.lit(0).cast("bigint").alias("step")
     )

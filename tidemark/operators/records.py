@@ -52,9 +52,12 @@ def reject(responses: DataFrame) -> DataFrame:
 
 
 def with_selection(responses: DataFrame, select: Sequence[str] | None = None) -> DataFrame:
-    """Replace `body` by `selected`, the part of each response that holds the data."""
-    selected = J.select_field(J.parse(F.col("body")), select)
-    return responses.withColumn("selected", selected).drop("body")
+    """Replace `body` by `selected`, the part of each response that holds the data.
+
+    Parsing is a projection of its own, so that a body is parsed once.
+    """
+    parsed = responses.withColumn("body", J.parse(F.col("body")))
+    return parsed.withColumn("selected", J.select_field(F.col("body"), select)).drop("body")
 
 
 def explode_records(selections: DataFrame) -> DataFrame:

@@ -178,8 +178,8 @@ def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cursor_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id of each page's first and last record as the next cursor."""
     pages = _pages_of(spark, sf_dir, F.struct(F.struct(F.col("event_id").alias("id")).alias("meta")))
-    value = J.parse(F.col("body"))
-    return pages.select(
+    value = F.col("value")
+    return pages.withColumn("value", J.parse(F.col("body"))).select(
         "endpoint", "page",
         J.cursor_value(value, ["meta", "id"], "first").alias("first_cursor"),
         J.cursor_value(value, ["meta", "id"], "last").alias("last_cursor"),

@@ -41,7 +41,7 @@ _ACTION = """
 _NEED_CONNECTOR = ("deletionVectors", "columnMapping", "v2Checkpoint")
 
 _CHECKPOINT = re.compile(r"^(\d{20})\.checkpoint(\.\d{10}\.\d{10})?\.parquet$")
-_COMMIT = re.compile(r"^(\d{20})\.json$")
+_LAST_VERSION = 10**20 - 1
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def has_connector(spark: SparkSession) -> bool:
 
 
 def _version(name: Column) -> Column:
-    return F.regexp_extract(name, r"(\d{20})\.", 1).cast("bigint")
+    return F.try_to_number(F.regexp_extract(name, r"(\d{20})\.json$", 1), F.lit("9" * 20)).cast("bigint")
 
 
 def _log_path(path: str) -> str:
@@ -83,28 +83,31 @@ def _log_path(path: str) -> str:
 def read_log(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """Actions of the log up to `version`, each with its commit version.
 
-    Starts at the newest usable checkpoint and adds the later JSON commits.
+    Starts at the newest usable checkpoint and adds the later JSON commits. The
+    log directory is read as one table; the range of commit names prunes files.
     """
-    names = storage.list_names(spark, _log_path(path))
-    if any(".checkpoint." in n and n.endswith((".parquet", ".json")) and not _CHECKPOINT.match(n) for n in names):
-        raise ValueError("this log has checkpoints only a connector can read")
-    top = version if version is not None else 2**62
-    checkpoints = [n for n in names if (m := _CHECKPOINT.match(n)) and int(m.group(1)) <= top]
-    base = max((int(n[:20]) for n in checkpoints), default=-1)
-    commits = [n for n in names if (m := _COMMIT.match(n)) and base < int(m.group(1)) <= top]
-    parts = []
-    if base >= 0:
-        files = [f"{_log_path(path)}/{n}" for n in checkpoints if int(n[:20]) == base]
-        parts.append(spark.read.schema(_ACTION).parquet(*files).withColumn("version", F.lit(base).cast("bigint")))
-    if commits:
-        parts.append(
-            spark.read.schema(_ACTION)
-            .json([f"{_log_path(path)}/{n}" for n in commits])
-            .withColumn("version", _version(F.col("_metadata.file_name")))
-        )
-    if not parts:
+    folder = _log_path(path)
+    if not storage.exists(spark, folder):
         raise FileNotFoundError(f"no commit log in {path}")
-    return reduce(DataFrame.unionByName, parts)
+    names = storage.matching_names(spark, f"{folder}/*.checkpoint*")
+    if any(not _CHECKPOINT.match(n) for n in names if n.endswith((".parquet", ".json"))):
+        raise ValueError("this log has checkpoints only a connector can read")
+    top = _LAST_VERSION if version is None else version
+    versions = [int(n[:20]) for n in names if _CHECKPOINT.match(n) and int(n[:20]) <= top]
+    base = max(versions, default=-1)
+    commit_name = F.col("_metadata.file_name")
+    commits = (
+        spark.read.schema(_ACTION).option("pathGlobFilter", "*.json").json(folder)
+        .where((commit_name > f"{max(base, 0):020d}.json") | F.lit(base < 0))
+        .where(commit_name <= f"{top:020d}.json")
+        .withColumn("version", _version(commit_name))
+        .where("version is not null")
+    )
+    if base < 0:
+        return commits
+    files = [f"{folder}/{n}" for n in names if _CHECKPOINT.match(n) and int(n[:20]) == base]
+    state = spark.read.schema(_ACTION).parquet(*files).withColumn("version", F.lit(base).cast("bigint"))
+    return state.unionByName(commits)
 
 
 def live_files(log: DataFrame) -> DataFrame:

@@ -156,15 +156,20 @@ def page_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
     A refused response counts as shorter than any page, so it ends its
     endpoint's sequence.
     """
-    value = J.parse(F.col("body"))
-    accepted = is_accepted(F.col("status"), F.col("body"))
-    records = F.when(accepted, J.record_count(J.select_field(value, source.select_field))).otherwise(-1)
+    judged = responses.select(
+        "endpoint", "page", "cursor",
+        is_accepted(F.col("status"), F.col("body")).alias("accepted"), J.parse(F.col("body")).alias("value"),
+    )
     following = F.lit(None).cast("string")
     if source.cursor_field:
-        following = F.when(accepted, J.cursor_value(value, source.cursor_field, source.cursor_record))
-    return responses.select(
-        "endpoint", "page", "cursor",
-        accepted.alias("accepted"), records.alias("records"), following.alias("next_cursor"),
+        following = J.cursor_value(F.col("value"), source.cursor_field, source.cursor_record)
+    facts = judged.withColumns(
+        {"selected": J.select_field(F.col("value"), source.select_field), "next_cursor": following}
+    )
+    records = F.when(F.col("accepted"), J.record_count(F.col("selected"))).otherwise(-1)
+    return facts.select(
+        "endpoint", "page", "cursor", "accepted", records.alias("records"),
+        F.when(F.col("accepted"), F.col("next_cursor")).alias("next_cursor"),
     )
 
 

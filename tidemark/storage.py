@@ -33,6 +33,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(jpath))
 
 
+def matching_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files a glob pattern matches."""
+    fs, jpattern = _locate(spark, pattern)
+    return sorted(status.getPath().getName() for status in fs.globStatus(jpattern) or [])
+
+
 def make_dir(spark: SparkSession, path: str) -> str:
     fs, jpath = _locate(spark, path)
     fs.mkdirs(jpath)
