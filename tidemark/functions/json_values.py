@@ -143,5 +143,9 @@ def _find_in_record(value: Column, keys: list[str], index: int, levels: int) ->
             options.append(_refuse_deeper(member(value, keys[:depth]) if depth else value))
             continue
         item = F.try_element_at(as_items(value, keys[:depth]), F.lit(index))
-        options.append(_find_in_record(item, keys[depth:], index, levels - 1))
+        options.append(let(item, _record_finder(keys[depth:], index, levels - 1)))
     return F.coalesce(*options)
+
+
+def _record_finder(keys: list[str], index: int, levels: int) -> Callable[[Column], Column]:
+    return lambda item: _find_in_record(item, keys, index, levels)

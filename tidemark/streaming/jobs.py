@@ -12,10 +12,11 @@ import logging
 import uuid
 from collections import Counter
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -68,32 +69,52 @@ class TableJob:
         self.reports.append(Report(table, batch_id, action, str(detail)))
 
     def deliver(self, rows: DataFrame, batch_id: int) -> None:
-        """Write one batch to every running destination.
+        """Write one batch to every running destination, all at the same time.
 
-        The rows are kept for the time of the batch when more than one
-        destination reads them.
+        The rows are kept for the time of the batch when several destinations
+        read them and reading means parsing text; columnar files are cheaper to
+        read again than to keep.
         """
         running = [sink for sink in self.sinks if sink.name not in self.stopped]
-        keep = self.cache if self.cache is not None else len(running) > 1
+        keep = self.cache if self.cache is not None else len(running) > 1 and _parses_text(self.source)
         if keep:
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if _read_or_fail(rows.isEmpty):
                 return
             merged = _read_or_fail(lambda: merge_schemas(self.schema, rows.schema))
-            for sink in running:
-                try:
-                    sink.write(rows, self.job, batch_id)
-                except Exception as problem:
-                    _read_or_fail(lambda: rows.write.format("noop").mode("overwrite").save())
-                    self.report(sink.name, batch_id, sink.on_fail, problem)
-                    if sink.on_fail == "stop":
-                        self.stopped.add(sink.name)
+            failures = self._write_all(running, rows, batch_id)
+            if failures:
+                # is it the destination that failed, or the rows?
+                _read_or_fail(lambda: rows.write.format("noop").mode("overwrite").save())
+            for sink, problem in failures:
+                self.report(sink.name, batch_id, sink.on_fail, problem)
+                if sink.on_fail == "stop":
+                    self.stopped.add(sink.name)
             self.schema = merged
         finally:
             if keep:
                 rows.unpersist()
 
+    def _write_all(self, running: Sequence[Sink], rows: DataFrame, batch_id: int) -> list[tuple[Sink, Exception]]:
+        def write(sink: Sink) -> Exception | None:
+            try:
+                sink.write(rows, self.job, batch_id)
+            except Exception as problem:
+                return problem
+            return None
+
+        if len(running) == 1:
+            outcomes = [write(running[0])]
+        else:
+            with ThreadPoolExecutor(max(1, len(running))) as pool:
+                outcomes = list(pool.map(inheritable_thread_target(rows.sparkSession)(write), running))
+        return [(sink, problem) for sink, problem in zip(running, outcomes) if problem is not None]
+
+
+def _parses_text(source: Source) -> bool:
+    return isinstance(source, FileSource) and source.filetype in ("csv", "json")
+
 
 def _read_or_fail(action: Callable):
     try:
