@@ -60,7 +60,7 @@ def answers():
 
 
 def poll_rows(spark, name, **settings):
-    settings.setdefault("one_request", True)
+    settings = {"one_request": True, "parallelism": 2, **settings}
     source = ApiSource("t", endpoints(spark, *([name] if isinstance(name, str) else name)), answers(), **settings)
     return P.rows_of(P.poll(spark, source), source)
 
@@ -100,7 +100,7 @@ def test_cursor(spark):
 
 
 def test_bookmark_in_the_body(spark):
-    source = ApiSource("t", endpoints(spark, "/bookmark_user"), answers(), bookmark_key="updated_after")
+    source = ApiSource("t", endpoints(spark, "/bookmark_user"), answers(), parallelism=2, bookmark_key="updated_after")
     first = P.rows_of(P.poll(spark, source), source)
     later = P.rows_of(P.poll(spark, source, datetime(2024, 1, 1, tzinfo=timezone.utc)), source)
     assert rows(first, "id") == [(1,), (2,)] and rows(later, "id") == [(3,)]
@@ -163,7 +163,7 @@ ID = T.StructType().add("id", T.LongType())
 
 
 def test_job_polls_with_a_durable_bookmark(spark, folder):
-    source = ApiSource("books", endpoints(spark, "/bookmark_user"), answers(), bookmark_key="updated_after")
+    source = ApiSource("books", endpoints(spark, "/bookmark_user"), answers(), parallelism=2, bookmark_key="updated_after")
     sink = FileSink("o", "books", f"{folder}/o", "json")
     jobs = J.run(spark, [source], [sink], f"{folder}/state")
     assert jobs["books"].reports == []
@@ -175,7 +175,7 @@ def test_job_polls_with_a_durable_bookmark(spark, folder):
 
 def test_job_policies(spark, folder):
     for on_fail in ("stop", "skip"):
-        source = ApiSource("t", endpoints(spark, "/down"), answers(), on_fail=on_fail)
+        source = ApiSource("t", endpoints(spark, "/down"), answers(), parallelism=2, on_fail=on_fail)
         jobs = J.run(spark, [source], [FileSink("o", "t", f"{folder}/{on_fail}", "json")], f"{folder}/s-{on_fail}")
         assert [r.action for r in jobs["t"].reports] == (["stop"] if on_fail == "stop" else [])
 
@@ -188,7 +188,7 @@ def test_job_cursor_continues_at_the_next_poll(spark, folder):
         return 200, json.dumps({"next": str(at + 2), "rows": [{"id": at}, {"id": at + 1}]})
 
     source = ApiSource(
-        "t", endpoints(spark, "/c"), fetch, pagination="cursor", page_size=2, max_requests=2, page_token_key="c",
+        "t", endpoints(spark, "/c"), fetch, parallelism=2, pagination="cursor", page_size=2, max_requests=2, page_token_key="c",
         cursor_field=["next"], cursor_location="query", select_field=["rows"], one_request=True,
     )
     for expected in (4, 8):

@@ -24,6 +24,11 @@ def cut_pages(pages: DataFrame, counts: DataFrame, page_size: int, max_requests:
     ends are written first, so the join below plans with their true size.
     """
     ends = storage.materialize(last_pages(counts, page_size), "page-ends")
+    return keep_pages(pages, ends, max_requests, start)
+
+
+def keep_pages(pages: DataFrame, ends: DataFrame, max_requests: int, start: int = 0) -> DataFrame:
+    """Pages within the request limit and not after their endpoint's `last_page`."""
     within = pages.where((F.col("page") >= start) & (F.col("page") < start + max_requests))
     joined = within.join(ends, "endpoint", "left")
     return joined.where(F.col("last_page").isNull() | (F.col("page") <= F.col("last_page"))).drop("last_page")

@@ -18,7 +18,7 @@ from tidemark import storage
 from tidemark.functions import json_values as J
 from tidemark.functions.requests import DEFAULT_BOOKMARK_FORMAT, bookmark_text, is_body, put_member, put_param
 from tidemark.operators.changes import EPOCH, bookmark_literal
-from tidemark.operators.pages import cut_pages
+from tidemark.operators.pages import keep_pages, last_pages
 from tidemark.operators.records import (
     RESPONSE_SCHEMA, BadResponse, decode, explode_records, first_schema, is_accepted, with_selection,
 )
@@ -214,9 +214,9 @@ def poll(
         if active.isEmpty():
             break
     landed = spark.read.schema(RESPONSE_SCHEMA).parquet(*[f"{land}/{n}" for n in storage.list_names(spark, land)])
-    if source.pagination != "none":
-        landed = cut_pages(landed, facts, source.page_size, limit)
-        facts = cut_pages(facts, facts, source.page_size, limit)
+    if width > 1:
+        ends = storage.materialize(last_pages(facts, source.page_size), "page-ends")
+        landed, facts = keep_pages(landed, ends, limit), keep_pages(facts, ends, limit)
     return _judge(landed, facts, source)
 
 
