@@ -98,6 +98,19 @@ def test_malformed_rows_are_never_turned_into_nulls(spark, folder):
         S.read_files(spark, folder, schema=schema).collect()
 
 
+def test_csv_columns_in_another_order_are_noticed(spark, folder):
+    put(folder, "a.csv", "id,value\n1,a\n")
+    put(folder, "b.csv", "value,id\n2,3\n")
+    with pytest.raises(Exception):
+        S.read_files(spark, folder, schema=T.StructType.fromDDL("id bigint, value string")).collect()
+
+
+def test_csv_texts_with_line_breaks(spark, folder):
+    df = spark.createDataFrame([(1, 'a\nb,"c"\r\n\n'), (2, "\\"), (3, '"'), (4, "  x "), (5, " "), (6, ",,"), (7, "#c")], "id bigint, value string")
+    write_batch(df, folder, "csv", "j-0")
+    assert rows(read_batches(spark, folder, "csv", df.schema)) == rows(df)
+
+
 def test_unknown_file_type(spark):
     with pytest.raises(ValueError):
         S.format_name(spark, "xls")

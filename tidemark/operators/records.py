@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -105,10 +106,19 @@ def first_schema(responses: DataFrame, select: Sequence[str] | None = None, name
 
     The earliest page that has records decides; one record reaches the driver.
     """
-    records = explode_records(with_selection(responses, select))
-    order = [c for c in ("endpoint", "page", "pos") if c in records.columns]
-    first = records.orderBy(*order).select(F.to_json("record").alias("text")).limit(1).collect()
-    return document_schema(first[0]["text"], name) if first else T.StructType([])
+    keys = [c for c in ("endpoint", "page") if c in responses.columns]
+    earliest = responses.agg(F.min(F.struct(*keys)).alias("key")).first()["key"] if keys else None
+    candidates = [responses]
+    if earliest is not None:
+        # only keys are read to find the page; only that page is parsed
+        match = [F.col(key).eqNullSafe(F.lit(earliest[key])) for key in keys]
+        candidates.insert(0, responses.where(reduce(lambda left, right: left & right, match)))
+    for pages in candidates:
+        records = explode_records(with_selection(pages, select))
+        first = records.orderBy(*keys, "pos").select(F.to_json("record").alias("text")).limit(1).collect()
+        if first:
+            return document_schema(first[0]["text"], name)
+    return T.StructType([])
 
 
 def flatten_schema(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:

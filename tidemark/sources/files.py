@@ -39,7 +39,8 @@ def format_name(spark: SparkSession, filetype: str) -> str:
 def text_options(filetype: str) -> dict[str, str]:
     """Options shared by reading and writing, so a round trip is exact."""
     if filetype == "csv":
-        return {"header": "true", "escape": '"', **TIME_FORMATS}
+        keep_spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        return {"header": "true", "escape": '"', **keep_spaces, **TIME_FORMATS}
     if filetype == "json":
         return dict(TIME_FORMATS)
     return {}
@@ -55,6 +56,9 @@ def read_options(filetype: str) -> dict[str, str]:
         # texts may hold line breaks; set to false for single-line data, so
         # that large files can be split
         options["multiLine"] = "true"
+        # headers are compared with the schema: a file with other columns, or
+        # with columns in another order, fails the read
+        options["enforceSchema"] = "false"
     return options
 
 
