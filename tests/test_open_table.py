@@ -82,10 +82,31 @@ def test_snapshot(spark, table):
         (0, "Mino", "insert", "1970-01-01 00:00:00")]
 
 
-def test_snapshot_of_many_files_stays_distributed(spark, table, monkeypatch):
+@pytest.mark.parametrize("pruned, broadcast", [(10, 10), (0, 10), (0, 0)])
+def test_snapshot_of_many_files(spark, table, monkeypatch, pruned, broadcast):
     monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
+    monkeypatch.setattr(O, "MAX_PRUNED_FILES", pruned)
+    monkeypatch.setattr(O, "MAX_BROADCAST_FILES", broadcast)
     assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Mino"), (7, "Toad")]
     assert rows(O.read_changes(spark, table, [2]), "id", "name", "_change_type") == [(1, "Mino", "update")]
+    pathlib.Path(table, "b.parquet").unlink()
+    with pytest.raises(FileNotFoundError, match="b.parquet"):
+        O.read_snapshot(spark, table, 3)
+
+
+def test_pruning_leaves_dead_files_unread(spark, table, monkeypatch):
+    monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
+    df = O.read_snapshot(spark, table, 3)
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert leaf.metrics().apply("numFiles").value() == 2
+
+
+def test_odd_file_names(spark, folder, monkeypatch):
+    monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
+    name = data(spark, folder, "it's 100%+.parquet", [(1, "a")])
+    commit(folder, 0, *head(), add("it's%20100%25+.parquet"))
+    assert pathlib.Path(folder, name).exists() and rows(O.read_snapshot(spark, folder)) == [(1, "a")]
 
 
 def test_changes_of_commits(spark, table):

@@ -23,9 +23,14 @@ from tidemark.sources.files import is_new
 LOG_DIR = "_delta_log"
 CHANGE_DIR = "_change_data"
 
-# Live files read by an explicit list up to this many; beyond it the list stays
-# distributed and a semi join on the file path picks the rows.
-MAX_LISTED_FILES = 200_000
+# How the data files of a snapshot are picked: this many by an explicit list, as
+# Spark lists that many paths without a job of its own ...
+MAX_LISTED_FILES = 32
+# ... this many by a condition on the file path that prunes the directory's
+# files, and more by a semi join of the rows on the file path.
+MAX_PRUNED_FILES = 50_000
+# A path table of up to this many rows (some 200 bytes each) is broadcast.
+MAX_BROADCAST_FILES = 2_000_000
 
 _ACTION = """
     add struct<path string, partitionValues map<string,string>, modificationTime bigint, dataChange boolean,
@@ -161,25 +166,41 @@ def _read_data(
 ) -> DataFrame:
     """Rows of the listed parquet files (column `path`), in the table's schema.
 
-    Up to `MAX_LISTED_FILES` paths go to the reader as a list, as its own file
-    index would hold them; a longer list stays a table and is semi-joined with
-    everything found under the directory `below`.
+    A short list goes to the reader as it is. Otherwise the directory `below`
+    the table is read and its files pruned, so that no path is looked up singly.
     """
     located = storage.materialize(files.select(_located(F.col("path"), table_path).alias("path")), "live-files")
     count = located.count()
     key = _file_key(_decoded(F.col("_metadata.file_path")))
+    root = f"{table_path.rstrip('/')}/{below}"
     reader = spark.read.option("basePath", table_path).schema(schema)
     if count == 0:
         rows = spark.createDataFrame([], schema).withColumn("_file", F.lit(None).cast("string"))
     elif count <= MAX_LISTED_FILES:
-        rows = reader.parquet(*[row["path"] for row in located.toLocalIterator()]).withColumn("_file", key)
+        rows = reader.parquet(*[row["path"] for row in located.collect()]).withColumn("_file", key)
     else:
         wanted = located.select(_file_key(F.col("path")).alias("_file"))
-        rows = reader.parquet(f"{table_path.rstrip('/')}/{below}").withColumn("_file", key).join(wanted, "_file", "left_semi")
+        _check_present(spark, root, wanted)
+        rows = reader.parquet(root).withColumn("_file", key)
+        if count <= MAX_PRUNED_FILES:
+            paths = [row["_file"].replace("\\", "\\\\").replace("'", "\\'") for row in wanted.collect()]
+            rows = rows.where("_file IN ('" + "', '".join(paths) + "')")
+        else:
+            small = F.broadcast(wanted) if count <= MAX_BROADCAST_FILES else wanted
+            rows = rows.join(small, "_file", "left_semi")
     columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
     return rows.select(*columns, *([F.col("_file").alias(file_column)] if file_column else []))
 
 
+def _check_present(spark: SparkSession, root: str, wanted: DataFrame) -> None:
+    """Refuse a snapshot of which a file is not in the directory."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    present = listing.select(_file_key(F.col("path")).alias("_file"))
+    missing = wanted.join(present, "_file", "left_anti").first()
+    if missing is not None:
+        raise FileNotFoundError(f"{missing['_file']} is in the log but not below {root}")
+
+
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The rows of a table at a version (the latest by default)."""
     if has_connector(spark):

@@ -58,7 +58,7 @@ class TableJob:
     sinks: Sequence[Sink]
     folder: str
     job: str
-    cache: bool | None = None
+    cache: bool = False
     schema: T.StructType | None = None
     stopped: set[str] = field(default_factory=set)
     reports: list[Report] = field(default_factory=list)
@@ -71,12 +71,11 @@ class TableJob:
     def deliver(self, rows: DataFrame, batch_id: int) -> None:
         """Write one batch to every running destination, all at the same time.
 
-        The rows are kept for the time of the batch when several destinations
-        read them and reading means parsing text; columnar files are cheaper to
-        read again than to keep.
+        Destinations read the source's files each for themselves, which has
+        proved cheaper than keeping the rows; `cache` keeps them for the batch.
         """
         running = [sink for sink in self.sinks if sink.name not in self.stopped]
-        keep = self.cache if self.cache is not None else len(running) > 1 and _parses_text(self.source)
+        keep = self.cache and len(running) > 1
         if keep:
             rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -112,10 +111,6 @@ class TableJob:
         return [(sink, problem) for sink, problem in zip(running, outcomes) if problem is not None]
 
 
-def _parses_text(source: Source) -> bool:
-    return isinstance(source, FileSource) and source.filetype in ("csv", "json")
-
-
 def _read_or_fail(action: Callable):
     try:
         return action()
@@ -310,12 +305,12 @@ def start(
     sinks: Sequence[Sink],
     checkpoint: str,
     once: bool = False,
-    cache: bool | None = None,
+    cache: bool = False,
 ) -> dict[str, TableJob]:
     """Start one query per source and return the jobs by source name.
 
     `once` (or `one_request` of a source) reads what there is now and ends.
-    `cache` forces keeping a batch for its destinations, or re-reading it.
+    `cache` keeps each batch for its destinations instead of re-reading it.
     """
     check(sources, sinks)
     jobs = {}
@@ -341,7 +336,7 @@ def run(
     sources: Sequence[Source],
     sinks: Sequence[Sink],
     checkpoint: str,
-    cache: bool | None = None,
+    cache: bool = False,
 ) -> dict[str, TableJob]:
     """Read everything there is now, once, and wait; failed sources are reported."""
     jobs = start(spark, sources, sinks, checkpoint, once=True, cache=cache)
