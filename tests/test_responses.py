@@ -1,5 +1,4 @@
 import json
-from datetime import datetime, timezone
 
 import pytest
 from conftest import rows
@@ -102,7 +101,8 @@ def test_cursor(spark):
 def test_bookmark_in_the_body(spark):
     source = ApiSource("t", endpoints(spark, "/bookmark_user"), answers(), parallelism=2, bookmark_key="updated_after")
     first = P.rows_of(P.poll(spark, source), source)
-    later = P.rows_of(P.poll(spark, source, datetime(2024, 1, 1, tzinfo=timezone.utc)), source)
+    state = P.next_state(P.poll(spark, source), source, "2024-01-01T00:00:00+00:00")
+    later = P.rows_of(P.poll(spark, source, state), source)
     assert rows(first, "id") == [(1,), (2,)] and rows(later, "id") == [(3,)]
     df = poll_rows(spark, "/bookmark_user", one_request=False, bookmark_key="updated_after", bookmark_format="%Y-%m-%dT%H:%M:%SZ")
     assert rows(df, "id") == [(5,), (6,)]
@@ -112,7 +112,8 @@ def test_requests_carry_everything(spark):
     base = spark.createDataFrame(
         [("/a", {"q": "x", "page": "old"}, '{"k":1}')], "endpoint string, params map<string,string>, body string")
     source = ApiSource("t", base, answers(), pagination="offset_increment", page_size=10, offset=7, page_token_key="page")
-    pages = P.expand_pages(P.with_request_columns(base).withColumn("cursor", F.lit(None).cast("string")), 0, 3)
+    nothing = {"cursor": F.lit(None).cast("string"), "since": F.lit(None).cast("timestamp")}
+    pages = P.expand_pages(P.with_request_columns(base).withColumns(nothing), 0, 3)
     got = P.build_requests(pages, source).orderBy("page").collect()
     assert [r["params"] for r in got] == [{"q": "x", "page_size": "10", "page": str(7 + 10 * n)} for n in range(3)]
     assert {r["body"] for r in got} == {'{"k":1,"bookmark":"1970-01-01 00:00:00 UTC"}'}
@@ -177,7 +178,7 @@ def test_job_policies(spark, folder):
     for on_fail in ("stop", "skip"):
         source = ApiSource("t", endpoints(spark, "/down"), answers(), parallelism=2, on_fail=on_fail)
         jobs = J.run(spark, [source], [FileSink("o", "t", f"{folder}/{on_fail}", "json")], f"{folder}/s-{on_fail}")
-        assert [r.action for r in jobs["t"].reports] == (["stop"] if on_fail == "stop" else [])
+        assert [r.action for r in jobs["t"].reports] == [on_fail]
 
 
 def test_job_cursor_continues_at_the_next_poll(spark, folder):
@@ -195,3 +196,42 @@ def test_job_cursor_continues_at_the_next_poll(spark, folder):
         jobs = J.run(spark, [source], [FileSink("o", "t", f"{folder}/o", "json")], f"{folder}/s")
         assert jobs["t"].reports == []
         assert rows(read_batches(spark, f"{folder}/o", "json", ID)) == [(n,) for n in range(expected)]
+
+
+def test_a_skipped_poll_leaves_the_bookmark_where_it_was(spark, folder):
+    def fetch(request):
+        import json
+        import os
+
+        asked = json.loads(request["body"])["bookmark"]
+        if os.path.exists(f"{folder}/down"):
+            return 503, ""
+        return 200, json.dumps([{"asked": asked}])
+
+    source = ApiSource("t", endpoints(spark, "/x"), fetch, parallelism=1, on_fail="skip")
+    sink = FileSink("o", "t", f"{folder}/o", "json")
+    schema = T.StructType().add("asked", T.StringType())
+
+    def poll(down):
+        (open(f"{folder}/down", "w").close() if down else None)
+        jobs = J.run(spark, [source], [sink], f"{folder}/state")
+        if down:
+            import os
+
+            os.remove(f"{folder}/down")
+        return len(jobs["t"].reports)
+
+    assert [poll(d) for d in (True, False, True, False)] == [1, 0, 1, 0]
+    asked = rows(read_batches(spark, f"{folder}/o", "json", schema))
+    assert asked[0] == ("1970-01-01 00:00:00 UTC",) and len(asked) == 2
+    noted = spark.read.parquet(f"{folder}/state/t/polls/1").select(F.date_format("since", "yyyy-MM-dd HH:mm:ss 'UTC'")).first()[0]
+    assert asked[1][0] == noted
+
+
+def test_only_the_failed_endpoint_keeps_its_bookmark(spark):
+    source = ApiSource("t", endpoints(spark, "/user", "/down"), answers(), parallelism=1, on_fail="skip")
+    state = P.next_state(P.poll(spark, source), source, "2024-01-01T00:00:00+00:00")
+    assert rows(state.select("endpoint", F.col("since").cast("string"), "polled")) == [
+        ("/down", None, False), ("/user", "2024-01-01 00:00:00", True)]
+    again = P.next_state(P.poll(spark, source, state), source, "2024-01-02T00:00:00+00:00", state)
+    assert rows(again.select("endpoint", F.col("since").cast("string"))) == [("/down", None), ("/user", "2024-01-02 00:00:00")]

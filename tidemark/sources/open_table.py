@@ -120,12 +120,13 @@ def live_files(log: DataFrame) -> DataFrame:
 
     For each path its newest action decides; an add wins a tie.
     """
+    # one number orders actions by version, adds last: it fits a hash aggregate
+    is_add = F.col("add.path").isNotNull().cast("bigint")
     actions = log.select(
-        F.coalesce("add.path", "remove.path").alias("path"),
-        F.struct("version", F.col("add.path").isNotNull().alias("is_add")).alias("action"),
+        F.coalesce("add.path", "remove.path").alias("path"), (F.col("version") * 2 + is_add).alias("rank")
     ).where("path is not null")
-    newest = actions.groupBy("path").agg(F.max("action").alias("action"))
-    return newest.where("action.is_add").select("path")
+    newest = actions.groupBy("path").agg(F.max("rank").alias("rank"))
+    return newest.where("rank % 2 = 1").select("path")
 
 
 def _located(path: Column, table_path: str) -> Column:

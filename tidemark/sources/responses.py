@@ -99,14 +99,16 @@ def with_request_columns(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("endpoint", "params", "body")
 
 
-def build_requests(pages: DataFrame, source: ApiSource, bookmark: datetime | None = None) -> DataFrame:
-    """Finished requests from `endpoint, page, cursor, params, body`.
+def build_requests(pages: DataFrame, source: ApiSource) -> DataFrame:
+    """Finished requests from `endpoint, page, cursor, since, params, body`.
 
-    `page` counts from 0 at the source's configured start.
+    `page` counts from 0 at the source's configured start; `since` is the
+    endpoint's bookmark, null before its first poll.
     """
     requests = pages
     if not source.one_request:
-        stamp = bookmark_text(bookmark_literal(bookmark or source.bookmark), source.bookmark_format)
+        since = F.coalesce(F.col("since"), bookmark_literal(source.bookmark))
+        stamp = bookmark_text(since, source.bookmark_format)
         requests = place(requests, source.bookmark_key, stamp, source.bookmark_location)
     in_query = source.pagination != "cursor" or not is_body(source.cursor_location)
     if source.pagination != "none" and in_query:
@@ -173,30 +175,31 @@ def page_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
     )
 
 
-def poll(
-    spark: SparkSession, source: ApiSource, bookmark: datetime | None = None, cursors: DataFrame | None = None
-) -> DataFrame:
+def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None) -> DataFrame:
     """All responses of one poll, landed; pages past the end already cut off.
 
     Pages are requested in waves for all endpoints at once. An endpoint leaves
     the waves at its first short or refused page, so at most `wave_pages - 1`
     requests per endpoint go past the end. Cursor walks advance one page per
-    wave; `cursors` (`endpoint, cursor`) says where they continue.
+    wave. `state` is what `next_state` gave for the poll before.
     """
     land = storage.scratch_dir(spark, "responses")
     endpoints = with_request_columns(source.endpoints)
     by_cursor = source.pagination == "cursor"
     limit = 1 if source.pagination == "none" else source.max_requests
     width = 1 if by_cursor else min(source.wave_pages, limit)
-    active = endpoints.withColumn("cursor", F.lit(None).cast("string"))
-    if by_cursor and cursors is not None:
-        active = endpoints.join(cursors.select("endpoint", "cursor"), "endpoint", "left")
+    if state is None:
+        active = endpoints.withColumns(
+            {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")}
+        )
+    else:
+        active = endpoints.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
     facts: DataFrame | None = None
     first = 0
     while first < limit:
         pages = expand_pages(active, first, min(width, limit - first))
         wave_path = f"{land}/wave={first}"
-        send(build_requests(pages, source, bookmark), source.fetch, source.parallelism).write.parquet(wave_path)
+        send(build_requests(pages, source), source.fetch, source.parallelism).write.parquet(wave_path)
         wave = storage.materialize(
             page_facts(spark.read.schema(RESPONSE_SCHEMA).parquet(wave_path), source), "page-facts"
         )
@@ -206,7 +209,8 @@ def poll(
             break
         if by_cursor:
             going = wave.where(F.col("next_cursor").isNotNull() & (F.col("records") >= source.page_size))
-            active = endpoints.join(going.select("endpoint", F.col("next_cursor").alias("cursor")), "endpoint")
+            going = going.select("endpoint", F.col("next_cursor").alias("cursor"))
+            active = active.drop("cursor").join(going, "endpoint")
         else:
             ended = wave.where(F.col("records") < source.page_size).select("endpoint")
             active = active.join(ended, "endpoint", "left_anti")
@@ -232,14 +236,29 @@ def _judge(landed: DataFrame, facts: DataFrame, source: ApiSource) -> DataFrame:
     return landed.join(refused.select("endpoint"), "endpoint", "left_anti")
 
 
-def continue_cursors(responses: DataFrame, source: ApiSource) -> DataFrame:
-    """Where each endpoint's cursor walk stands after these responses.
+def next_state(landed: DataFrame, source: ApiSource, now: str, state: DataFrame | None = None) -> DataFrame:
+    """`endpoint, since, cursor, polled` after a poll at the time `now`.
 
-    The last page's next cursor, as `endpoint, cursor`; an endpoint whose last
-    page names none starts over.
+    An endpoint that answered moves its bookmark to `now` and its cursor to the
+    one its last page names, if any; one left out of the poll keeps both.
     """
-    facts = page_facts(responses, source)
-    return facts.groupBy("endpoint").agg(F.max_by("next_cursor", "page").alias("cursor"))
+    if source.pagination == "cursor":
+        answered = page_facts(landed, source).groupBy("endpoint").agg(F.max_by("next_cursor", "page").alias("new_cursor"))
+    else:
+        answered = landed.select("endpoint").distinct().withColumn("new_cursor", F.lit(None).cast("string"))
+    answered = answered.withColumn("polled", F.lit(True))
+    before = source.endpoints.select("endpoint").distinct()
+    if state is None:
+        before = before.withColumns({"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")})
+    else:
+        before = before.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
+    polled = F.coalesce(F.col("polled"), F.lit(False))
+    return before.join(answered, "endpoint", "left").select(
+        "endpoint",
+        F.when(polled, F.lit(now).cast("timestamp")).otherwise(F.col("since")).alias("since"),
+        F.when(polled, F.col("new_cursor")).otherwise(F.col("cursor")).alias("cursor"),
+        polled.alias("polled"),
+    )
 
 
 def rows_of(responses: DataFrame, source: ApiSource, schema: T.StructType | None = None, mode: str = "FAILFAST") -> DataFrame:

@@ -76,6 +76,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _locate(spark, path)
+    fs.delete(jpath, True)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and intermediate tables."""
     global _local_scratch

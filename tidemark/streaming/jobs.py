@@ -208,16 +208,20 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
     return write
 
 
+# Polls whose state is kept, for replays.
+KEPT_POLLS = 10
+
+
 def _deliver_polls(job: TableJob) -> Callable[[DataFrame, int], None]:
-    """Poll the endpoints with the bookmark the tick carries."""
+    """Poll the endpoints, each since its last poll that succeeded.
+
+    Every poll notes the endpoints' bookmarks and cursors under its batch
+    number and goes by the newest note of an earlier batch, so a replayed poll
+    asks for the same data again.
+    """
     source = job.source
     schema_file = f"{job.folder}/schema.json"
-    cursors_dir = f"{job.folder}/cursors"
-
-    def latest_cursors(spark: SparkSession, batch_id: int) -> DataFrame | None:
-        done = [int(n.split("=")[1]) for n in storage.list_names(spark, cursors_dir)]
-        done = [n for n in done if n < batch_id]
-        return spark.read.parquet(f"{cursors_dir}/poll={max(done)}") if done else None
+    notes = f"{job.folder}/polls"
 
     def frozen_schema(spark: SparkSession, landed: DataFrame) -> T.StructType:
         if source.schema is not None:
@@ -230,36 +234,44 @@ def _deliver_polls(job: TableJob) -> Callable[[DataFrame, int], None]:
             storage.write_text(spark, schema_file, schema.json())
         return schema
 
-    def rows_of(tick: DataFrame, batch_id: int) -> DataFrame | None:
-        spark = tick.sparkSession
-        poll = tick.first()
-        if poll is None:
-            return None
-        cursors = latest_cursors(spark, batch_id) if source.pagination == "cursor" else None
-        landed = responses.poll(spark, source, datetime.fromisoformat(poll["bookmark"]), cursors)
-        rows = responses.rows_of(landed, source, frozen_schema(spark, landed))
-        if source.pagination == "cursor":
-            standing = responses.continue_cursors(landed, source)
-            standing.write.mode("overwrite").parquet(f"{cursors_dir}/poll={batch_id}")
-        return rows if rows.columns else None
+    def poll(spark: SparkSession, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        landed = responses.poll(spark, source, state)
+        return landed, responses.rows_of(landed, source, frozen_schema(spark, landed))
 
     def write(tick: DataFrame, batch_id: int) -> None:
+        spark = tick.sparkSession
+        now = tick.first()
+        if now is None:
+            return
+        done = [n for n in _numbers(spark, notes) if n < batch_id]
+        state = spark.read.parquet(f"{notes}/{max(done)}") if done else None
         try:
-            rows = _read_or_fail(lambda: rows_of(tick, batch_id))
-            if rows is not None:
+            landed, rows = _read_or_fail(lambda: poll(spark, state))
+            if rows.columns:
                 job.deliver(rows, batch_id)
         except SourceFailed as problem:
             if source.on_fail == "stop":
                 raise
             job.report(source.name, batch_id, "skip", problem)
+            return
+        responses.next_state(landed, source, now["time"], state).write.mode("overwrite").parquet(f"{notes}/{batch_id}")
+        left_out = spark.read.parquet(f"{notes}/{batch_id}").where("not polled").count()
+        if left_out:
+            job.report(source.name, batch_id, "skip", f"{left_out} endpoints refused")
+        for old in sorted(done)[:-KEPT_POLLS]:
+            storage.delete(spark, f"{notes}/{old}")
 
     return write
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return [int(name) for name in storage.list_names(spark, folder) if name.isdigit()]
+
+
 def _stream_of(spark: SparkSession, job: TableJob) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     source = job.source
     if isinstance(source, ApiSource):
-        return stream_polls(spark, source.bookmark), _deliver_polls(job)
+        return stream_polls(spark), _deliver_polls(job)
     if isinstance(source, OpenTableSource):
         return open_table.stream_commits(spark, source), _deliver_commits(job)
     if source.on_fail == "skip" or not _schema_known(spark, source):

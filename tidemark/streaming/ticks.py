@@ -1,7 +1,7 @@
-"""A stream with one row per trigger, carrying the poll number and bookmark.
+"""A stream with one row per trigger: the number and time of the poll.
 
-Spark keeps both in its own offset log, so a restarted job continues with the
-bookmark of the first poll that was not committed.
+Spark keeps both in its own offset log, so a replayed poll has the same number
+and time as before.
 """
 
 from __future__ import annotations
@@ -15,18 +15,15 @@ SOURCE_NAME = "tidemark_poll"
 
 
 class _PollReader(SimpleDataSourceStreamReader):
-    def __init__(self, bookmark: str):
-        self.bookmark = bookmark
-
     def initialOffset(self) -> dict:
-        return {"poll": 0, "bookmark": self.bookmark}
+        return {"poll": 0, "time": ""}
 
     def read(self, start: dict):
-        now = datetime.now(timezone.utc).isoformat()
-        return iter([(start["poll"], start["bookmark"])]), {"poll": start["poll"] + 1, "bookmark": now}
+        end = {"poll": start["poll"] + 1, "time": datetime.now(timezone.utc).isoformat()}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([(start["poll"], start["bookmark"])])
+        return iter([(start["poll"], end["time"])])
 
 
 class PollSource(DataSource):
@@ -35,14 +32,12 @@ class PollSource(DataSource):
         return SOURCE_NAME
 
     def schema(self) -> str:
-        return "poll bigint, bookmark string"
+        return "poll bigint, time string"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _PollReader(self.options["bookmark"])
+        return _PollReader()
 
 
-def stream_polls(spark: SparkSession, bookmark: datetime) -> DataFrame:
-    if bookmark.tzinfo is None:
-        bookmark = bookmark.replace(tzinfo=timezone.utc)
+def stream_polls(spark: SparkSession) -> DataFrame:
     spark.dataSource.register(PollSource)
-    return spark.readStream.format(SOURCE_NAME).option("bookmark", bookmark.isoformat()).load()
+    return spark.readStream.format(SOURCE_NAME).load()
