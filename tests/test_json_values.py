@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,59 @@ def test_is_json(spark, text, valid):
 
 def test_repeated_members_count_once(spark):
     assert select(spark, '{"a":1,"a":2}', ["a"]) == "2"
+
+
+# Random documents against plain Python ---------------------------------------
+
+MISS = object()
+
+
+def random_value(rng, depth):
+    kind = rng.choice(["object", "object", "array", "text", "number", "null"]) if depth else rng.choice(["text", "number", "null"])
+    if kind == "object":
+        return {k: random_value(rng, depth - 1) for k in rng.sample("abc", rng.randint(0, 3))}
+    if kind == "array":
+        return [random_value(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    return {"text": rng.choice(["x", "", '"q"']), "number": rng.choice([0, -5, 12]), "null": None}[kind]
+
+
+def follow(value, keys):
+    """The selected part, or MISS."""
+    if not keys:
+        return value
+    if isinstance(value, dict):
+        return follow(value[keys[0]], keys[1:]) if keys[0] in value else MISS
+    if isinstance(value, list):
+        found = [follow(item, keys) for item in value]
+        return MISS if any(f is MISS for f in found) else found
+    return MISS
+
+
+def ask_record(value, keys, record):
+    """The cursor in the first or last record, or None."""
+    if not keys:
+        if value is None or isinstance(value, str):
+            return value
+        return json.dumps(value, sort_keys=True, separators=(",", ":"))
+    if isinstance(value, dict):
+        return ask_record(value[keys[0]], keys[1:], record) if keys[0] in value else None
+    if isinstance(value, list) and value:
+        return ask_record(value[0 if record == "first" else -1], keys, record)
+    return None
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b"], ["c", "a", "b"]])
+def test_random_documents(spark, keys):
+    rng = random.Random(len(keys))
+    documents = [random_value(rng, 3) for _ in range(400)]
+    df = spark.createDataFrame([(n, json.dumps(d)) for n, d in enumerate(documents)], "n int, t string").repartition(2)
+    value = F.col("v")
+    got = df.select("n", J.parse(F.col("t")).alias("v")).select(
+        "n", F.to_json(J.select_field(value, keys)), J.cursor_value(value, keys, "first"), J.cursor_value(value, keys, "last")
+    )
+    for n, selected, first, last in got.collect():
+        document = documents[n]
+        found = follow(document, keys)
+        assert json.loads(selected) == (document if found is MISS else found), document
+        assert first == ask_record(document, keys, "first"), document
+        assert last == ask_record(document, keys, "last"), document
