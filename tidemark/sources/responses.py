@@ -34,8 +34,8 @@ PAGINATIONS = ("none", "page_increment", "offset_increment", "cursor")
 class ApiSource:
     """Endpoints of a JSON API read as one table.
 
-    `endpoints` has `endpoint string` and optionally `params map<string,string>`
-    and `body string`. Locations are `body`, or `query` (also called `header`).
+    `endpoints` has `endpoint string`, which must be unique, and optionally
+    `params map<string,string>` and `body string`. Locations are `body`, or `query` (also called `header`).
     """
 
     name: str
@@ -152,15 +152,17 @@ def send(requests: DataFrame, fetch: Fetch, parallelism: int | None = None) -> D
     return requests.repartition(tasks).mapInPandas(responses_of, RESPONSE_SCHEMA)
 
 
-def page_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
-    """`endpoint, page, cursor, accepted, records, next_cursor` of each response.
+LANDED_SCHEMA = f"{RESPONSE_SCHEMA}, accepted boolean, records int, next_cursor string"
+
+
+def with_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
+    """Responses with `accepted, records, next_cursor`.
 
     A refused response counts as shorter than any page, so it ends its
     endpoint's sequence.
     """
-    judged = responses.select(
-        "endpoint", "page", "cursor",
-        is_accepted(F.col("status"), F.col("body")).alias("accepted"), J.parse(F.col("body")).alias("value"),
+    judged = responses.withColumns(
+        {"accepted": is_accepted(F.col("status"), F.col("body")), "value": J.parse(F.col("body"))}
     )
     following = F.lit(None).cast("string")
     if source.cursor_field:
@@ -170,7 +172,7 @@ def page_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
     )
     records = F.when(F.col("accepted"), J.record_count(F.col("selected"))).otherwise(-1)
     return facts.select(
-        "endpoint", "page", "cursor", "accepted", records.alias("records"),
+        *responses.columns, "accepted", records.alias("records"),
         F.when(F.col("accepted"), F.col("next_cursor")).alias("next_cursor"),
     )
 
@@ -181,53 +183,47 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
     Pages are requested in waves for all endpoints at once. An endpoint leaves
     the waves at its first short or refused page, so at most `wave_pages - 1`
     requests per endpoint go past the end. Cursor walks advance one page per
-    wave. `state` is what `next_state` gave for the poll before.
+    wave. Each wave is one job: requests, responses and what the next wave has
+    to know of them are written together, and then read by column. `state` is
+    what `next_state` gave for the poll before.
     """
-    land = storage.scratch_dir(spark, "responses")
-    endpoints = with_request_columns(source.endpoints)
     by_cursor = source.pagination == "cursor"
     limit = 1 if source.pagination == "none" else source.max_requests
     width = 1 if by_cursor else min(source.wave_pages, limit)
+    base = with_request_columns(source.endpoints)
     if state is None:
-        active = endpoints.withColumns(
-            {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")}
-        )
+        nothing = {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")}
+        base = base.withColumns(nothing)
     else:
-        active = endpoints.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
-    facts: DataFrame | None = None
-    first = 0
-    while first < limit:
-        pages = expand_pages(active, first, min(width, limit - first))
-        wave_path = f"{land}/wave={first}"
-        send(build_requests(pages, source), source.fetch, source.parallelism).write.parquet(wave_path)
-        wave = storage.materialize(
-            page_facts(spark.read.schema(RESPONSE_SCHEMA).parquet(wave_path), source), "page-facts"
-        )
-        facts = wave if facts is None else facts.unionByName(wave)
-        first += width
-        if first >= limit:
-            break
+        base = base.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
+    base = active = storage.materialize(base, "endpoints")
+    land, waves = storage.scratch_dir(spark, "responses"), []
+    for first in range(0, limit, width):
+        requests = build_requests(expand_pages(active, first, min(width, limit - first)), source)
+        waves.append(f"{land}/wave={first}")
+        with_facts(send(requests, source.fetch, source.parallelism), source).write.parquet(waves[-1])
+        wave = spark.read.schema(LANDED_SCHEMA).parquet(waves[-1])
+        landed = spark.read.schema(LANDED_SCHEMA).parquet(*waves)
+        full = F.col("records") >= source.page_size
         if by_cursor:
-            going = wave.where(F.col("next_cursor").isNotNull() & (F.col("records") >= source.page_size))
+            going = wave.where(full & F.col("next_cursor").isNotNull())
             going = going.select("endpoint", F.col("next_cursor").alias("cursor"))
-            active = active.drop("cursor").join(going, "endpoint")
+            active = base.drop("cursor").join(going, "endpoint")
         else:
-            ended = wave.where(F.col("records") < source.page_size).select("endpoint")
-            active = active.join(ended, "endpoint", "left_anti")
-        active = storage.materialize(active, "active-endpoints")
-        if active.isEmpty():
+            going = wave.groupBy("endpoint").agg(F.min("records").alias("records")).where(full)
+            active = base.join(landed.where(~full).select("endpoint"), "endpoint", "left_anti")
+        if first + width >= limit or going.isEmpty():
             break
-    landed = spark.read.schema(RESPONSE_SCHEMA).parquet(*[f"{land}/{n}" for n in storage.list_names(spark, land)])
     if width > 1:
-        ends = storage.materialize(last_pages(facts, source.page_size), "page-ends")
-        landed, facts = keep_pages(landed, ends, limit), keep_pages(facts, ends, limit)
-    return _judge(landed, facts, source)
+        ends = storage.materialize(last_pages(landed, source.page_size), "page-ends")
+        landed = keep_pages(landed, ends, limit)
+    return _judge(landed, source)
 
 
-def _judge(landed: DataFrame, facts: DataFrame, source: ApiSource) -> DataFrame:
+def _judge(landed: DataFrame, source: ApiSource) -> DataFrame:
     """Apply the failure policy: a refused response stops the poll, or drops
     its endpoint from this poll."""
-    refused = facts.where(~F.col("accepted")).select("endpoint", "page")
+    refused = landed.where(~F.col("accepted")).select("endpoint", "page")
     if source.on_fail == "stop":
         first = refused.first()
         if first is not None:
@@ -242,12 +238,9 @@ def next_state(landed: DataFrame, source: ApiSource, now: str, state: DataFrame
     An endpoint that answered moves its bookmark to `now` and its cursor to the
     one its last page names, if any; one left out of the poll keeps both.
     """
-    if source.pagination == "cursor":
-        answered = page_facts(landed, source).groupBy("endpoint").agg(F.max_by("next_cursor", "page").alias("new_cursor"))
-    else:
-        answered = landed.select("endpoint").distinct().withColumn("new_cursor", F.lit(None).cast("string"))
+    answered = landed.groupBy("endpoint").agg(F.max_by("next_cursor", "page").alias("new_cursor"))
     answered = answered.withColumn("polled", F.lit(True))
-    before = source.endpoints.select("endpoint").distinct()
+    before = source.endpoints.select("endpoint")
     if state is None:
         before = before.withColumns({"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")})
     else:
