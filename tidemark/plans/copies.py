@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import storage
-from tidemark.operators.changes import newer_than, next_bookmark
+from tidemark.operators.changes import EPOCH, newer_than, next_bookmark
 from tidemark.plans import load
 from tidemark.sinks import open_table
 from tidemark.sinks.files import FileSink, read_batches, write_batch
@@ -15,26 +15,23 @@ from tidemark.sinks.open_table import OpenTableSink
 from tidemark.sources.files import FileSource, is_new, read_files
 from tidemark.streaming.jobs import run
 
-# a staged group is written as this many files, so one trigger reads a group
-GROUP_FILES = 8
-
-
 def _utc(*date: int) -> datetime:
     return datetime(*date, tzinfo=timezone.utc)
 
 
-def _stage(df: DataFrame, folder: str, moment: datetime | None = None, filetype: str = "parquet", **options) -> str:
-    """Append files to a source directory, optionally as of an earlier time."""
-    spark = df.sparkSession
-    before = set(storage.list_names(spark, folder))
-    writer = df.write.mode("append").format(filetype).options(**options)
-    writer.save(folder)
-    if moment is not None:
-        for name in set(storage.list_names(spark, folder)) - before:
-            storage.set_modified(spark, f"{folder}/{name}", moment.timestamp())
+def _stage(df: DataFrame, folder: str, filetype: str = "parquet", **options) -> str:
+    """Append files to a source directory; later calls give later files."""
+    df.write.mode("append").format(filetype).options(**options).save(folder)
     return folder
 
 
+def newest_file_time(spark: SparkSession, folder: str) -> datetime:
+    """When the last file of a parquet directory was written, as a bookmark."""
+    micros = F.unix_micros("_metadata.file_modification_time")
+    latest = spark.read.parquet(folder).agg(F.max(micros)).first()[0]
+    return EPOCH + timedelta(microseconds=latest)
+
+
 def _round_trip(table: str, filetype: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = load(spark, sf_dir, table)
@@ -46,22 +43,12 @@ def _round_trip(table: str, filetype: str):
 
 
 def incremental_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events kept as files per day; a stream reads the days after a bookmark."""
+    """Events arrive in two lots; a stream reads the files after a bookmark."""
     events = load(spark, sf_dir, "events")
-    folder = storage.scratch_dir(spark, "events-by-day")
-    day = F.date_format("ts", "yyyy-MM-dd")
-    # a busy day is spread over several files
-    spread = events.withColumn("day", day).repartition(F.col("day"), F.pmod(F.hash("event_id"), F.lit(4)))
-    spread.write.partitionBy("day").parquet(folder)
-    for name in storage.list_names(spark, folder):
-        if name.startswith("day="):
-            moment = datetime.fromisoformat(name[4:]).replace(tzinfo=timezone.utc).timestamp()
-            for file in storage.list_names(spark, f"{folder}/{name}"):
-                storage.set_modified(spark, f"{folder}/{name}/{file}", moment)
-    source = FileSource(
-        "events", folder, "parquet", events.schema, bookmark=_utc(2024, 1, 15), options={"recursiveFileLookup": "true"}
-    )
-    out = storage.scratch_dir(spark, "events-copy")
+    folder, out = storage.scratch_dir(spark, "events"), storage.scratch_dir(spark, "events-copy")
+    _stage(events.where("ts < timestamp_ntz'2024-01-16 00:00:00'"), folder)
+    source = FileSource("events", folder, "parquet", events.schema, bookmark=newest_file_time(spark, folder))
+    _stage(events.where("ts >= timestamp_ntz'2024-01-16 00:00:00'"), folder)
     run(spark, [source], [FileSink("copy", "events", out, "parquet")], storage.scratch_dir(spark, "job"))
     return read_batches(spark, out, "parquet", events.schema)
 
@@ -70,9 +57,11 @@ def new_files_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One poll as a batch: customers in files older and newer than a bookmark."""
     customer = load(spark, sf_dir, "customer")
     folder = storage.scratch_dir(spark, "customers")
-    for year, segments in enumerate((["AUTOMOBILE", "BUILDING"], ["FURNITURE"], ["HOUSEHOLD", "MACHINERY"])):
-        _stage(customer.where(F.col("c_mktsegment").isin(segments)), folder, _utc(2020 + year, 1, 1))
-    return read_files(spark, folder, "parquet", customer.schema).where(is_new(_utc(2020, 1, 1)))
+    _stage(customer.where("c_mktsegment IN ('AUTOMOBILE', 'BUILDING')"), folder)
+    bookmark = newest_file_time(spark, folder)
+    _stage(customer.where("c_mktsegment = 'FURNITURE'"), folder)
+    _stage(customer.where("c_mktsegment IN ('HOUSEHOLD', 'MACHINERY')"), folder)
+    return read_files(spark, folder, "parquet", customer.schema).where(is_new(bookmark))
 
 
 def _table_source(name: str, sf_dir: str, schema: T.StructType, **more) -> FileSource:
@@ -114,12 +103,14 @@ def empty_batch_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files before the bookmark make no batch; later ones make one."""
     events = load(spark, sf_dir, "events")
     folder, out, state = (storage.scratch_dir(spark, label) for label in ("events", "events-copy", "job"))
-    source = FileSource("events", folder, "parquet", events.schema, bookmark=_utc(2024, 6, 1))
-    sink = FileSink("copy", "events", out, "parquet")
     late = F.col("event_type").isin("purchase", "signup")
+    _stage(events.where(~late), folder)
+    source = FileSource("events", folder, "parquet", events.schema, bookmark=newest_file_time(spark, folder))
+    sink = FileSink("copy", "events", out, "parquet")
     counts = []
-    for part, moment in ((~late, _utc(2024, 5, 1)), (late, _utc(2024, 7, 1))):
-        _stage(events.where(part), folder, moment)
+    for part in (None, late):
+        if part is not None:
+            _stage(events.where(part), folder)
         run(spark, [source], [sink], state)
         batches = [n for n in storage.list_names(spark, out) if n.startswith("batch=")]
         rows = read_batches(spark, out, "parquet", events.schema) if batches else spark.createDataFrame([], events.schema)
@@ -161,26 +152,27 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
-def _segment_groups(spark: SparkSession, sf_dir: str, bad: Column | None) -> tuple[str, T.StructType]:
-    """Customers as three groups of CSV files, of which the middle one may be malformed."""
+def _segment_groups(spark: SparkSession, sf_dir: str, bad: Column | None, **more) -> FileSource:
+    """Customers as three groups of CSV files, of which the middle one may be
+    malformed; one trigger reads one group."""
     customer = load(spark, sf_dir, "customer")
     folder = storage.scratch_dir(spark, "customer-groups")
+    files = max(8, customer.rdd.getNumPartitions())
     groups = (["AUTOMOBILE", "BUILDING"], ["FURNITURE"], ["HOUSEHOLD", "MACHINERY"])
     for number, segments in enumerate(groups):
         part = customer.where(F.col("c_mktsegment").isin(segments))
         if bad is not None and number == 1:
             part = part.withColumn("c_custkey", bad)
-        _stage(part.repartition(GROUP_FILES), folder, _utc(2024, 1, 1 + number), "csv", header="true")
-    return folder, customer.schema
+        _stage(part.repartition(files), folder, "csv", header="true")
+    return FileSource("customer", folder, "csv", customer.schema, max_files_per_trigger=files, **more)
 
 
 def _with_failures(on_fail: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder, schema = _segment_groups(spark, sf_dir, F.concat(F.lit("no number "), "c_custkey"))
+        source = _segment_groups(spark, sf_dir, F.concat(F.lit("no number "), "c_custkey"), on_fail=on_fail)
         out = storage.scratch_dir(spark, "customer-copy")
-        source = FileSource("customer", folder, "csv", schema, on_fail=on_fail, max_files_per_trigger=GROUP_FILES)
         run(spark, [source], [FileSink("copy", "customer", out, "parquet")], storage.scratch_dir(spark, "job"))
-        return read_batches(spark, out, "parquet", schema)
+        return read_batches(spark, out, "parquet", source.schema)
 
     return query
 
@@ -196,13 +188,12 @@ class _FullSink(FileSink):
 
 def sink_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A destination that fails after its first batch does not hold up the other."""
-    folder, schema = _segment_groups(spark, sf_dir, None)
+    source = _segment_groups(spark, sf_dir, None)
     base = storage.scratch_dir(spark, "customer-copy")
-    source = FileSource("customer", folder, "csv", schema, max_files_per_trigger=GROUP_FILES)
     sinks = [_FullSink("full", "customer", f"{base}/full", "json"), FileSink("well", "customer", f"{base}/well", "json")]
     run(spark, [source], sinks, storage.scratch_dir(spark, "job"))
     counts = [
-        read_batches(spark, sink.path, "json", schema).agg(F.lit(sink.name).alias("sink"), F.count("*").alias("rows"))
+        read_batches(spark, sink.path, "json", source.schema).agg(F.lit(sink.name).alias("sink"), F.count("*").alias("rows"))
         for sink in sinks
     ]
     return counts[0].unionByName(counts[1])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -155,26 +156,29 @@ def send(requests: DataFrame, fetch: Fetch, parallelism: int | None = None) -> D
 LANDED_SCHEMA = f"{RESPONSE_SCHEMA}, accepted boolean, records int, next_cursor string"
 
 
-def with_facts(responses: DataFrame, source: ApiSource) -> DataFrame:
-    """Responses with `accepted, records, next_cursor`.
+def fact_steps(source: ApiSource) -> list[dict[str, Column]]:
+    """The columns `with_facts` adds, step by step; built once for all waves.
 
     A refused response counts as shorter than any page, so it ends its
     endpoint's sequence.
     """
-    judged = responses.withColumns(
-        {"accepted": is_accepted(F.col("status"), F.col("body")), "value": J.parse(F.col("body"))}
-    )
     following = F.lit(None).cast("string")
     if source.cursor_field:
         following = J.cursor_value(F.col("value"), source.cursor_field, source.cursor_record)
-    facts = judged.withColumns(
-        {"selected": J.select_field(F.col("value"), source.select_field), "next_cursor": following}
-    )
-    records = F.when(F.col("accepted"), J.record_count(F.col("selected"))).otherwise(-1)
-    return facts.select(
-        *responses.columns, "accepted", records.alias("records"),
-        F.when(F.col("accepted"), F.col("next_cursor")).alias("next_cursor"),
-    )
+    return [
+        {"accepted": is_accepted(F.col("status"), F.col("body")), "value": J.parse(F.col("body"))},
+        {"selected": J.select_field(F.col("value"), source.select_field), "following": following},
+        {
+            "records": F.when(F.col("accepted"), J.record_count(F.col("selected"))).otherwise(-1),
+            "next_cursor": F.when(F.col("accepted"), F.col("following")),
+        },
+    ]
+
+
+def with_facts(responses: DataFrame, steps: list[dict[str, Column]]) -> DataFrame:
+    """Responses with `accepted, records, next_cursor`."""
+    facts = reduce(DataFrame.withColumns, steps, responses)
+    return facts.select(*responses.columns, "accepted", "records", "next_cursor")
 
 
 def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None) -> DataFrame:
@@ -197,11 +201,12 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
     else:
         base = base.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
     base = active = storage.materialize(base, "endpoints")
+    steps = fact_steps(source)
     land, waves = storage.scratch_dir(spark, "responses"), []
     for first in range(0, limit, width):
         requests = build_requests(expand_pages(active, first, min(width, limit - first)), source)
         waves.append(f"{land}/wave={first}")
-        with_facts(send(requests, source.fetch, source.parallelism), source).write.parquet(waves[-1])
+        with_facts(send(requests, source.fetch, source.parallelism), steps).write.parquet(waves[-1])
         wave = spark.read.schema(LANDED_SCHEMA).parquet(waves[-1])
         landed = spark.read.schema(LANDED_SCHEMA).parquet(*waves)
         full = F.col("records") >= source.page_size

@@ -45,11 +45,6 @@ def make_dir(spark: SparkSession, path: str) -> str:
     return path
 
 
-def set_modified(spark: SparkSession, path: str, seconds: float) -> None:
-    fs, jpath = _locate(spark, path)
-    fs.setTimes(jpath, int(seconds * 1000), -1)
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small text file in one step (write aside, then rename over it)."""
     fs, jpath = _locate(spark, path)
