@@ -136,6 +136,31 @@ def test_a_failing_sink_leaves_the_others_running(spark, folder, on_fail, stoppe
     assert len(jobs["a"].reports) == (1 if on_fail == "stop" else 2)
 
 
+class Full(FileSink):
+    """Fails while the file `full` exists beside its folder."""
+
+    def write(self, df, job, batch_id):
+        if batch_id >= 1 and os.path.exists(f"{self.path}.full"):
+            raise RuntimeError("no space")
+        super().write(df, job, batch_id)
+
+
+@pytest.mark.parametrize("isolate", [False, True])
+def test_a_stopped_destination_resumes_without_loss(spark, folder, isolate):
+    for n in (1, 2, 3):
+        put(f"{folder}/csv", f"{n}.csv", f"id,value\n{n},x\n", n)
+    pathlib.Path(folder, "a.full").touch()
+    source = FileSource("s", f"{folder}/csv", max_files_per_trigger=1)
+    sinks = [Full("a", "s", f"{folder}/a", "json")] + ([FileSink("b", "s", f"{folder}/b", "json")] if isolate else [])
+    jobs = J.run(spark, [source], sinks, f"{folder}/state", isolate=isolate)
+    assert rows(read_batches(spark, f"{folder}/a", "json", SCHEMA), "id") == [(1,)]
+    assert [r.action for r in jobs["s/a" if isolate else "s"].reports] == ["stop", "stop"]
+    pathlib.Path(folder, "a.full").unlink()
+    J.run(spark, [source], sinks, f"{folder}/state", isolate=isolate)
+    for sink in sinks:
+        assert rows(read_batches(spark, sink.path, "json", SCHEMA), "id") == [(1,), (2,), (3,)]
+
+
 def test_a_failed_source_leaves_other_sources_running(spark, folder):
     malformed(f"{folder}/bad")
     two_files(f"{folder}/good")

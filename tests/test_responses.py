@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F, types as T
 
+from tidemark import storage
 from tidemark.sinks.files import FileSink, read_batches
 from tidemark.sources import responses as P
 from tidemark.sources.responses import ApiSource
@@ -174,6 +175,17 @@ def test_job_polls_with_a_durable_bookmark(spark, folder):
     assert json.loads(open(f"{folder}/state/books/schema.json").read())["fields"][0]["name"] == "id"
 
 
+def test_jobs_leave_no_intermediate_tables(spark, folder, monkeypatch):
+    shared = f"{folder}/shared"
+    monkeypatch.setattr(storage, "shared_root", lambda _: shared)
+    source = ApiSource("t", endpoints(spark, "/paged_user"), answers(), parallelism=2, pagination="page_increment")
+    jobs = J.run(spark, [source], [FileSink("o", "t", f"{folder}/o", "json")], f"{folder}/state")
+    assert jobs["t"].reports == [] and read_batches(spark, f"{folder}/o", "json", ID).count() == 7
+    assert storage.list_names(spark, shared) == []
+    P.poll(spark, source)
+    assert storage.list_names(spark, shared) != []
+
+
 def test_job_policies(spark, folder):
     for on_fail in ("stop", "skip"):
         source = ApiSource("t", endpoints(spark, "/down"), answers(), parallelism=2, on_fail=on_fail)

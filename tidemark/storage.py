@@ -8,11 +8,14 @@ the driver.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
+_scope = threading.local()
 
 
 def _locate(spark: SparkSession, path: str):
@@ -91,7 +94,27 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Delete the scratch paths made inside, once the block is left.
+
+    For jobs that run for ever: what a batch needs only while it is written
+    must not pile up.
+    """
+    outer = getattr(_scope, "paths", None)
+    _scope.paths = []
+    try:
+        yield
+    finally:
+        for path in _scope.paths:
+            delete(spark, path)
+        _scope.paths = outer
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -40,6 +40,10 @@ class SourceFailed(RuntimeError):
     """The rows of a batch could not be read."""
 
 
+class AllStopped(RuntimeError):
+    """No destination is left to write to; the batch stays unread for a restart."""
+
+
 @dataclass
 class Report:
     """Something a failure policy left out."""
@@ -90,6 +94,8 @@ class TableJob:
                 self.report(sink.name, batch_id, sink.on_fail, problem)
                 if sink.on_fail == "stop":
                     self.stopped.add(sink.name)
+            if self.sinks and len(self.stopped) == len(self.sinks):
+                raise AllStopped(f"every destination of {self.source.name} has stopped")
             self.schema = merged
         finally:
             if keep:
@@ -268,6 +274,16 @@ def _numbers(spark: SparkSession, folder: str) -> list[int]:
     return [int(name) for name in storage.list_names(spark, folder) if name.isdigit()]
 
 
+def _tidy(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """`write`, leaving none of its intermediate tables behind."""
+
+    def write_and_delete(batch: DataFrame, batch_id: int) -> None:
+        with storage.temporary(batch.sparkSession):
+            write(batch, batch_id)
+
+    return write_and_delete
+
+
 def _stream_of(spark: SparkSession, job: TableJob) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     source = job.source
     if isinstance(source, ApiSource):
@@ -318,22 +334,30 @@ def start(
     checkpoint: str,
     once: bool = False,
     cache: bool = False,
+    isolate: bool = False,
 ) -> dict[str, TableJob]:
     """Start one query per source and return the jobs by source name.
 
+    With `isolate` every destination gets a query and a checkpoint of its own
+    (jobs are then named `source/destination`): a destination that stops
+    resumes after a restart where it left off, at the price of one more read of
+    the source, which API sources would make as further requests.
+
     `once` (or `one_request` of a source) reads what there is now and ends.
     `cache` keeps each batch for its destinations instead of re-reading it.
     """
     check(sources, sinks)
     jobs = {}
     for source in sources:
-        folder = f"{checkpoint.rstrip('/')}/{source.name}"
         fed = [sink for sink in sinks if sink.source == source.name]
-        jobs[source.name] = TableJob(source, fed, folder, _job_id(spark, folder), cache)
+        parts = {f"{source.name}/{sink.name}": [sink] for sink in fed} if isolate and fed else {source.name: fed}
+        for name, part in parts.items():
+            folder = f"{checkpoint.rstrip('/')}/{name}"
+            jobs[name] = TableJob(source, part, folder, _job_id(spark, folder), cache)
     streams = {name: _stream_of(spark, job) for name, job in jobs.items()}
     for name, job in jobs.items():
         stream, write = streams[name]
-        writer = stream.writeStream.queryName(f"{name}-{job.job}").foreachBatch(write)
+        writer = stream.writeStream.queryName(f"{name}-{job.job}").foreachBatch(_tidy(write))
         writer = writer.option("checkpointLocation", f"{job.folder}/stream")
         if once or job.source.one_request:
             writer = writer.trigger(availableNow=True)
@@ -349,9 +373,10 @@ def run(
     sinks: Sequence[Sink],
     checkpoint: str,
     cache: bool = False,
+    isolate: bool = False,
 ) -> dict[str, TableJob]:
     """Read everything there is now, once, and wait; failed sources are reported."""
-    jobs = start(spark, sources, sinks, checkpoint, once=True, cache=cache)
+    jobs = start(spark, sources, sinks, checkpoint, once=True, cache=cache, isolate=isolate)
     for name, job in jobs.items():
         try:
             job.query.awaitTermination()
