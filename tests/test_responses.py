@@ -159,6 +159,8 @@ def test_settings_are_checked(spark):
         ApiSource("t", endpoints(spark, "/a"), answers(), pagination="cursor")
     with pytest.raises(ValueError):
         poll_rows(spark, "/a", one_request=False, bookmark_location="nowhere")
+    with pytest.raises(ValueError, match="/user is listed 2 times"):
+        poll_rows(spark, ["/user", "/user"])
 
 
 ID = T.StructType().add("id", T.LongType())

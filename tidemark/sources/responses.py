@@ -201,6 +201,9 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
     else:
         base = base.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
     base = active = storage.materialize(base, "endpoints")
+    twice = base.groupBy("endpoint").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"endpoint {twice['endpoint']} is listed {twice['count']} times")
     steps = fact_steps(source)
     land, waves = storage.scratch_dir(spark, "responses"), []
     for first in range(0, limit, width):
