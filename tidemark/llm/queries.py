@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, packing
+from tidemark.llm import binary, jaccard, lines, packing
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,5 +21,33 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op7_token_files": op7_token_files}
-ORACLES: dict[str, str] = {}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), words=3, numerator=90, denominator=100)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lines.decisions(documents, lines.build_index(documents)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+_LINES = """
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
+), line AS (
+    SELECT doc_id, place, held[place] AS line,
+        translate(trim(held[place], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM split, unnest(range(1, len(held) + 1)) AS places(place)
+), frequent AS (
+    SELECT key, max(doc_id) AS keeper FROM line WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT line.*, frequent.key IS NOT NULL AND doc_id <> keeper AS gone FROM line LEFT JOIN frequent USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+_QUERIES = (op5_best_fit_packing, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
+QUERIES = {query.__name__: query for query in _QUERIES}
+ORACLES = {"op10_line_dedup": _LINES}
