@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, jaccard, lines, packing
+from tidemark.llm import binary, contamination, jaccard, lines, packing, quality
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -48,6 +56,6 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM judged GROUP BY doc_id
 """
 
-_QUERIES = (op5_best_fit_packing, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
+_QUERIES = (op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
 QUERIES = {query.__name__: query for query in _QUERIES}
 ORACLES = {"op10_line_dedup": _LINES}
