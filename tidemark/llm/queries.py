@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, contamination, jaccard, lines, packing, quality
+from tidemark.llm import binary, contamination, jaccard, lines, packing, quality, topk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +29,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = binary.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -56,6 +65,35 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM judged GROUP BY doc_id
 """
 
-_QUERIES = (op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
+_TOPK = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS numbers
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.numbers, c.numbers), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM usable AS q JOIN usable AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.numbers) = len(q.numbers)
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_WARC = """
+WITH payload AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), first AS (
+    SELECT html, min(page_id) AS first FROM payload WHERE payload_bytes >= 100 GROUP BY html
+)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+    CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to
+FROM payload LEFT JOIN first USING (html)
+"""
+
+_QUERIES = (op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op6_exact_topk, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
 QUERIES = {query.__name__: query for query in _QUERIES}
-ORACLES = {"op10_line_dedup": _LINES}
+ORACLES = {"op1_warc": _WARC, "op6_exact_topk": _TOPK, "op10_line_dedup": _LINES}
