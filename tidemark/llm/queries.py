@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, contamination, jaccard, lines, packing, quality, topk, warc
+from tidemark.llm import binary, contamination, html_text, jaccard, lines, packing, quality, topk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), words=3, numerator=90, denominator=100)
 
@@ -94,6 +98,6 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM payload LEFT JOIN first USING (html)
 """
 
-_QUERIES = (op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op6_exact_topk, op7_token_files, op9_ngram_jaccard_join, op10_line_dedup)
+_QUERIES = (op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op6_exact_topk, op7_token_files, op8_html_extraction, op9_ngram_jaccard_join, op10_line_dedup)
 QUERIES = {query.__name__: query for query in _QUERIES}
 ORACLES = {"op1_warc": _WARC, "op6_exact_topk": _TOPK, "op10_line_dedup": _LINES}
