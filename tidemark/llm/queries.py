@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, contamination, html_text, jaccard, lines, packing, quality, topk, warc
+from tidemark.llm import binary, contamination, html_text, jaccard, lines, packing, quality, secrets, topk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"), path="source")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -98,6 +102,9 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
 FROM payload LEFT JOIN first USING (html)
 """
 
-_QUERIES = (op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op5_best_fit_packing, op6_exact_topk, op7_token_files, op8_html_extraction, op9_ngram_jaccard_join, op10_line_dedup)
+_QUERIES = (
+    op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op4_secret_scan, op5_best_fit_packing,
+    op6_exact_topk, op7_token_files, op8_html_extraction, op9_ngram_jaccard_join, op10_line_dedup,
+)
 QUERIES = {query.__name__: query for query in _QUERIES}
 ORACLES = {"op1_warc": _WARC, "op6_exact_topk": _TOPK, "op10_line_dedup": _LINES}
