@@ -159,3 +159,27 @@ def test_shared_folder_comes_from_the_session(spark, folder):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.scratch_dir(_Session("spark://x"), "x")
     assert storage.scratch_dir(spark, "x") != storage.scratch_dir(spark, "x")
+
+
+def test_single_line_csv_is_read_by_many_tasks(spark, folder):
+    put(folder, "a.csv", "id,value\n" + "".join(f"{n},text {n}\n" for n in range(40_000)))
+    schema = T.StructType.fromDDL("id bigint, value string")
+    source = FileSource("a", folder, schema=schema, multi_line=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = S.read_files(spark, folder, "csv", schema, source.read_options())
+        assert df.rdd.getNumPartitions() > 4
+        assert df.agg(F.sum("id"), F.count("value")).first() == (40_000 * 39_999 // 2, 40_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_columns_of_all_files_are_kept(spark, folder):
+    for kind in ("json", "parquet", "avro"):
+        for k in range(3):
+            row = spark.createDataFrame([(k, *["x"] * k)], ["id", "a", "b"][: k + 1])
+            write_batch(row, f"{folder}/{kind}", kind, f"j-{k}")
+        files = [f"{folder}/{kind}/batch=j-{k}" for k in range(3)]
+        df = S.read_files(spark, files, kind)
+        assert sorted(df.columns) == ["a", "b", "id"]
+        assert rows(df, "id", "a", "b") == [(0, None, None), (1, "x", None), (2, "x", "x")]

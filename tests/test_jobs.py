@@ -219,3 +219,51 @@ def test_a_broken_log_follows_the_policy(spark, folder):
         commit(path, 0, *head(), add("missing.parquet"))
         jobs = J.run(spark, [OpenTableSource("t", path, on_fail=on_fail)], [FileSink("o", "t", f"{path}-o", "json")], f"{path}-s")
         assert [r.action for r in jobs["t"].reports] == [on_fail]
+
+
+def test_an_old_file_that_arrives_late_is_read(spark, folder):
+    put(f"{folder}/csv", "new.csv", "id,value\n1,a\n")
+    source = FileSource("a", f"{folder}/csv", schema=SCHEMA)
+    sink = FileSink("o", "a", f"{folder}/o", "json")
+    J.run(spark, [source], [sink], f"{folder}/s")
+    path = put(f"{folder}/csv", "old.csv", "id,value\n2,b\n")
+    month_ago = time.time() - 30 * 86_400
+    os.utime(path, (month_ago, month_ago))
+    J.run(spark, [source], [sink], f"{folder}/s")
+    assert rows(read_batches(spark, f"{folder}/o", "json", SCHEMA)) == [(1, "a"), (2, "b")]
+
+
+def test_later_files_bring_columns(spark, folder):
+    for k in range(9):
+        put(f"{folder}/in", f"{k}.json", json.dumps({"id": k} if k < 8 else {"id": k, "value": "late"}) + "\n")
+    source, sink = FileSource("a", f"{folder}/in", "json"), FileSink("o", "a", f"{folder}/o", "json")
+    J.run(spark, [source], [sink], f"{folder}/s")
+    put(f"{folder}/in", "9.json", '{"id":9,"more":true}\n')
+    jobs = J.run(spark, [source], [sink], f"{folder}/s")
+    assert jobs["a"].reports == []
+    wide = T.StructType([*SCHEMA.fields, T.StructField("more", T.BooleanType())])
+    got = rows(read_batches(spark, f"{folder}/o", "json", wide))
+    assert got == [*((k, None, None) for k in range(8)), (8, "late", None), (9, None, True)]
+    assert jobs["a"].known_schema(spark).names == ["id", "value", "more"]
+
+
+def test_a_csv_file_of_other_columns_fails(spark, folder):
+    two_files(f"{folder}/csv")
+    put(f"{folder}/csv", "z.csv", "other\n1\n")
+    jobs = J.run(spark, [FileSource("a", f"{folder}/csv")], [FileSink("o", "a", f"{folder}/o", "json")], f"{folder}/s")
+    assert [report.action for report in jobs["a"].reports] == ["stop"]
+
+
+@pytest.mark.parametrize("on_fail", ["stop", "skip"])
+def test_a_snapshot_that_fails_is_taken_later(spark, table, folder, on_fail):  # noqa: F811
+    source, sink = OpenTableSource("t", table, on_fail=on_fail), FileSink("o", "t", f"{folder}/o-{on_fail}", "json")
+    lost = pathlib.Path(table, "e.parquet")
+    kept = lost.read_bytes()
+    lost.unlink()
+    jobs = J.run(spark, [source], [sink], f"{folder}/s")
+    assert len(jobs["t"].reports) == 1
+    lost.write_bytes(kept)
+    for _ in range(2):
+        assert J.run(spark, [source], [sink], f"{folder}/s")["t"].reports == []
+        got = read_batches(spark, sink.path, "json", T.StructType().add("id", T.LongType()).add("_change_type", T.StringType()))
+        assert rows(got) == [(7, "insert")]

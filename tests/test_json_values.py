@@ -1,4 +1,5 @@
 import json
+import time
 import random
 
 import pytest
@@ -49,10 +50,18 @@ def test_select_nothing_keeps_the_response(spark):
     assert select(spark, '{"a":1}', None) == '{"a":1}'
 
 
-def test_too_deep_arrays_are_refused(spark):
-    assert select(spark, '[[[{"a":1}]]]', ["a"]) == "[[[1]]]"
-    with pytest.raises(Exception, match="deeper than 3"):
-        select(spark, '[[[[{"a":1}]]]]', ["a"])
+def test_arrays_of_any_depth(spark):
+    deep = '{"a": [[[[[{"b": [[{"c": 1}]]}, {"b": [[{"c": 2}, {"c": 3}]]}]]]]]}'
+    df = spark.createDataFrame([(deep,)], "body string").select(J.parse(F.col("body")).alias("v"))
+    got = df.select(F.to_json(J.find(F.col("v"), ["a", "b", "c"])), J.cursor_value(F.col("v"), ["a", "b", "c"])).first()
+    assert tuple(got) == ("[[[[[[[1]],[[2,3]]]]]]]", "3")
+
+
+def test_long_missed_paths_plan_quickly(spark):
+    df = spark.createDataFrame([('{"a": [1]}',)], "body string").select(J.parse(F.col("body")).alias("v"))
+    began = time.time()
+    assert df.select(J.find(F.col("v"), list("abcdefgh"))).first()[0] is None
+    assert time.time() - began < 10
 
 
 @pytest.mark.parametrize(

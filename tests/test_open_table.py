@@ -82,11 +82,9 @@ def test_snapshot(spark, table):
         (0, "Mino", "insert", "1970-01-01 00:00:00")]
 
 
-@pytest.mark.parametrize("pruned, broadcast", [(10, 10), (0, 10), (0, 0)])
-def test_snapshot_of_many_files(spark, table, monkeypatch, pruned, broadcast):
-    monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
-    monkeypatch.setattr(O, "MAX_PRUNED_FILES", pruned)
-    monkeypatch.setattr(O, "MAX_BROADCAST_FILES", broadcast)
+@pytest.mark.parametrize("small", [True, False])
+def test_snapshot_of_long_and_short_lists(spark, table, monkeypatch, small):
+    monkeypatch.setattr(O, "_is_small", lambda _: small)
     assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Mino"), (7, "Toad")]
     assert rows(O.read_changes(spark, table, [2]), "id", "name", "_change_type") == [(1, "Mino", "update")]
     pathlib.Path(table, "b.parquet").unlink()
@@ -94,16 +92,51 @@ def test_snapshot_of_many_files(spark, table, monkeypatch, pruned, broadcast):
         O.read_snapshot(spark, table, 3)
 
 
-def test_pruning_leaves_dead_files_unread(spark, table, monkeypatch):
-    monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
-    df = O.read_snapshot(spark, table, 3)
-    df.collect()
-    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+def test_pruning_leaves_dead_files_unread(spark, table):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = O.read_snapshot(spark, table, 3)
+        df.collect()
+        leaf = _scan(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert leaf.metrics().apply("numFiles").value() == 2
 
 
-def test_odd_file_names(spark, folder, monkeypatch):
-    monkeypatch.setattr(O, "MAX_LISTED_FILES", 0)
+def _scan(df):
+    """The scan of the data files in the plan."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    found = [leaves.apply(k) for k in range(leaves.length())]
+    return next(leaf for leaf in found if "name" in list(leaf.schema().fieldNames()))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_a_file_added_again_is_read_once(spark, folder, monkeypatch, small):
+    monkeypatch.setattr(O, "_is_small", lambda _: small)
+    name = data(spark, folder, "a.parquet", [(1, "a")])
+    stamp = {"commitInfo": {"timestamp": 1_700_000_000_000}}
+    commit(folder, 0, *head(), stamp, add(name))
+    commit(folder, 1, stamp, remove(name))
+    commit(folder, 2, stamp, add(name))
+    assert rows(O.read_changes(spark, folder, [0, 1, 2]), "id", "_change_type") == [(1, "delete"), (1, "insert"), (1, "insert")]
+
+
+def test_logs_with_holes_are_refused(spark, table):
+    with pytest.raises(ValueError, match="no version 9"):
+        O.read_snapshot(spark, table, 9)
+    pathlib.Path(table, "_delta_log", f"{1:020d}.json").unlink()
+    with pytest.raises(ValueError, match="lacks commits"):
+        O.read_snapshot(spark, table)
+
+
+def test_half_a_checkpoint_is_not_used():
+    parts = [f"{3:020d}.checkpoint.{k:010d}.{2:010d}.parquet" for k in (1, 2)]
+    whole = f"{1:020d}.checkpoint.parquet"
+    assert O._whole_checkpoints([whole, parts[0]]) == [1]
+    assert sorted(O._whole_checkpoints([whole, *parts])) == [1, 3]
+
+
+def test_odd_file_names(spark, folder):
     name = data(spark, folder, "it's 100%+.parquet", [(1, "a")])
     commit(folder, 0, *head(), add("it's%20100%25+.parquet"))
     assert pathlib.Path(folder, name).exists() and rows(O.read_snapshot(spark, folder)) == [(1, "a")]

@@ -249,3 +249,19 @@ def test_only_the_failed_endpoint_keeps_its_bookmark(spark):
         ("/down", None, False), ("/user", "2024-01-01 00:00:00", True)]
     again = P.next_state(P.poll(spark, source, state), source, "2024-01-02T00:00:00+00:00", state)
     assert rows(again.select("endpoint", F.col("since").cast("string"))) == [("/down", None), ("/user", "2024-01-02 00:00:00")]
+
+
+def test_pages_behind_the_limit_come_with_the_next_polls(spark, folder):
+    def fetch(request):
+        import json
+
+        page, since = int(request["params"]["page"]), json.loads(request["body"])["bookmark"]
+        ids = range(page * 2, min(23, page * 2 + 2)) if since.startswith("1970") else []
+        return 200, json.dumps([{"id": n} for n in ids])
+
+    source = ApiSource("t", endpoints(spark, "/long"), fetch, parallelism=2, pagination="page_increment", page_size=2, max_requests=4, wave_pages=3)
+    sink = FileSink("o", "t", f"{folder}/o", "json")
+    for expected, action in ((8, "resume"), (16, "resume"), (23, None), (23, None)):
+        jobs = J.run(spark, [source], [sink], f"{folder}/s")
+        assert [(report.action, report.detail[:5]) for report in jobs["t"].reports] == ([(action, "/long")] if action else [])
+        assert rows(read_batches(spark, f"{folder}/o", "json", ID)) == sorted(((n,) for n in range(expected)), key=repr)

@@ -1,20 +1,20 @@
 """JSON navigation as column expressions over `variant` values.
 
-All functions take and return columns, so they stay inside the JVM and need no
-shuffle: one response is one row, and its nested parts are handled in that row.
+All functions take and return columns and need no shuffle: one response is one
+row, and its nested parts are handled in that row. All but the paths that run
+through arrays stay inside the JVM.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Arrays nested directly in one another that a path may cross; deeper
-# documents raise instead of being answered wrongly.
-MAX_ARRAY_LEVELS = 3
-
-
 def json_path(keys: Sequence[str]) -> str:
     """A JSON path with every key quoted, e.g. ``$["a"]["b c"]``."""
     path = "$"
@@ -57,41 +57,69 @@ def member(value: Column, keys: Sequence[str]) -> Column:
     return F.variant_get(value, json_path(keys), "variant")
 
 
-def _refuse_deeper(value: Column) -> Column:
-    message = F.lit(f"arrays nested deeper than {MAX_ARRAY_LEVELS} levels on a field path")
-    return F.when(as_items(value).isNotNull(), F.raise_error(message).cast("string")).cast("variant")
+def _meets_array(value: Column, keys: Sequence[str]) -> Column:
+    """Whether an array lies on the way."""
+    return reduce(or_, (as_items(value, keys[:depth]).isNotNull() for depth in range(len(keys))))
 
 
-def find(value: Column, keys: Sequence[str], levels: int = MAX_ARRAY_LEVELS) -> Column:
-    """Follow `keys` through objects; an array on the way is mapped over.
+def _walked(value: Column, keys: Sequence[str], walk: Callable[[object, list[str]], object]) -> Column:
+    """What `walk` finds in the document, as a variant; null where it finds nothing.
 
-    Null when any step misses, in any element. The plain object path comes
-    first, so ordinary documents cost a single lookup.
+    The plain path through objects is one lookup. Only documents in which it
+    misses and meets an array go to Python, many at a time.
     """
     keys = list(keys)
-    options = [member(value, keys)]
-    for depth in range(len(keys)):
-        items = as_items(value, keys[:depth])
-        rest = keys[depth:]
-        if levels == 0:
-            options.append(_refuse_deeper(member(value, keys[:depth]) if depth else value))
-            continue
-        options.append(let(F.transform(items, _finder(rest, levels - 1)), _when_whole))
-    return F.coalesce(*options)
+    plain = member(value, keys)
+
+    @F.pandas_udf("string")
+    def find_in(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: None if text is None else _as_json(walk(json.loads(text), keys)))
+
+    missed = F.when(plain.isNull() & _meets_array(value, keys), F.to_json(value))
+    return F.coalesce(plain, F.try_parse_json(find_in(missed)))
 
 
-def let(value: Column, expression: Callable[[Column], Column]) -> Column:
-    """`expression` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), expression), 1)
+def _as_json(found: object) -> str | None:
+    return None if found is MISSING else json.dumps(found, ensure_ascii=False)
 
 
-def _when_whole(found: Column) -> Column:
-    whole = F.forall(found, lambda item: item.isNotNull())
-    return F.when(whole, F.to_variant_object(found))
+MISSING = object()
 
 
-def _finder(keys: list[str], levels: int):
-    return lambda item: find(item, keys, levels)
+def _through_arrays(document: object, keys: list[str]) -> object:
+    """Follow keys through objects and, item by item, through arrays of any depth."""
+    for at, key in enumerate(keys):
+        if isinstance(document, list):
+            found = [_through_arrays(item, keys[at:]) for item in document]
+            return MISSING if any(item is MISSING for item in found) else found
+        if not isinstance(document, dict) or key not in document:
+            return MISSING
+        document = document[key]
+    return document
+
+
+def _through_one_item(index: int) -> Callable[[object, list[str]], object]:
+    def walk(document: object, keys: list[str]) -> object:
+        for key in keys:
+            while isinstance(document, list):
+                if not document:
+                    return MISSING
+                document = document[index]
+            if not isinstance(document, dict) or key not in document:
+                return MISSING
+            document = document[key]
+        return document
+
+    return walk
+
+
+def find(value: Column, keys: Sequence[str]) -> Column:
+    """Follow `keys` through objects; an array on the way is mapped over.
+
+    Null when any step misses, in any element. Arrays may nest in one another
+    to any depth.
+    """
+    return _walked(value, keys, _through_arrays)
 
 
 def select_field(value: Column, keys: Sequence[str] | None) -> Column:
@@ -116,36 +144,13 @@ def as_text(value: Column) -> Column:
     return F.variant_get(value, "$", "string")
 
 
-def cursor_value(
-    value: Column,
-    keys: Sequence[str],
-    record: str = "last",
-    levels: int = MAX_ARRAY_LEVELS,
-) -> Column:
+def cursor_value(value: Column, keys: Sequence[str], record: str = "last") -> Column:
     """The next-page cursor of a response as text.
 
     Where the path meets an array, its last (or first) record is asked.
     """
-    return as_text(_find_in_record(value, list(keys), _record_index(record), levels))
-
-
-def _record_index(record: str) -> int:
     try:
-        return {"first": 1, "last": -1}[record]
+        index = {"first": 0, "last": -1}[record]
     except KeyError:
         raise ValueError(f"cursor record must be 'first' or 'last', not {record!r}") from None
-
-
-def _find_in_record(value: Column, keys: list[str], index: int, levels: int) -> Column:
-    options = [member(value, keys)]
-    for depth in range(len(keys)):
-        if levels == 0:
-            options.append(_refuse_deeper(member(value, keys[:depth]) if depth else value))
-            continue
-        item = F.try_element_at(as_items(value, keys[:depth]), F.lit(index))
-        options.append(let(item, _record_finder(keys[depth:], index, levels - 1)))
-    return F.coalesce(*options)
-
-
-def _record_finder(keys: list[str], index: int, levels: int) -> Callable[[Column], Column]:
-    return lambda item: _find_in_record(item, keys, index, levels)
+    return as_text(_walked(value, keys, _through_one_item(index)))

@@ -207,6 +207,25 @@ def bookmark_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_bookmark(bookmark_rows(spark, sf_dir), "ts")
 
 
+def schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose later files have further columns, as JSON and as Parquet, by two runs of a job."""
+    orders = load(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+    steps = [orders.columns[:2], orders.columns[:4], orders.columns]
+    parts = [orders.where(F.col("o_orderkey") % 3 == k).select(columns) for k, columns in enumerate(steps)]
+    out = []
+    for kind in ("json", "parquet"):
+        folder, copy, state = (storage.scratch_dir(spark, label) for label in ("orders", "orders-copy", "job"))
+        source, sink = FileSource("orders", folder, kind), FileSink("copy", "orders", copy, "parquet")
+        _stage(parts[0].repartition(9), folder, kind)
+        _stage(parts[1].repartition(2), folder, kind)
+        run(spark, [source], [sink], state)
+        _stage(parts[2].repartition(2), folder, kind)
+        jobs = run(spark, [source], [sink], state)
+        schema = T.StructType([jobs["orders"].known_schema(spark)[name] for name in orders.columns])
+        out.append(read_batches(spark, copy, "parquet", schema).withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
 def open_table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders")
     path = storage.scratch_dir(spark, "orders-table")
@@ -236,6 +255,7 @@ QUERIES = {
     "sink_isolation": sink_isolation,
     "bookmark_rows": bookmark_rows,
     "bookmark_advance": bookmark_advance,
+    "schema_evolution": schema_evolution,
     "open_table_append": open_table_append,
 }
 
@@ -245,6 +265,14 @@ _SINK_TOTALS = """
 """
 
 ORACLES = {
+    "schema_evolution": """
+        SELECT o_orderkey, o_custkey,
+               CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus,
+               CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS o_totalprice,
+               CASE WHEN o_orderkey % 3 = 2 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS o_orderdate,
+               CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_orderpriority, kind
+        FROM orders, (VALUES ('json'), ('parquet')) AS kinds(kind)
+    """,
     "csv_roundtrip": "SELECT * FROM orders",
     "csv_text_roundtrip": "SELECT * FROM documents",
     "json_roundtrip": "SELECT * FROM events",

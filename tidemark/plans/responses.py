@@ -8,9 +8,11 @@ and none holds more than 50 records.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidemark import storage
 from tidemark.functions import json_values as J
 from tidemark.functions.requests import bookmark_text, put_member, put_param
 from tidemark.operators import pages as P, records as R
@@ -233,45 +235,50 @@ def cursor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Polling ---------------------------------------------------------------------
 
-def _order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An endpoint per customer; the answer size travels as a parameter."""
-    counts = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return counts.select(
-        F.col("o_custkey").cast("string").alias("endpoint"),
-        F.create_map(F.lit("total"), F.col("n").cast("string")).alias("params"),
-    )
+def _orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An endpoint per customer; its orders travel in the request body, for the answers."""
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("held"))
+    return orders.select(F.col("o_custkey").cast("string").alias("endpoint"), F.to_json(F.struct("held")).alias("body"))
 
 
-def _numbered_pages(request: dict) -> tuple[int, str]:
-    """Answers with the customer's order numbers of the page; past the end, an error."""
-    params = request["params"]
-    total, size, page = int(params["total"]), int(params["page_size"]), int(params["page"])
-    numbers = range(page * size, min(total, (page + 1) * size))
-    if page * size > total:
+def _page_answer(request: dict) -> tuple[int, str]:
+    """The orders of a page; past the end, an error; nothing new for a later bookmark."""
+    body, params = json.loads(request["body"]), request["params"]
+    held = body["held"] if body.get("bookmark", "1970").startswith("1970") else []
+    size, page = int(params["page_size"]), int(params["page"])
+    if page * size > len(held):
         return 404, ""
-    return 200, json.dumps({"data": [{"number": n} for n in numbers]})
+    return 200, json.dumps({"data": held[page * size : (page + 1) * size]})
 
 
-def _numbered_cursor(request: dict) -> tuple[int, str]:
-    params = request["params"]
-    total, size, start = int(params["total"]), int(params["page_size"]), int(params.get("after", "0"))
-    numbers = range(start, min(total, start + size))
-    answer = {"data": [{"number": n} for n in numbers]}
-    if start + size < total:
+def _cursor_answer(request: dict) -> tuple[int, str]:
+    held, params = json.loads(request["body"])["held"], request["params"]
+    size, start = int(params["page_size"]), int(params.get("after", "0"))
+    answer = {"data": held[start : start + size]}
+    if start + size < len(held):
         answer["next"] = str(start + size)
     return 200, json.dumps(answer)
 
 
-def _polled(fetch, **settings):
+def _polled(fetch, polls: int = 1, **settings):
+    """The orders that `polls` polls deliver, one after another."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         source = ApiSource(
-            "orders", _order_counts(spark, sf_dir), fetch, select_field=["data"], one_request=True,
-            schema=T.StructType().add("number", T.LongType()), **settings,
+            "orders", _orders_by_customer(spark, sf_dir), fetch, select_field=["data"], one_request=polls == 1,
+            schema=T.StructType().add("key", T.LongType()).add("price", T.DoubleType()), **settings,
         )
-        landed = S.poll(spark, source)
-        records = R.explode_records(R.with_selection(landed, source.select_field))
-        rows = R.decode(records, source.schema, keep=["endpoint"])
-        return rows.select(F.col("endpoint").cast("bigint").alias("o_custkey"), "number")
+        state, parts = None, []
+        for number in range(polls):
+            landed = S.poll(spark, source, state)
+            records = R.explode_records(R.with_selection(landed, source.select_field))
+            parts.append(R.decode(records, source.schema, keep=["endpoint"]))
+            state = storage.materialize(S.next_state(landed, source, f"2024-01-01 00:00:{number:02d}", state), "state")
+            if number + 1 < polls and state.where("unfinished").isEmpty():
+                break
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.select(F.col("endpoint").cast("bigint").alias("o_custkey"), F.col("key").alias("o_orderkey"), F.col("price").alias("o_totalprice"))
 
     return query
 
@@ -293,9 +300,13 @@ QUERIES = {
     "page_cutoff_limit": _cut(20),
     "offset_increment": offset_increment,
     "cursor_chain": cursor_chain,
-    "polled_pages": _polled(_numbered_pages, pagination="page_increment", wave_pages=4),
+    "polled_pages": _polled(_page_answer, pagination="page_increment", wave_pages=4),
     "polled_cursor": _polled(
-        _numbered_cursor, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query",
+        _cursor_answer, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query",
+    ),
+    # a poll of four requests leaves most endpoints unfinished; the later ones go on
+    "polled_resume": _polled(
+        _page_answer, polls=100, pagination="page_increment", wave_pages=4, page_size=5, max_requests=4,
     ),
 }
 
@@ -324,10 +335,7 @@ def _kept(limit: int) -> str:
     """
 
 
-_POLLED = """
-    SELECT o_custkey, unnest(range(0, least(n, 500))) AS number
-    FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)
-"""
+_POLLED = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders"
 
 ORACLES = {
     "request_pages": f"""
@@ -415,4 +423,5 @@ ORACLES = {
     """,
     "polled_pages": _POLLED,
     "polled_cursor": _POLLED,
+    "polled_resume": _POLLED,
 }

@@ -19,7 +19,11 @@ BATCH = "batch"
 
 @dataclass(frozen=True)
 class FileSink:
-    """A destination directory fed by the source table `source`."""
+    """A destination directory fed by the source table `source`.
+
+    A file ends after `rows_per_file` rows (0: no limit), so that text formats that
+    can't be split stay readable by many tasks.
+    """
 
     name: str
     source: str
@@ -27,9 +31,11 @@ class FileSink:
     filetype: str = "csv"
     on_fail: str = "stop"
     options: dict[str, str] = field(default_factory=dict)
+    rows_per_file: int = 1_000_000
 
     def write(self, df: DataFrame, job: str, batch_id: int) -> None:
-        write_batch(df, self.path, self.filetype, batch_name(job, batch_id), self.options)
+        options = {"maxRecordsPerFile": str(self.rows_per_file), **self.options}
+        write_batch(df, self.path, self.filetype, batch_name(job, batch_id), options)
 
 
 def batch_name(job: str, batch_id: int) -> str:
@@ -39,7 +45,7 @@ def batch_name(job: str, batch_id: int) -> str:
 def write_batch(
     df: DataFrame, path: str, filetype: str, batch: str, options: dict[str, str] | None = None
 ) -> None:
-    """Write one batch; one file per partition, published by Spark's commit."""
+    """Write one batch; a file per partition or more, published by Spark's commit."""
     writer = conform(df, filetype).write.mode("overwrite").format(format_name(df.sparkSession, filetype))
     writer = writer.options(**text_options(filetype))
     if filetype == "avro":

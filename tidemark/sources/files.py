@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import storage
 from tidemark.operators.changes import EPOCH
+from tidemark.operators.schemas import merge_schemas
 
 # Microsecond timestamps survive text formats only with these.
 TIME_FORMATS = {
@@ -22,10 +25,6 @@ TIME_FORMATS = {
 # the spark-avro module on the class path.
 _AVRO_CLASS = "org.apache.spark.sql.avro.AvroFileFormat"
 
-# Files a schema is inferred from. Rows that do not fit it later fail the read
-# (FAILFAST), they are never silently turned into nulls.
-INFER_FILES = 8
-
 
 def format_name(spark: SparkSession, filetype: str) -> str:
     """The data source name of a file type; ValueError for an unknown one."""
@@ -53,8 +52,8 @@ def read_options(filetype: str) -> dict[str, str]:
     if filetype == "csv":
         # an empty cell is null, a quoted empty one is an empty text
         options["nullValue"] = "\u0000"
-        # texts may hold line breaks; set to false for single-line data, so
-        # that large files can be split
+        # texts may hold line breaks; `multi_line` of a source says when they do
+        # not, so that large files can be split
         options["multiLine"] = "true"
         # headers are compared with the schema: a file with other columns, or
         # with columns in another order, fails the read
@@ -83,13 +82,22 @@ def is_new(bookmark: datetime) -> Column:
     return F.col("_metadata.file_modification_time") > F.timestamp_micros(F.lit(micros))
 
 
+# Some thousand years: no file is too old to be new.
+ANY_AGE = "365000d"
+
+
 @dataclass(frozen=True)
 class FileSource:
     """A directory that holds one table as files.
 
-    The directory is read flat. `schema` is inferred from the oldest files
-    when not given. `on_fail` is `stop` (an unreadable file ends this source)
-    or `skip` (the unreadable file is left out and reported).
+    The directory is read flat. `schema` is inferred from all files of a read
+    when not given, so later files may bring further columns; a given one is
+    frozen. `on_fail` is `stop` (an unreadable file ends this source) or `skip`
+    (the unreadable file is left out and reported). `multi_line=False` promises
+    that no text of a CSV file holds a line break: large files are then read by
+    many tasks. `max_file_age` is how far a file may be behind the newest one and
+    still count as new; by default any age does, and the checkpoint keeps the name
+    of every file seen (some hundred bytes each), a limit lets it forget old ones.
     """
 
     name: str
@@ -102,25 +110,46 @@ class FileSource:
     one_request: bool = False
     max_files_per_trigger: int = 1_000
     options: dict[str, str] = field(default_factory=dict)
+    multi_line: bool = True
+    max_file_age: str = ANY_AGE
+
+    def read_options(self) -> dict[str, str]:
+        """The source's own options and what its fields say."""
+        lines = {} if self.filetype != "csv" else {"multiLine": str(self.multi_line).lower()}
+        return {**lines, **self.options}
 
     def resolve_schema(self, spark: SparkSession) -> T.StructType:
         if self.schema is not None:
             return self.schema
-        return infer_schema(spark, self.path, self.filetype, self.options)
+        return infer_schema(spark, self.path, self.filetype, self.read_options())
 
 
 def infer_schema(
-    spark: SparkSession, path: str, filetype: str = "csv", options: dict[str, str] | None = None
+    spark: SparkSession, path: str | list[str], filetype: str = "csv", options: dict[str, str] | None = None
 ) -> T.StructType:
-    """Infer a table's schema from its first few files by name."""
-    names = [n for n in storage.list_names(spark, path) if not n.startswith(("_", "."))]
-    if not names:
-        raise FileNotFoundError(f"no files to infer a schema from in {path}")
-    reader = spark.read.format(format_name(spark, filetype)).options(**read_options(filetype))
+    """Infer a table's schema from all files of a directory, or from all files given.
+
+    Texts are read by Spark for it, of Parquet and Avro files only the footers or
+    heads. Columns that only some files have join at the end.
+    """
+    if isinstance(path, str):
+        names = [n for n in storage.list_names(spark, path) if not n.startswith(("_", "."))]
+        if not names:
+            raise FileNotFoundError(f"no files to infer a schema from in {path}")
+        files = [f"{path.rstrip('/')}/{n}" for n in names]
+    else:
+        files = path
+    reader = spark.read.format(format_name(spark, filetype)).options(**read_options(filetype)).options(**(options or {}))
+    if filetype == "avro":
+        # the format takes the schema of one file; equal ones are merged only once
+        with ThreadPoolExecutor(8) as pool:
+            found = {schema.json(): schema for schema in pool.map(lambda file: reader.load(file).schema, files)}
+        return reduce(merge_schemas, [found[key] for key in sorted(found, key=lambda key: (len(key), key))])
     if filetype == "csv":
-        reader = reader.option("inferSchema", "true")
-    schema = reader.options(**(options or {})).load([f"{path.rstrip('/')}/{n}" for n in names[:INFER_FILES]]).schema
-    return widen_integers(schema) if filetype == "csv" else schema
+        return widen_integers(reader.option("inferSchema", "true").load(path).schema)
+    if filetype == "parquet":
+        reader = reader.option("mergeSchema", "true")
+    return reader.load(path).schema
 
 
 def read_files(
@@ -131,13 +160,9 @@ def read_files(
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Files or directories as one table."""
-    if schema is None and isinstance(path, str):
+    if schema is None:
         schema = infer_schema(spark, path, filetype, options)
-    reader = spark.read.format(format_name(spark, filetype)).options(**read_options(filetype))
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif filetype == "csv":
-        reader = reader.option("inferSchema", "true")
+    reader = spark.read.format(format_name(spark, filetype)).options(**read_options(filetype)).schema(schema)
     return reader.options(**(options or {})).load(path)
 
 
@@ -146,7 +171,7 @@ def read_new_files(spark: SparkSession, source: FileSource) -> tuple[bool, DataF
     if not any(not n.startswith(("_", ".")) for n in storage.list_names(spark, source.path)):
         return False, spark.createDataFrame([], source.schema or T.StructType([]))
     schema = source.resolve_schema(spark)
-    table = read_files(spark, source.path, source.filetype, schema, source.options)
+    table = read_files(spark, source.path, source.filetype, schema, source.read_options())
     rows = table.where(is_new(source.bookmark))
     return not rows.isEmpty(), rows
 
@@ -157,8 +182,9 @@ def stream_files(spark: SparkSession, source: FileSource) -> DataFrame:
         spark.readStream.format(format_name(spark, source.filetype))
         .schema(source.resolve_schema(spark))
         .options(**read_options(source.filetype))
-        .options(**source.options)
+        .options(**source.read_options())
         .option("maxFilesPerTrigger", source.max_files_per_trigger)
+        .option("maxFileAge", source.max_file_age)
     )
     rows = reader.load(source.path)
     return rows if source.bookmark <= EPOCH else rows.where(is_new(source.bookmark))
@@ -178,6 +204,7 @@ def stream_file_names(spark: SparkSession, source: FileSource) -> DataFrame:
         spark.readStream.format("binaryFile")
         .schema(_LISTING)
         .option("maxFilesPerTrigger", source.max_files_per_trigger)
+        .option("maxFileAge", source.max_file_age)
         .load(source.path)
     )
     since = source.bookmark.replace(tzinfo=source.bookmark.tzinfo or timezone.utc)
@@ -207,7 +234,7 @@ def split_unreadable(
         if not group:
             continue
         try:
-            probe = read_files(spark, group, source.filetype, schema, source.options)
+            probe = read_files(spark, group, source.filetype, schema, source.read_options())
             probe.write.format("noop").mode("overwrite").save()
             readable += group
         except Exception:  # any read error marks the group
@@ -222,7 +249,7 @@ def split_unreadable(
 def _malformed(spark: SparkSession, paths: list[str], source: FileSource, schema: T.StructType) -> set[str]:
     """Files with at least one row that does not fit the schema."""
     corrupt = "_corrupt_row"
-    options = {**source.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    options = {**source.read_options(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
     wide = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType(), True)])
     rows = read_files(spark, paths, source.filetype, wide, options)
     # the hash keeps every column in the scan, so every value is checked

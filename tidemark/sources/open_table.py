@@ -23,15 +23,6 @@ from tidemark.sources.files import is_new
 LOG_DIR = "_delta_log"
 CHANGE_DIR = "_change_data"
 
-# How the data files of a snapshot are picked: this many by an explicit list, as
-# Spark lists that many paths without a job of its own ...
-MAX_LISTED_FILES = 32
-# ... this many by a condition on the file path that prunes the directory's
-# files, and more by a semi join of the rows on the file path.
-MAX_PRUNED_FILES = 50_000
-# A path table of up to this many rows (some 200 bytes each) is broadcast.
-MAX_BROADCAST_FILES = 2_000_000
-
 _ACTION = """
     add struct<path string, partitionValues map<string,string>, modificationTime bigint, dataChange boolean,
                deletionVector struct<storageType string>>,
@@ -98,8 +89,7 @@ def read_log(spark: SparkSession, path: str, version: int | None = None) -> Data
     if any(not _CHECKPOINT.match(n) for n in names if n.endswith((".parquet", ".json"))):
         raise ValueError("this log has checkpoints only a connector can read")
     top = _LAST_VERSION if version is None else version
-    versions = [int(n[:20]) for n in names if _CHECKPOINT.match(n) and int(n[:20]) <= top]
-    base = max(versions, default=-1)
+    base = max((v for v in _whole_checkpoints(names) if v <= top), default=-1)
     commit_name = F.col("_metadata.file_name")
     commits = (
         spark.read.schema(_ACTION).option("pathGlobFilter", "*.json").json(folder)
@@ -108,6 +98,7 @@ def read_log(spark: SparkSession, path: str, version: int | None = None) -> Data
         .withColumn("version", _version(commit_name))
         .where("version is not null")
     )
+    _refuse_gaps(commits, base, version)
     if base < 0:
         return commits
     files = [f"{folder}/{n}" for n in names if _CHECKPOINT.match(n) and int(n[:20]) == base]
@@ -115,6 +106,27 @@ def read_log(spark: SparkSession, path: str, version: int | None = None) -> Data
     return state.unionByName(commits)
 
 
+def _whole_checkpoints(names: Sequence[str]) -> list[int]:
+    """Versions of which every part of a checkpoint is there."""
+    parts: dict[tuple[int, int], int] = {}
+    for match in filter(None, map(_CHECKPOINT.match, names)):
+        key = int(match[1]), int(match[2].split(".")[2]) if match[2] else 1
+        parts[key] = parts.get(key, 0) + 1
+    return [version for (version, wanted), there in parts.items() if there == wanted]
+
+
+def _refuse_gaps(commits: DataFrame, base: int, version: int | None) -> None:
+    """Refuse a log that lacks a commit behind its checkpoint, or the version asked for."""
+    head = commits.agg(F.max("version").alias("top"), F.count_distinct("version").alias("n")).first()
+    top = base if head["top"] is None else head["top"]
+    if head["n"] != top - base:
+        raise ValueError(f"the log lacks commits between versions {base} and {top}")
+    if version is not None and version != top:
+        raise ValueError(f"the log ends at version {top}, there is no version {version}")
+    if top < 0:
+        raise FileNotFoundError("the log holds no commit")
+
+
 def live_files(log: DataFrame) -> DataFrame:
     """The data files of the latest version in the log, as `path`.
 
@@ -167,32 +179,33 @@ def _read_data(
 ) -> DataFrame:
     """Rows of the listed parquet files (column `path`), in the table's schema.
 
-    A short list goes to the reader as it is. Otherwise the directory `below`
-    the table is read and its files pruned, so that no path is looked up singly.
+    The directory `below` the table is read and its rows are joined to the list on
+    their file, for lists of every length; Spark broadcasts the list where it has
+    measured it to be small. Such a list is also put as a condition on the path,
+    which leaves other files unopened. A path that is listed twice is read once.
     """
-    located = storage.materialize(files.select(_located(F.col("path"), table_path).alias("path")), "live-files")
-    count = located.count()
-    key = _file_key(_decoded(F.col("_metadata.file_path")))
+    wanted = files.select(_file_key(_located(F.col("path"), table_path)).alias("_file")).distinct()
+    wanted = storage.materialize(wanted, "live-files")
     root = f"{table_path.rstrip('/')}/{below}"
-    reader = spark.read.option("basePath", table_path).schema(schema)
-    if count == 0:
+    if wanted.isEmpty():
         rows = spark.createDataFrame([], schema).withColumn("_file", F.lit(None).cast("string"))
-    elif count <= MAX_LISTED_FILES:
-        rows = reader.parquet(*[row["path"] for row in located.collect()]).withColumn("_file", key)
     else:
-        wanted = located.select(_file_key(F.col("path")).alias("_file"))
         _check_present(spark, root, wanted)
-        rows = reader.parquet(root).withColumn("_file", key)
-        if count <= MAX_PRUNED_FILES:
-            paths = [row["_file"].replace("\\", "\\\\").replace("'", "\\'") for row in wanted.collect()]
-            rows = rows.where("_file IN ('" + "', '".join(paths) + "')")
-        else:
-            small = F.broadcast(wanted) if count <= MAX_BROADCAST_FILES else wanted
-            rows = rows.join(small, "_file", "left_semi")
+        rows = spark.read.option("basePath", table_path).schema(schema).parquet(root)
+        rows = rows.withColumn("_file", _file_key(_decoded(F.col("_metadata.file_path"))))
+        if _is_small(wanted):
+            rows = rows.where(F.col("_file").isin([row["_file"] for row in wanted.collect()]))
+        rows = rows.join(wanted, "_file", "left_semi")
     columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
     return rows.select(*columns, *([F.col("_file").alias(file_column)] if file_column else []))
 
 
+def _is_small(table: DataFrame) -> bool:
+    """Whether Spark, by the size it has measured, would broadcast a written table."""
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def _check_present(spark: SparkSession, root: str, wanted: DataFrame) -> None:
     """Refuse a snapshot of which a file is not in the directory."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -74,9 +74,10 @@ class ApiSource:
 # The request table -----------------------------------------------------------
 
 def expand_pages(endpoints: DataFrame, first: int, count: int) -> DataFrame:
-    """One row per endpoint and page number."""
+    """One row per endpoint and page number; endpoints with a `resume` page count from there."""
     numbers = F.sequence(F.lit(first).cast("bigint"), F.lit(first + count - 1).cast("bigint"))
-    return endpoints.withColumn("page", F.explode(numbers))
+    pages = endpoints.withColumn("page", F.explode(numbers))
+    return pages.withColumn("page", F.col("page") + F.col("resume")) if "resume" in endpoints.columns else pages
 
 
 def page_offset(page: Column, start: int, page_size: int) -> Column:
@@ -196,10 +197,10 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
     width = 1 if by_cursor else min(source.wave_pages, limit)
     base = with_request_columns(source.endpoints)
     if state is None:
-        nothing = {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")}
+        nothing = {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string"), "resume": F.lit(0).cast("bigint")}
         base = base.withColumns(nothing)
     else:
-        base = base.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
+        base = base.join(_progress(state), "endpoint", "left").na.fill(0, ["resume"])
     base = active = storage.materialize(base, "endpoints")
     twice = base.groupBy("endpoint").count().where("count > 1").first()
     if twice is not None:
@@ -224,10 +225,20 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
             break
     if width > 1:
         ends = storage.materialize(last_pages(landed, source.page_size), "page-ends")
-        landed = keep_pages(landed, ends, limit)
+        # no page past the limit was asked for, wherever the endpoints began
+        landed = keep_pages(landed, ends, _NO_LIMIT)
     return _judge(landed, source)
 
 
+_NO_LIMIT = 2**62
+
+
+def _progress(state: DataFrame) -> DataFrame:
+    """`endpoint, since, cursor, resume` of a state; states written before there was a resume page start at 0."""
+    resume = F.col("resume") if "resume" in state.columns else F.lit(0)
+    return state.select("endpoint", "since", "cursor", resume.cast("bigint").alias("resume"))
+
+
 def _judge(landed: DataFrame, source: ApiSource) -> DataFrame:
     """Apply the failure policy: a refused response stops the poll, or drops
     its endpoint from this poll."""
@@ -241,24 +252,39 @@ def _judge(landed: DataFrame, source: ApiSource) -> DataFrame:
 
 
 def next_state(landed: DataFrame, source: ApiSource, now: str, state: DataFrame | None = None) -> DataFrame:
-    """`endpoint, since, cursor, polled` after a poll at the time `now`.
+    """`endpoint, since, cursor, resume, polled, unfinished` after a poll at the time `now`.
 
     An endpoint that answered moves its bookmark to `now` and its cursor to the
-    one its last page names, if any; one left out of the poll keeps both.
+    one its last page names, if any; one left out of the poll keeps both. An
+    endpoint that met the request limit with a full page is unfinished: it keeps
+    its bookmark, and its next poll goes on with the page behind that one.
     """
-    answered = landed.groupBy("endpoint").agg(F.max_by("next_cursor", "page").alias("new_cursor"))
-    answered = answered.withColumn("polled", F.lit(True))
+    last = F.max_by(F.struct("next_cursor", "records", "page"), "page").alias("last")
+    answered = landed.groupBy("endpoint").agg(last, F.count(F.lit(1)).alias("pages"))
+    unfinished = (F.col("pages") >= source.max_requests) & (F.col("last.records") >= source.page_size)
+    if source.pagination == "none":
+        unfinished = F.lit(False)
+    elif source.pagination == "cursor":
+        unfinished &= F.col("last.next_cursor").isNotNull()
+    answered = answered.select(
+        "endpoint", F.col("last.next_cursor").alias("new_cursor"), F.lit(True).alias("polled"),
+        unfinished.alias("unfinished"), (F.col("last.page") + 1).alias("next_page"),
+    )
     before = source.endpoints.select("endpoint")
     if state is None:
-        before = before.withColumns({"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string")})
+        nothing = {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string"), "resume": F.lit(0).cast("bigint")}
+        before = before.withColumns(nothing)
     else:
-        before = before.join(state.select("endpoint", "since", "cursor"), "endpoint", "left")
+        before = before.join(_progress(state), "endpoint", "left")
     polled = F.coalesce(F.col("polled"), F.lit(False))
+    going_on = F.coalesce(F.col("unfinished"), F.lit(False))
     return before.join(answered, "endpoint", "left").select(
         "endpoint",
-        F.when(polled, F.lit(now).cast("timestamp")).otherwise(F.col("since")).alias("since"),
+        F.when(polled & ~going_on, F.lit(now).cast("timestamp")).otherwise(F.col("since")).alias("since"),
         F.when(polled, F.col("new_cursor")).otherwise(F.col("cursor")).alias("cursor"),
+        F.when(going_on, F.col("next_page")).when(polled, 0).otherwise(F.coalesce("resume", F.lit(0))).cast("bigint").alias("resume"),
         polled.alias("polled"),
+        going_on.alias("unfinished"),
     )
 
 

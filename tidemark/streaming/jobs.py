@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import storage
-from tidemark.operators.schemas import merge_schemas
+from tidemark.operators.schemas import SchemaConflict, merge_schemas
 from tidemark.sinks.files import FileSink
 from tidemark.sinks.open_table import OpenTableSink
 from tidemark.sources import files as file_source, open_table, responses
@@ -85,7 +85,8 @@ class TableJob:
         try:
             if _read_or_fail(rows.isEmpty):
                 return
-            merged = _read_or_fail(lambda: merge_schemas(self.schema, rows.schema))
+            known = self.known_schema(rows.sparkSession)
+            merged = _read_or_fail(lambda: merge_schemas(known, rows.schema))
             failures = self._write_all(running, rows, batch_id)
             if failures:
                 # is it the destination that failed, or the rows?
@@ -96,11 +97,23 @@ class TableJob:
                     self.stopped.add(sink.name)
             if self.sinks and len(self.stopped) == len(self.sinks):
                 raise AllStopped(f"every destination of {self.source.name} has stopped")
-            self.schema = merged
+            self._keep_schema(rows.sparkSession, merged)
         finally:
             if keep:
                 rows.unpersist()
 
+    def known_schema(self, spark: SparkSession) -> T.StructType | None:
+        """All columns the source has had so far, also before a restart."""
+        if self.schema is None:
+            text = storage.read_text(spark, f"{self.folder}/merged_schema.json")
+            self.schema = None if text is None else T.StructType.fromJson(json.loads(text))
+        return self.schema
+
+    def _keep_schema(self, spark: SparkSession, merged: T.StructType) -> None:
+        if merged != self.schema:
+            storage.write_text(spark, f"{self.folder}/merged_schema.json", merged.json())
+        self.schema = merged
+
     def _write_all(self, running: Sequence[Sink], rows: DataFrame, batch_id: int) -> list[tuple[Sink, Exception]]:
         def write(sink: Sink) -> Exception | None:
             try:
@@ -140,12 +153,12 @@ def _deliver_named_files(job: TableJob) -> Callable[[DataFrame, int], None]:
         if not paths:
             return
         try:
-            job.deliver(_named_files(spark, source, paths, job.schema), batch_id)
+            job.deliver(_named_files(spark, source, paths, job.known_schema(spark)), batch_id)
             return
         except SourceFailed as problem:
             if source.on_fail == "stop":
                 raise
-            schema = source.schema or job.schema or _first_readable_schema(spark, paths, source)
+            schema = source.schema or _readable_schema(spark, paths, source, job.known_schema(spark))
             if schema is None:
                 readable, unreadable = [], paths
             else:
@@ -154,45 +167,65 @@ def _deliver_named_files(job: TableJob) -> Callable[[DataFrame, int], None]:
             storage.make_dir(spark, f"{job.folder}/rejected")
             storage.write_text(spark, f"{job.folder}/rejected/{batch_id}.json", json.dumps(unreadable or paths))
         if readable and unreadable:
-            job.deliver(file_source.read_files(spark, readable, source.filetype, schema, source.options), batch_id)
+            job.deliver(_named_files(spark, source, readable, job.known_schema(spark)), batch_id)
 
     return write
 
 
 def _named_files(spark: SparkSession, source: FileSource, paths: list[str], known: T.StructType | None) -> DataFrame:
+    """The files as one table. Without a given schema all of them decide: columns that are known keep their type."""
+
     def read() -> DataFrame:
-        if source.schema is not None:
-            return file_source.read_files(spark, paths, source.filetype, source.schema, source.options)
-        first = file_source.read_files(spark, paths[: file_source.INFER_FILES], source.filetype, None, source.options)
-        schema = file_source.widen_integers(first.schema) if source.filetype == "csv" else first.schema
-        if known is not None and set(schema.names) <= set(known.names):
-            schema = T.StructType([known[name] for name in schema.names])
-        return file_source.read_files(spark, paths, source.filetype, schema, source.options)
+        schema = source.schema
+        if schema is None:
+            schema = file_source.infer_schema(spark, paths, source.filetype, source.read_options())
+            if known is not None:
+                schema = T.StructType([known[f.name] if f.name in known.names else f for f in schema])
+        return file_source.read_files(spark, paths, source.filetype, schema, source.read_options())
 
     return _read_or_fail(read)
 
 
-def _first_readable_schema(spark: SparkSession, paths: list[str], source: FileSource) -> T.StructType | None:
+def _readable_schema(
+    spark: SparkSession, paths: list[str], source: FileSource, known: T.StructType | None
+) -> T.StructType | None:
+    """The merged schema of the files that can be read, where one of the batch can't."""
+    merged = known
     for path in paths:
         try:
-            return _named_files(spark, source, [path], None).schema
-        except SourceFailed:
+            merged = merge_schemas(merged, _named_files(spark, source, [path], merged).schema)
+        except (SourceFailed, SchemaConflict):
             continue
-    return None
+    return merged
 
 
 def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
-    """The table's snapshot first, then the changes of each new commit."""
+    """The table's snapshot first, then the changes of each new commit.
+
+    A marker with the snapshot's version and batch is written once the snapshot is
+    delivered; until then every batch is a snapshot. One that could not be read is
+    taken up by the next batch or, as `_restart_without_snapshot` has it, the next start.
+    """
     source = job.source
     marker = f"{job.folder}/snapshot_version"
 
-    def rows_of(commits: DataFrame, batch_id: int) -> DataFrame | None:
+    def snapshot(commits: DataFrame, batch_id: int) -> bool:
+        """Deliver the snapshot if this batch is the one for it."""
         spark = commits.sparkSession
-        if batch_id == 0 and not source.first_read:
+        text = storage.read_text(spark, marker)
+        version, batch = (int(n) for n in text.split()) if text else (None, batch_id)
+        if source.first_read or batch != batch_id:
+            return False
+        if version is None:
             version = commits.agg(F.max("version")).first()[0]
-            storage.write_text(spark, marker, str(version))
-            return open_table.read_snapshot_changes(spark, source, version)
-        done = int(storage.read_text(spark, marker) or -1)
+        job.deliver(_read_or_fail(lambda: open_table.read_snapshot_changes(spark, source, version)), batch_id)
+        storage.write_text(spark, marker, f"{version} {batch_id}")
+        return True
+
+    def rows_of(commits: DataFrame, batch_id: int) -> DataFrame | None:
+        spark = commits.sparkSession
+        text = storage.read_text(spark, marker)
+        done = int(text.split()[0]) if text else -1
         versions = sorted(row["version"] for row in commits.where(F.col("version") > done).collect())
         if not versions:
             return None
@@ -203,6 +236,8 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
 
     def write(commits: DataFrame, batch_id: int) -> None:
         try:
+            if snapshot(commits, batch_id):
+                return
             rows = _read_or_fail(lambda: rows_of(commits, batch_id))
             if rows is not None:
                 job.deliver(rows, batch_id)
@@ -214,6 +249,13 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _restart_without_snapshot(spark: SparkSession, job: TableJob) -> None:
+    """Begin a stream of commits again if it has delivered no snapshot, and so nothing at all."""
+    undelivered = not job.source.first_read and not storage.exists(spark, f"{job.folder}/snapshot_version")
+    if undelivered and storage.exists(spark, f"{job.folder}/stream"):
+        storage.delete(spark, f"{job.folder}/stream")
+
+
 # Polls whose state is kept, for replays.
 KEPT_POLLS = 10
 
@@ -261,9 +303,16 @@ def _deliver_polls(job: TableJob) -> Callable[[DataFrame, int], None]:
             job.report(source.name, batch_id, "skip", problem)
             return
         responses.next_state(landed, source, now["time"], state).write.mode("overwrite").parquet(f"{notes}/{batch_id}")
-        left_out = spark.read.parquet(f"{notes}/{batch_id}").where("not polled").count()
+        note = spark.read.parquet(f"{notes}/{batch_id}")
+        left_out = note.where("not polled").count()
         if left_out:
             job.report(source.name, batch_id, "skip", f"{left_out} endpoints refused")
+        unfinished = note.where("unfinished")
+        first = unfinished.agg(F.min("endpoint").alias("endpoint"), F.count(F.lit(1)).alias("n")).first()
+        if first["n"] and source.pagination != "cursor":
+            more = f" and {first['n'] - 1} more" if first["n"] > 1 else ""
+            detail = f"{first['endpoint']}{more} stopped at the request limit; the next poll goes on there"
+            job.report(source.name, batch_id, "resume", detail)
         for old in sorted(done)[:-KEPT_POLLS]:
             storage.delete(spark, f"{notes}/{old}")
 
@@ -289,18 +338,13 @@ def _stream_of(spark: SparkSession, job: TableJob) -> tuple[DataFrame, Callable[
     if isinstance(source, ApiSource):
         return stream_polls(spark), _deliver_polls(job)
     if isinstance(source, OpenTableSource):
+        _restart_without_snapshot(spark, job)
         return open_table.stream_commits(spark, source), _deliver_commits(job)
-    if source.on_fail == "skip" or not _schema_known(spark, source):
+    if source.on_fail == "skip" or source.schema is None:
         return file_source.stream_file_names(spark, source), _deliver_named_files(job)
     return file_source.stream_files(spark, source), _deliver_rows(job)
 
 
-def _schema_known(spark: SparkSession, source: FileSource) -> bool:
-    if source.schema is not None:
-        return True
-    return any(not n.startswith(("_", ".")) for n in storage.list_names(spark, source.path))
-
-
 # Starting --------------------------------------------------------------------
 
 def check(sources: Sequence[Source], sinks: Sequence[Sink]) -> None:
