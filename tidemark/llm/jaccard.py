@@ -2,10 +2,13 @@
 
 Two sets link when `denominator * |intersection| >= numerator * |union|`. Then
 they differ in at most d = (denominator - numerator) / numerator times the smaller
-size. Sizes are banded; in a band the space of shingle hashes is cut into one part
-more than d can reach, so linked sets agree in one part at least. A tile is what
-shares the content of a part: (band, part, hash of the shingles in it). Documents
-enter the tiles of their own band and of the lower bands that may hold a partner.
+size. Sizes are banded; in a band the space of shingle hashes is cut into so many
+parts that nearly every set fills more than d of them, so linked sets agree in a
+part that is not empty. (Sets that fill d parts or fewer can agree in empty parts
+alone; only those enter tiles for their empty parts too, and as both sets of such a
+pair do, none is missed.) A tile is what shares the content of a part: (band, part,
+hash of the shingles in it). Documents enter the tiles of their own band and of the
+lower bands that may hold a partner.
 
 1. Equal sets become one node (the smallest doc_id), so copies cost nothing more.
 2. In each tile every node is paired with the tile's smallest and largest node.
@@ -80,6 +83,7 @@ class Bands:
     def __init__(self, numerator: int, denominator: int):
         self.numerator, self.denominator = numerator, denominator
         self.edges = [1]
+        self._parts: dict[int, int] = {}
 
     def band(self, size: int) -> int:
         while self.edges[-1] <= size:
@@ -90,8 +94,24 @@ class Bands:
     def largest(self, band: int) -> int:
         return self.edges[band + 1] - 1
 
+    def differing(self, band: int) -> int:
+        """Elements in which linked sets differ at most, if the smaller is of this band."""
+        return (self.denominator - self.numerator) * self.largest(band) // self.numerator
+
     def parts(self, band: int) -> int:
-        return (self.denominator - self.numerator) * self.largest(band) // self.numerator + 1
+        """The fewest parts of which the band's smallest sets fill, but for rare ones, more than may differ."""
+        if band not in self._parts:
+            least, smallest = self.differing(band) + 1, self.edges[band]
+            number = least
+            while number < 2 * least:
+                share = smallest / number
+                filled = number * (1 - np.exp(-share))
+                spread = np.sqrt(number * np.exp(-share) * max(0.0, 1 - (1 + share) * np.exp(-share)))
+                if filled - 3 * spread >= least:
+                    break
+                number += max(1, number // 50)
+            self._parts[band] = number
+        return self._parts[band]
 
     def width(self, band: int) -> int:
         """Bits of a bitmap: the power of two from twice the largest set on."""
@@ -110,8 +130,11 @@ class Bands:
             parts = self.parts(band)
             inner = ((np.arange(1, parts, dtype=np.float64) / parts) * 2.0**64).astype(np.uint64)
             ends = np.concatenate([[0], np.searchsorted(found, inner, "left"), [len(found)]])
-            content = sums[ends[1:]] - sums[ends[:-1]]
             number = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
+            content = sums[ends[1:]] - sums[ends[:-1]]
+            filled = ends[1:] > ends[:-1]
+            if filled.sum() > self.differing(band):
+                number, content = number[filled], content[filled]
             keys.append(_mix(_mix(content) ^ (_mix(number * np.uint64(_MULTIPLIERS[1])))))
         return np.concatenate(keys)
 
@@ -285,7 +308,10 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     first = known.groupBy("high", "low").agg(F.min("doc_id").alias("node"))
     first = materialize(first, "classes")
     members = materialize(known.select("doc_id", "size", "high", "low").join(first, ["high", "low"]).select("doc_id", "size", "node"), "members")
-    nodes = known.where("size > 0").join(first.withColumnRenamed("node", "doc_id"), ["doc_id", "high", "low"], "left_semi")
+    # where Spark can broadcast the copies, the wide rows of the nodes are not shuffled
+    copies = known.select("doc_id", "high", "low").join(first, ["high", "low"]).where("doc_id <> node").select("doc_id", "high", "low")
+    copies = materialize(copies.distinct(), "copies")
+    nodes = known.where("size > 0").join(copies, ["doc_id", "high", "low"], "left_anti")
     nodes = nodes.withColumnRenamed("doc_id", "node")
     known_texts = texts.where("doc_id is not null")
 
