@@ -103,7 +103,7 @@ class Bands:
         if band not in self._parts:
             least, smallest = self.differing(band) + 1, self.edges[band]
             number = least
-            while number < 2 * least:
+            while 1 < least and number < 2 * least:
                 share = smallest / number
                 filled = number * (1 - np.exp(-share))
                 spread = np.sqrt(number * np.exp(-share) * max(0.0, 1 - (1 + share) * np.exp(-share)))
