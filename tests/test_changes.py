@@ -24,11 +24,11 @@ def test_normalise_keeps_a_real_commit_time(spark):
 
 
 def test_as_inserts(spark):
-    got = C.as_inserts(spark.createDataFrame([(0, "Mino")], "id int, name string"))
+    got = C.as_inserts(spark.createDataFrame([(0, "Elm")], "id int, name string"))
     assert got.schema.simpleString() == "struct<id:int,name:string,_change_type:string,_commit_timestamp:timestamp>"
     assert not got.schema["_change_type"].nullable and not got.schema["_commit_timestamp"].nullable
     assert rows(got.withColumn("_commit_timestamp", F.col("_commit_timestamp").cast("string"))) == [
-        (0, "Mino", "insert", "1970-01-01 00:00:00")
+        (0, "Elm", "insert", "1970-01-01 00:00:00")
     ]
 
 

@@ -23,23 +23,23 @@ def put(folder, name, text, day=None):
 
 
 def two_files(folder):
-    put(folder, "test_1.csv", "id,value\n1,hello world\n2,hey there\n", 1)
-    put(folder, "test_2.csv", "id,value\n3,hi\n", 3)
+    put(folder, "test_1.csv", "id,value\n1,red kite\n2,grey owl\n", 1)
+    put(folder, "test_2.csv", "id,value\n3,tern\n", 3)
 
 
 def test_csv_table(spark, folder):
     two_files(folder)
     df = S.read_files(spark, folder)
     assert df.schema.simpleString() == "struct<id:bigint,value:string>"
-    assert rows(df) == [(1, "hello world"), (2, "hey there"), (3, "hi")]
+    assert rows(df) == [(1, "red kite"), (2, "grey owl"), (3, "tern")]
 
 
 def test_json_table(spark, folder):
-    put(folder, "a.json", '{"id":1,"value":"hello world"}\n{"id":2,"value":"hey there"}\n')
-    put(folder, "b.json", '{"id":3,"value":"hi"}\n')
+    put(folder, "a.json", '{"id":1,"value":"red kite"}\n{"id":2,"value":"grey owl"}\n')
+    put(folder, "b.json", '{"id":3,"value":"tern"}\n')
     df = S.read_files(spark, folder, "json")
     assert df.schema.simpleString() == "struct<id:bigint,value:string>"
-    assert rows(df) == [(1, "hello world"), (2, "hey there"), (3, "hi")]
+    assert rows(df) == [(1, "red kite"), (2, "grey owl"), (3, "tern")]
 
 
 @pytest.mark.parametrize("filetype", ["csv", "json", "avro", "parquet"])
@@ -67,7 +67,7 @@ def test_non_recursive_and_hidden(spark, folder):
 def test_bookmark_is_strict_and_leaves_old_files_out(spark, folder):
     two_files(folder)
     new, df = S.read_new_files(spark, FileSource("t", folder, bookmark=datetime(2024, 1, 1, tzinfo=timezone.utc)))
-    assert new and rows(df) == [(3, "hi")]
+    assert new and rows(df) == [(3, "tern")]
     new, df = S.read_new_files(spark, FileSource("t", folder, bookmark=datetime(2024, 1, 3)))
     assert not new and rows(df) == []
     new, df = S.read_new_files(spark, FileSource("t", folder))
@@ -118,13 +118,13 @@ def test_unknown_file_type(spark):
 
 def test_batches_append_and_replays_replace(spark, folder):
     first = spark.createDataFrame([(1, "a")], "id bigint, value string")
-    second = spark.createDataFrame([(4, "bonjour tout le monde")], "id bigint, value string")
+    second = spark.createDataFrame([(4, "un héron cendré")], "id bigint, value string")
     for _ in range(2):
         write_batch(first, folder, "json", "j-0")
     write_batch(second, folder, "json", "j-1")
     write_batch(second, folder, "json", "other-0")
     assert rows(read_batches(spark, folder, "json", first.schema)) == [
-        (1, "a"), (4, "bonjour tout le monde"), (4, "bonjour tout le monde")]
+        (1, "a"), (4, "un héron cendré"), (4, "un héron cendré")]
 
 
 def test_split_unreadable(spark, folder):

@@ -25,11 +25,11 @@ def test_quick_start(spark, folder):
     two_files(src)
     jobs = J.run(spark, [FileSource("csv_table", src)], [FileSink("json_table", "csv_table", out, "json")], state)
     assert jobs["csv_table"].reports == []
-    assert rows(read_batches(spark, out, "json", SCHEMA)) == [(1, "hello world"), (2, "hey there"), (3, "hi")]
+    assert rows(read_batches(spark, out, "json", SCHEMA)) == [(1, "red kite"), (2, "grey owl"), (3, "tern")]
     # again: nothing new, nothing written twice
     J.run(spark, [FileSource("csv_table", src)], [FileSink("json_table", "csv_table", out, "json")], state)
     assert read_batches(spark, out, "json", SCHEMA).count() == 3
-    put(src, "test_3.csv", "id,value\n4,bonjour\n")
+    put(src, "test_3.csv", "id,value\n4,heron\n")
     J.run(spark, [FileSource("csv_table", src)], [FileSink("json_table", "csv_table", out, "json")], state)
     assert rows(read_batches(spark, out, "json", SCHEMA), "id") == [(1,), (2,), (3,), (4,)]
     # a second job with its own checkpoint adds to the table, it does not overwrite
@@ -45,7 +45,7 @@ def test_two_sources_and_all_kinds_of_sinks(spark, folder):
     sinks += [OpenTableSink("open", "a", f"{folder}/open"), FileSink("other", "b", f"{folder}/other", "parquet")]
     jobs = J.run(spark, sources, sinks, f"{folder}/state")
     assert [job.reports for job in jobs.values()] == [[], []]
-    expected = [(1, "hello world"), (2, "hey there"), (3, "hi")]
+    expected = [(1, "red kite"), (2, "grey owl"), (3, "tern")]
     for sink in sinks[:4]:
         assert rows(read_batches(spark, sink.path, sink.filetype, SCHEMA)) == expected
     assert rows(read_table(spark, f"{folder}/open")) == expected
@@ -57,7 +57,7 @@ def test_bookmark_of_a_stream(spark, folder):
     for on_fail in ("stop", "skip"):
         source = FileSource("a", f"{folder}/csv", bookmark=datetime(2024, 1, 1, tzinfo=timezone.utc), on_fail=on_fail)
         J.run(spark, [source], [FileSink("o", "a", f"{folder}/{on_fail}", "json")], f"{folder}/state_{on_fail}")
-        assert rows(read_batches(spark, f"{folder}/{on_fail}", "json", SCHEMA)) == [(3, "hi")]
+        assert rows(read_batches(spark, f"{folder}/{on_fail}", "json", SCHEMA)) == [(3, "tern")]
 
 
 def test_wiring_is_checked_first(spark, folder):
@@ -196,12 +196,12 @@ def test_open_table_snapshot_then_changes(spark, table):  # noqa: F811
     source, out = OpenTableSource("t", table), f"{table}-out"
     sinks = [FileSink("csv", "t", out, "csv"), OpenTableSink("open", "t", f"{table}-open")]
     J.run(spark, [source], sinks, f"{table}-state")
-    assert rows(read_batches(spark, out, "csv", CHANGES), "id", "name", "_change_type") == [(7, "Toad", "insert")]
-    commit(table, 6, {"commitInfo": {"timestamp": 1_700_000_009_000}}, add(data(spark, table, "f.parquet", [(8, "Peach")])))
+    assert rows(read_batches(spark, out, "csv", CHANGES), "id", "name", "_change_type") == [(7, "Oak", "insert")]
+    commit(table, 6, {"commitInfo": {"timestamp": 1_700_000_009_000}}, add(data(spark, table, "f.parquet", [(8, "Pine")])))
     commit(table, 7, {"commitInfo": {"timestamp": 1_700_000_010_000}}, remove("e.parquet"))
     for _ in range(2):
         J.run(spark, [source], sinks, f"{table}-state")
-    expected = [(7, "Toad", "delete", 1_700_000_010), (7, "Toad", "insert", 0), (8, "Peach", "insert", 1_700_000_009)]
+    expected = [(7, "Oak", "delete", 1_700_000_010), (7, "Oak", "insert", 0), (8, "Pine", "insert", 1_700_000_009)]
     for got in (read_batches(spark, out, "csv", CHANGES), read_table(spark, f"{table}-open")):
         assert rows(got.withColumn("_commit_timestamp", F.unix_seconds("_commit_timestamp"))) == expected
 
@@ -210,7 +210,7 @@ def test_first_read_skips_the_snapshot(spark, table):  # noqa: F811
     source = OpenTableSource("t", table, first_read=True, bookmark=datetime.fromtimestamp(1_700_000_001.5, timezone.utc))
     J.run(spark, [source], [FileSink("o", "t", f"{table}-out", "json")], f"{table}-state")
     got = read_batches(spark, f"{table}-out", "json", CHANGES)
-    assert rows(got, "id", "name", "_change_type") == [(0, "Mino", "delete"), (7, "Toad", "insert")]
+    assert rows(got, "id", "name", "_change_type") == [(0, "Elm", "delete"), (7, "Oak", "insert")]
 
 
 def test_a_broken_log_follows_the_policy(spark, folder):

@@ -48,17 +48,17 @@ def head(schema=SCHEMA, **config):
 
 @pytest.fixture
 def table(spark, folder):
-    """Create, insert (0, Mario), update to (0, Mino) with a change file, append, delete a file."""
+    """Create, insert (0, Ash), update to (0, Elm) with a change file, append, delete a file."""
     commit(folder, 0, *head())
-    commit(folder, 1, {"commitInfo": {"timestamp": 1_700_000_000_123}}, add(data(spark, folder, "a.parquet", [(0, "Mario")])))
-    update = pathlib.Path(data(spark, folder, "_change_data/c.parquet", [(0, "Mario"), (1, "Mino")], ("update_preimage", "update_postimage")))
+    commit(folder, 1, {"commitInfo": {"timestamp": 1_700_000_000_123}}, add(data(spark, folder, "a.parquet", [(0, "Ash")])))
+    update = pathlib.Path(data(spark, folder, "_change_data/c.parquet", [(0, "Ash"), (1, "Elm")], ("update_preimage", "update_postimage")))
     commit(
         folder, 2, {"commitInfo": {"timestamp": 1_700_000_001_000}}, remove("a.parquet"),
-        add(data(spark, folder, "b.parquet", [(0, "Mino")])), {"cdc": {"path": str(update), "partitionValues": {}, "size": 1, "dataChange": False}},
+        add(data(spark, folder, "b.parquet", [(0, "Elm")])), {"cdc": {"path": str(update), "partitionValues": {}, "size": 1, "dataChange": False}},
     )
-    commit(folder, 3, {"commitInfo": {"timestamp": 1_700_000_002_000}}, add(data(spark, folder, "d 1+2.parquet", [(7, "Toad")]).replace(" ", "%20")))
+    commit(folder, 3, {"commitInfo": {"timestamp": 1_700_000_002_000}}, add(data(spark, folder, "d 1+2.parquet", [(7, "Oak")]).replace(" ", "%20")))
     commit(folder, 4, {"commitInfo": {"timestamp": 1_700_000_003_000}}, remove("b.parquet"))
-    commit(folder, 5, {"commitInfo": {"timestamp": 1_700_000_004_000}}, remove("d%201+2.parquet", False), add(data(spark, folder, "e.parquet", [(7, "Toad")]), False))
+    commit(folder, 5, {"commitInfo": {"timestamp": 1_700_000_004_000}}, remove("d%201+2.parquet", False), add(data(spark, folder, "e.parquet", [(7, "Oak")]), False))
     return folder
 
 
@@ -74,19 +74,19 @@ def test_add_wins_a_tie(spark, folder):
 
 
 def test_snapshot(spark, table):
-    assert rows(O.read_snapshot(spark, table)) == [(7, "Toad")]
-    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Mino"), (7, "Toad")]
+    assert rows(O.read_snapshot(spark, table)) == [(7, "Oak")]
+    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Elm"), (7, "Oak")]
     assert O.read_snapshot(spark, table, 0).isEmpty()
     changes = O.read_snapshot_changes(spark, O.OpenTableSource("t", table), 2)
     assert rows(changes.withColumn("_commit_timestamp", F.col("_commit_timestamp").cast("string"))) == [
-        (0, "Mino", "insert", "1970-01-01 00:00:00")]
+        (0, "Elm", "insert", "1970-01-01 00:00:00")]
 
 
 @pytest.mark.parametrize("small", [True, False])
 def test_snapshot_of_long_and_short_lists(spark, table, monkeypatch, small):
     monkeypatch.setattr(O, "_is_small", lambda _: small)
-    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Mino"), (7, "Toad")]
-    assert rows(O.read_changes(spark, table, [2]), "id", "name", "_change_type") == [(1, "Mino", "update")]
+    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Elm"), (7, "Oak")]
+    assert rows(O.read_changes(spark, table, [2]), "id", "name", "_change_type") == [(1, "Elm", "update")]
     pathlib.Path(table, "b.parquet").unlink()
     with pytest.raises(FileNotFoundError, match="b.parquet"):
         O.read_snapshot(spark, table, 3)
@@ -146,14 +146,14 @@ def test_changes_of_commits(spark, table):
     got = O.read_changes(spark, table, [0, 1, 2, 3, 4, 5])
     stamp = F.unix_millis("_commit_timestamp")
     assert rows(got.select("id", "name", "_change_type", stamp)) == [
-        (0, "Mario", "insert", 1_700_000_000_123), (0, "Mino", "delete", 1_700_000_003_000),
-        (1, "Mino", "update", 1_700_000_001_000), (7, "Toad", "insert", 1_700_000_002_000),
+        (0, "Ash", "insert", 1_700_000_000_123), (0, "Elm", "delete", 1_700_000_003_000),
+        (1, "Elm", "update", 1_700_000_001_000), (7, "Oak", "insert", 1_700_000_002_000),
     ]
 
 
 def test_change_files(spark, table, folder):
     new, got = O.read_change_files(spark, table)
-    assert new and rows(got, "id", "name", "_change_type") == [(1, "Mino", "update")]
+    assert new and rows(got, "id", "name", "_change_type") == [(1, "Elm", "update")]
     new, got = O.read_change_files(spark, folder + "/nowhere")
     assert (new, got) == (False, None)
 
@@ -168,8 +168,8 @@ def test_checkpoint(spark, table):
     (log / f"{3:020d}.checkpoint.parquet").write_bytes(next(pathlib.Path(table, ".cp2").glob("*.parquet")).read_bytes())
     for version in range(3):
         (log / f"{version:020d}.json").unlink()
-    assert rows(O.read_snapshot(spark, table)) == [(7, "Toad")]
-    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Mino"), (7, "Toad")]
+    assert rows(O.read_snapshot(spark, table)) == [(7, "Oak")]
+    assert rows(O.read_snapshot(spark, table, 3)) == [(0, "Elm"), (7, "Oak")]
 
 
 def test_partitioned_table(spark, folder):
@@ -200,12 +200,12 @@ def test_no_log(spark, folder):
 
 
 def test_create_then_append(spark, folder):
-    one = spark.createDataFrame([(1, "hello world")], "id bigint, value string")
+    one = spark.createDataFrame([(1, "red kite")], "id bigint, value string")
     two = spark.createDataFrame([("b", 2)], "value string, id bigint")
     K.append(one, folder, "j", 0)
     K.append(two, folder, "j", 1)
     K.append(two, folder, "j", 1)
-    assert rows(K.read_table(spark, folder)) == [(1, "hello world"), (2, "b")]
+    assert rows(K.read_table(spark, folder)) == [(1, "red kite"), (2, "b")]
     files = list(pathlib.Path(folder).rglob("*.parquet"))
     assert files and all(".zstd." in f.name for f in files)
 

@@ -47,10 +47,10 @@ def test_put_param(spark):
 
 
 def test_put_member(spark):
-    bodies = ['{"name":"Hans","n":{"x":1.5}}', '{"key":1}', None, "[1]", "not json", '{"a":null}']
+    bodies = ['{"name":"bolt","n":{"x":1.5}}', '{"key":1}', None, "[1]", "not json", '{"a":null}']
     df = spark.createDataFrame([(b,) for b in bodies], "b string")
     got = [r[0] for r in df.select(put_member(F.col("b"), "key", F.lit('v"1'))).collect()]
-    assert json.loads(got[0]) == {"name": "Hans", "n": {"x": 1.5}, "key": 'v"1'}
+    assert json.loads(got[0]) == {"name": "bolt", "n": {"x": 1.5}, "key": 'v"1'}
     assert json.loads(got[1]) == {"key": 'v"1'}
     assert json.loads(got[2]) == {"key": 'v"1'}
     assert got[3] == "[1]"

@@ -30,7 +30,7 @@ def answers():
         params, body = request["params"] or {}, json.loads(request["body"] or "{}")
         name, answer = request["endpoint"], None
         if name == "/user":
-            answer = {"name": "Hans", "id": 1}
+            answer = {"name": "bolt", "id": 1}
         elif name == "/paged_user":
             answer = {("0", "5"): ids(1, 2, 3, 4, 5), ("1", "5"): ids(6, 7)}.get((params["page"], params["page_size"]))
         elif name == "/paged_offset_user":
@@ -67,7 +67,7 @@ def poll_rows(spark, name, **settings):
 
 def test_single_request(spark):
     df = poll_rows(spark, "/user")
-    assert df.columns == ["id", "name"] and rows(df) == [(1, "Hans")]
+    assert df.columns == ["id", "name"] and rows(df) == [(1, "bolt")]
 
 
 def test_page_increment(spark):
@@ -126,7 +126,7 @@ def test_requests_carry_everything(spark):
 def test_refused_responses_follow_the_policy(spark, bad):
     with pytest.raises(Exception, match="refused"):
         poll_rows(spark, [bad, "/user"]).collect()
-    assert rows(poll_rows(spark, [bad, "/user"], on_fail="skip")) == [(1, "Hans")]
+    assert rows(poll_rows(spark, [bad, "/user"], on_fail="skip")) == [(1, "bolt")]
 
 
 def test_refusals_past_the_end_do_not_count(spark):
