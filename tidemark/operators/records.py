@@ -105,9 +105,12 @@ def first_schema(responses: DataFrame, select: Sequence[str] | None = None, name
     """Infer the schema from the first record there is, to be frozen by the caller.
 
     The earliest page that has records decides; one record reaches the driver.
+    Landed responses carry their number of `records`, so empty pages are passed over
+    without parsing anything.
     """
     keys = [c for c in ("endpoint", "page") if c in responses.columns]
-    earliest = responses.agg(F.min(F.struct(*keys)).alias("key")).first()["key"] if keys else None
+    counted = responses.where("records > 0") if "records" in responses.columns else responses
+    earliest = counted.agg(F.min(F.struct(*keys)).alias("key")).first()["key"] if keys else None
     candidates = [responses]
     if earliest is not None:
         # only keys are read to find the page; only that page is parsed
