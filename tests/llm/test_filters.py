@@ -148,3 +148,19 @@ def test_every_long_shared_run_is_found(llm, documents):
         assert ((doc, 1) in rows) == (matched >= 10), doc
         if matched >= 10:
             assert rows[doc, 1].matched == matched
+
+
+NUMERIC = [
+    "What is 15% of 240 kg plus 3.5 kg minus 12 kg?", "A box of 3 cm by 4 cm by 5 cm weighs 2 kg.",
+    "A train travels 60 km in 2 h and then 90 km in 3 h. How far?", "12 + 7 * 3 - 4 / 2 = 31 and 5 * 5 = 25",
+]
+
+
+def test_numeric_items_are_found_at_every_offset(llm, documents):
+    docs = [(10 * k + n, f"{'filler ' * n}{text} {'more ' * 3}") for k, text in enumerate(NUMERIC) for n in range(5)]
+    clean = [(100, "A box of 3 cm stood here, and 7 7 7 7 7 7 7 7 7 7 7 7 was on it"), (101, NUMERIC[3].replace("31", "30").replace("12", "9").replace("4", "8"))]
+    rows = found(llm, documents, docs + clean, list(enumerate(NUMERIC)))
+    assert set(rows) == {(10 * k + n, k) for k in range(4) for n in range(5)}
+    # the windows with few plain words are held against each other too
+    wrong = NUMERIC[1].replace("4 cm", "9 kg").replace("2 kg", "6 cm")
+    assert found(llm, documents, [(1, wrong)], [(1, NUMERIC[1])]) == {}

@@ -1,29 +1,36 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 A text becomes a template: words in lower case, numbers, units after numbers and
-names (capitalised words inside a sentence) as typed slots. Then
-
-1. documents give their windows of `window` words at every `window`-th place,
-   benchmark items those at every place, so a shared run of 2 * window - 1 words
-   meets in a hash join, at a row for each `window` words of a document;
-2. the documents found are opened again at every place, and windows that agree are
-   counted by document, item and shift between their places;
-3. slots at agreeing places are compared: a value of the item must always stand
-   against the same value of the document and the other way round. Values may
-   differ as a whole (the same question with other numbers), not among themselves.
-
-A document and an item match if a shift holds at least `share` of the item's
-windows with consistent slots. Items of fewer than 2 * window - 1 words are too
-short to be told from prose and match nothing, as do windows of fewer than
-`literals` plain words.
+names (capitalised words inside a sentence) as typed slots. It is read in forms:
+
+- `names`: all slots are open, so a question with other names and numbers agrees;
+- `numbers`: names are plain words, so a copy in other case or layout agrees;
+- `exact`: all are plain words, for items that have no window with enough plain
+  words in the form `numbers` (they must be met word by word).
+
+1. documents and items give their windows of `window` words at every place, in each
+   form; those of items with at least `literals` plain words meet documents in a
+   hash join, so any shared run that holds such a window is met, wherever it stands;
+2. the documents found are opened again, and windows that agree are counted by
+   document, item, form and span: a shift between their places, and also all shifts
+   that lie within 2 * window - 2 places (a slot may take more words than one);
+3. at the shifts found, all windows are compared, those with few plain words too, and
+   slots at agreeing places: a value of the item must always stand against the same
+   value of the document and the other way round. Values may differ as a whole (the
+   same question with other numbers), not among themselves.
+
+A document and an item match if a span holds at least `share` of all windows of the
+item with consistent slots, one of them with `literals` plain words. Items of fewer
+than 2 * window - 1 words are too short to be told from prose and match nothing. A
+copy whose names are changed as well as written small is not known as one: nothing
+tells its names from words.
 
 Spark broadcasts the benchmark's windows, or the documents found, only where it has
 measured a written table to be small; else it shuffles.
 
-Defined cases: null or empty texts hold nothing; rows that repeat a doc_id are
-judged together (each by its own text); a null doc_id or item_id is not reported;
-an item that is there twice counts once; an empty table on either side gives no
-rows; other columns are ignored.
+Defined cases: null or empty texts hold nothing; rows that repeat a doc_id or item_id
+are judged each by its own text, the best match counts; a null doc_id or item_id is
+not reported; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +46,7 @@ SHARE = 0.5
 
 #: Slots are marked by one character, their value follows.
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
+FORMS = ("names", "numbers", "exact")
 
 #: What counts as a unit after a number.
 UNITS = (
@@ -48,8 +56,8 @@ UNITS = (
 ).split()
 
 
-def template(text: Column, values: bool) -> Column:
-    """The words of a text as an array, slots with their value or without."""
+def marked(text: Column) -> Column:
+    """The words of a text parted by blanks, slots with their mark and value."""
     unit = "|".join(UNITS)
     steps = (
         # decimal and thousands separators stay inside their number
@@ -65,76 +73,137 @@ def template(text: Column, values: bool) -> Column:
     # a unit may touch its number
     text = F.regexp_replace(text, F.lit(rf"( \p{{N}}[\p{{N}}_]*)({unit}) "), F.lit("$1 $2 "))
     text = F.regexp_replace(text, F.lit(r" (?=\p{N}[\p{N}_]* )"), F.lit(f" {NUMBER}"))
-    text = F.regexp_replace(text, F.lit(rf"({NUMBER}[^ ]+) ({unit})(?= )"), F.lit(f"$1 {UNIT}$2"))
-    if not values:
-        text = F.regexp_replace(text, F.lit(r"([\x01-\x03])[^ ]*"), F.lit("$1"))
-    return F.split(F.trim(text), " ")
-
-
-def bare(words: Column) -> Column:
-    """A template's words without the values of slots."""
-    return F.transform(words, lambda word: F.when(word < "\x04", F.substring(word, 1, 1)).otherwise(word))
-
+    text = F.regexp_replace(text, F.lit(rf"({NUMBER}[^ ]+) {NAME}?({unit})(?= )"), F.lit(f"$1 {UNIT}$2"))
+    return F.trim(text)
 
-def _window(words: Column, start: Column, window: int) -> Column:
-    return F.xxhash64(F.slice(words, start, window))
 
-
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """item_id, place, hash and words (with values) of every window of the items that are long enough."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text").cast("string"), True).alias("valued"))
-    items = items.where(F.col("item_id").isNotNull() & (F.size("valued") >= 2 * window - 1)).withColumn("words", bare(F.col("valued")))
-    places = F.sequence(F.lit(1), F.size("words") - window + 1)
-    opened = items.select("item_id", "valued", "words", F.explode(places).alias("item_place"))
-    plain = F.size(F.filter(F.slice("words", F.col("item_place"), window), lambda word: word >= "\x04"))
-    kept = opened.where(plain >= literals)
-    return kept.select("item_id", "item_place", _window(F.col("words"), F.col("item_place"), window).alias("hash"), F.slice("valued", F.col("item_place"), window).alias("item_words"))
-
-
-def candidates(documents: DataFrame, hashes: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id of the documents that hold a window of the benchmark at one of every `window`-th place."""
-    words = documents.select("doc_id", template(F.col("text"), False).alias("words")).where(F.size("words") >= window)
-    starts = F.sequence(F.lit(1), F.size("words") - window + 1, F.lit(window))
-    blocks = words.select("doc_id", F.explode(F.transform(starts, lambda start: _window(F.col("words"), start, window))).alias("hash"))
-    return blocks.join(hashes, "hash", "left_semi").select("doc_id").distinct()
+def words_of(text: Column, form: str) -> Column:
+    """The words of a marked text in a form, open slots without their values."""
+    if form == "names":
+        text = F.regexp_replace(text, F.lit(r"([\x01-\x03])[^ ]*"), F.lit("$1"))
+    elif form == "numbers":
+        text = F.translate(F.regexp_replace(text, F.lit(r"([\x01\x02])[^ ]*"), F.lit("$1")), NAME, "")
+    else:
+        text = F.translate(text, NUMBER + UNIT + NAME, "")
+    return F.split(text, " ")
+
+
+def _in_form(text: Column, form: Column) -> Column:
+    """As `words_of`, for a form that is a column."""
+    words = words_of(text, FORMS[-1])
+    for known in FORMS[:-1]:
+        words = F.when(form == known, words_of(text, known)).otherwise(words)
+    return words
+
+
+def _places(words: Column, window: int) -> Column:
+    return F.when(F.size(words) >= window, F.sequence(F.lit(1), F.size(words) - window + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _hashes(words: Column, window: int) -> Column:
+    """The hash of the window at every place."""
+    return F.transform(_places(words, window), lambda start: F.xxhash64(F.slice(words, start, window)))
+
+
+def benchmark_items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, item_body and item_text (marked) of the items that are long enough, each text once."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.where("item_id is not null and text is not null")
+    items = items.select("item_id", F.xxhash64("text").alias("item_body"), marked(F.col("text")).alias("item_text"))
+    return items.where(F.size(F.split("item_text", " ")) >= 2 * window - 1).dropDuplicates(["item_id", "item_body"])
+
+
+def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """item_id, item_body, form, windows and rich windows of the item, item_place and hash of every rich window."""
+    held = items.select("item_id", "item_body", F.explode(F.array(*map(F.lit, FORMS))).alias("form"), "item_text")
+    held = held.select("item_id", "item_body", "form", _in_form(F.col("item_text"), F.col("form")).alias("words"))
+    plain = lambda words: F.size(F.filter(words, lambda word: word >= "\x04"))
+    rich = F.filter(_places(F.col("words"), window), lambda place: plain(F.slice("words", place, window)) >= literals)
+    held = held.withColumn("places", rich).withColumns({"rich": F.size("places"), "windows": F.size("words") - window + 1})
+    told = held.where("form = 'numbers' and rich > 0").select("item_id", "item_body", F.lit("exact").alias("form"))
+    held = held.join(told, ["item_id", "item_body", "form"], "left_anti")
+    opened = held.select("item_id", "item_body", "form", "windows", "rich", "words", F.explode("places").alias("item_place"))
+    return opened.withColumn("hash", F.xxhash64(F.slice("words", F.col("item_place"), window))).drop("words")
+
+
+def candidates(documents: DataFrame, hashes: DataFrame, forms: list[str], window: int = WINDOW) -> DataFrame:
+    """doc_id of the documents that hold a window of the benchmark at any place."""
+    # an outer explode and no condition on the words: Spark would compute them once more for a filter
+    texts = documents.select("doc_id", marked(F.col("text")).alias("marked"))
+    words = texts.select("doc_id", *(words_of(F.col("marked"), form).alias(form) for form in forms))
+    opened = words.select("doc_id", F.explode_outer(F.concat(*(_hashes(F.col(form), window) for form in forms))).alias("hash"))
+    return opened.join(hashes, "hash", "left_semi").select("doc_id").distinct()
+
+
+def _spans(table: DataFrame, window: int) -> DataFrame:
+    """Each row under its shift, and under two overlapping ranges of shifts."""
+    wide = F.floor(F.col("shift") / (window - 1)).cast("long")
+    spans = [F.struct(F.lit(False).alias("wide"), F.col("shift").cast("long").alias("at"))]
+    spans += [F.struct(F.lit(True).alias("wide"), (wide + k).alias("at")) for k in (0, 1)]
+    return table.withColumn("span", F.explode(F.array(*spans)))
+
+
+def _aligned(shifts: DataFrame, texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """The item places of agreeing windows and the slots (item_value, doc_value) in them, for every shift."""
+    both = shifts.join(texts, ["doc_id", "body"]).join(items, ["item_id", "item_body"])
+    kept = [*shifts.columns]
+    both = both.withColumns({name: _in_form(F.col(text), F.col("form")) for name, text in (("item_words", "item_text"), ("doc_words", "doc_text"))})
+    both = both.withColumns({"item_values": F.split("item_text", " "), "doc_values": F.split("doc_text", " "), "first": F.greatest(F.lit(1), 1 - F.col("shift"))})
+    length = F.least(F.size("item_words") - F.col("first"), F.size("doc_words") - F.col("first") - F.col("shift")) + 1
+    part = {name: F.slice(name, F.col("first") + (F.col("shift") if name[0] == "d" else 0), length) for name in ("item_words", "doc_words", "item_values", "doc_values")}
+    both = both.select(*kept, "first", *(column.alias(name) for name, column in part.items()))
+    agreeing = lambda place: F.slice("item_words", place, window) == F.slice("doc_words", place, window)
+    both = both.withColumn("hits", F.filter(_places(F.col("item_words"), window), agreeing))
+    pairs = F.arrays_zip(F.col("item_words").alias("word"), F.col("item_values").alias("item_value"), F.col("doc_values").alias("doc_value"))
+    both = both.withColumn("pairs", pairs)
+    pairs = F.array_distinct(F.flatten(F.transform("hits", lambda place: F.slice("pairs", place, window))))
+    slots = F.filter(pairs, lambda pair: (pair["word"] >= NUMBER) & (pair["word"] < "\x04"))
+    return both.select(*kept, F.transform("hits", lambda place: place + F.col("first") - 1).alias("item_places"), slots.alias("slots"))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, matched and all windows of the item, place in the document, slots and changed slots of every match."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
-    indexed = materialize(benchmark_windows(benchmark, window, literals), "benchmark-windows")
+    items = materialize(benchmark_items(benchmark, window), "benchmark-items")
+    indexed = materialize(benchmark_windows(items, window, literals), "benchmark-windows")
     hashes = materialize(indexed.select("hash").distinct(), "benchmark-hashes")
-    found = materialize(candidates(texts, hashes, window), "candidates")
+    forms = [form for form in FORMS if form != "exact" or indexed.where("form = 'exact'").head(1)]
+    found = materialize(candidates(texts, hashes, forms, window), "candidates")
 
     # each row of a candidate keeps a number of its own, so repeated ids don't mix their places
-    opened = texts.join(found, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("body"), template(F.col("text"), True).alias("valued"))
-    opened = opened.withColumn("words", bare(F.col("valued")))
-    places = F.sequence(F.lit(1), F.size("words") - window + 1)
-    opened = opened.select("doc_id", "body", "valued", F.posexplode(F.transform(places, lambda place: _window(F.col("words"), place, window))).alias("at", "hash"))
-    opened = opened.select("doc_id", "body", (F.col("at") + 1).alias("doc_place"), "hash", F.slice("valued", F.col("at") + 1, window).alias("doc_words"))
-    agreeing = opened.join(indexed, "hash").select(
-        "doc_id", "body", "item_id", "item_place", "doc_place", (F.col("doc_place") - F.col("item_place")).alias("shift"), "doc_words", "item_words"
-    ).distinct()
-    agreeing = materialize(agreeing, "agreeing-windows")
-    run = ["doc_id", "body", "item_id", "shift"]
-
-    sizes = indexed.groupBy("item_id").agg(F.countDistinct("item_place").alias("windows"))
-    runs = agreeing.groupBy(*run).agg(F.countDistinct("item_place").alias("matched"), F.min("doc_place").alias("start"))
-    runs = runs.join(sizes, "item_id").where(F.col("matched") >= F.ceil(F.lit(share) * F.col("windows")))
-
-    pairs = F.filter(F.arrays_zip("item_words", "doc_words"), lambda pair: pair["item_words"] < "\x04")
-    slots = agreeing.select(*run, F.explode(pairs).alias("slot"), "item_place")
-    slots = slots.select(*run, F.col("slot.item_words").alias("item_value"), F.col("slot.doc_words").alias("doc_value")).distinct()
+    held = texts.join(found, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("body"), marked(F.col("text")).alias("doc_text"))
+    held = materialize(held, "candidate-texts")
+    words = held.select("doc_id", "body", *(words_of(F.col("doc_text"), form).alias(form) for form in forms))
+    opened = words.select("doc_id", "body", F.explode(F.array(*(F.struct(F.lit(form).alias("form"), _hashes(F.col(form), window).alias("hashes")) for form in forms))).alias("read"))
+    opened = opened.select("doc_id", "body", "read.form", F.posexplode("read.hashes").alias("at", "hash"))
+    agreeing = opened.join(indexed, ["form", "hash"]).withColumn("shift", F.col("at") + 1 - F.col("item_place"))
+    shift = ["doc_id", "body", "item_id", "item_body", "form", "shift"]
+    agreeing = materialize(agreeing.select(*shift, "windows", "rich", "item_place").distinct(), "agreeing-windows")
+    run = [*shift[:-1], "span"]
+
+    # with all windows of few plain words, a run must reach the share
+    runs = _spans(agreeing, window).groupBy(*run, "windows", "rich").agg(F.countDistinct("item_place").alias("met"))
+    needed = F.ceil(F.lit(share) * F.col("windows"))
+    runs = materialize(runs.where(F.col("met") + F.col("windows") - F.col("rich") >= needed).select(*run, "windows"), "runs")
+    shifts = _spans(agreeing.select(*shift).distinct(), window).join(runs, run, "left_semi").select(*shift).distinct()
+    aligned = materialize(_aligned(shifts, held, items, window), "aligned")
+
+    spanned = _spans(aligned, window).join(runs, run)
+    matched = spanned.select(*run, "windows", "shift", F.explode("item_places").alias("item_place"))
+    matched = matched.groupBy(*run, "windows").agg(F.countDistinct("item_place").alias("matched"), F.min(F.col("item_place") + F.col("shift")).alias("start"))
+    matched = matched.where(F.col("matched") >= needed)
+    slots = spanned.select(*run, F.explode("slots").alias("slot")).select(*run, "slot.item_value", "slot.doc_value").distinct()
     checked = slots.groupBy(*run).agg(
         F.count(F.lit(1)).alias("slots"),
         F.countDistinct("item_value").alias("item_values"),
         F.countDistinct("doc_value").alias("doc_values"),
         F.count_if(F.col("item_value") != F.col("doc_value")).alias("changed"),
     )
-    judged = runs.join(checked, run, "left").na.fill(0, ["slots", "item_values", "doc_values", "changed"])
+    judged = matched.join(checked, run, "left").na.fill(0, ["slots", "item_values", "doc_values", "changed"])
     judged = judged.where("slots = item_values and slots = doc_values")
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "windows", "start", "slots", "changed"), F.struct("matched", -F.col("start"), "body")).alias("best"))
+    order = F.struct("matched", -F.col("start"), "slots", -F.col("changed"), "windows", "body")
+    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "windows", "start", "slots", "changed"), order).alias("best"))
     return best.select("doc_id", "item_id", "best.matched", "best.windows", F.col("best.start").cast("long").alias("start"), "best.slots", "best.changed")
 
 
