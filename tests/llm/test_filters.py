@@ -164,3 +164,19 @@ def test_numeric_items_are_found_at_every_offset(llm, documents):
     # the windows with few plain words are held against each other too
     wrong = NUMERIC[1].replace("4 cm", "9 kg").replace("2 kg", "6 cm")
     assert found(llm, documents, [(1, wrong)], [(1, NUMERIC[1])]) == {}
+
+
+TOM = "Tom has 5 apples. Tom buys 3 more apples. Tom eats 2 apples. How many apples does Tom have now?"
+NAMES = "then Alice met Bob near Paris while Carol drove to Rome, and Dave took Eve from Madrid to London before the long day was finally over"
+
+
+def test_names_count_wherever_they_stand(llm, documents):
+    lines = re.sub(r" (?=[A-Z])", "\n", NAMES)
+    docs = [
+        (1, TOM.replace("Tom", "Anna").replace("5", "9").replace("3", "6")), (2, NAMES.replace("Carol", "Carol Ann").replace("from", "far from")), (3, TOM.replace("apples. Tom", "apples.\nTom")), (4, TOM.upper()),
+        (5, "He has many apples. How many apples does she have now?"), (6, NAMES.lower()), (7, lines), (8, NAMES.upper()), (9, lines.replace("Alice", "Zoe")), (10, NAMES.replace("Dave", "Bob")),
+    ]
+    rows = found(llm, documents, docs, [(10, TOM), (11, NAMES)])
+    assert set(rows) >= {(1, 10), (2, 11), (3, 10), (4, 10), (6, 11), (7, 11), (8, 11), (9, 11)}
+    assert {doc for doc, _ in rows} <= {1, 2, 3, 4, 6, 7, 8, 9, 10}
+    assert rows[1, 10].matched == rows[1, 10].windows and rows[7, 11].changed == 0

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions alone.
 
 A text becomes a template: words in lower case, numbers, units after numbers and
-names (capitalised words inside a sentence) as typed slots. It is read in forms:
+names (capitalised words, wherever they stand) as typed slots. It is read in forms:
 
 - `names`: all slots are open, so a question with other names and numbers agrees;
 - `numbers`: names are plain words, so a copy in other case or layout agrees;
@@ -63,8 +63,8 @@ def marked(text: Column) -> Column:
         # decimal and thousands separators stay inside their number
         (r"[.,:/](?<=\p{N}.)(?=\p{N})", "_"),
         (r"%(?<=\p{N}%)", " percent"),
-        # a capital after a small letter or comma and one blank is a name
-        (r"\p{Lu}(?<=[\p{Ll},;] .)(?=\p{Ll})", f"{NAME}$0"),
+        # a word that begins with a capital and goes on with a small letter is a name
+        (r"\p{Lu}(?<![\p{L}\p{M}\p{N}_].)(?=\p{Ll})", f"{NAME}$0"),
     )
     for pattern, by in steps:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
