@@ -149,6 +149,22 @@ def test_awkward_pages(llm, model):
     assert html_text.main_text(make_pages(llm, [])).collect() == []
 
 
+def test_pages_with_open_heads_drawings_and_formulas(model):
+    long = "Plain words of a long paragraph, with commas and an end. " * 6
+    body = f"<article><h1>Top</h1><p>{long}</p><p>{long}</p></article><footer>Foot</footer>"
+    want = ["Top", long.strip(), long.strip()]
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8><body>{body}", f"<head><title>x</title>{body}", f"<head><body class=x>{body}",
+        f"<head><style>b</style><link rel=x></head><body>{body}", f"<body>{body}".replace("<h1>", "<svg width='1'/><h1>"),
+        body.replace("<h1>", "<svg><svg/><svg><path/></svg> gone </svg><h1>"), body.replace("<p>", "<math/><p>", 1),
+    ):
+        assert html_text.extract(page, model).split("\n") == want, page
+    formula = "<math display='inline'><mi>x</mi><mspace/><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>"
+    assert html_text.extract(body.replace("<p>", f"<p>As {formula}, so: ", 1), model).split("\n") == ["Top", f"As x=12, so: {long.strip()}", long.strip()]
+    root = html_text.parse("<head>Loose text")
+    assert html_text.render(root, {id(node): True for node in html_text.nodes(root)}) == "Loose text"
+
+
 def test_decoding_is_consistent(model):
     root = html_text.parse("<div><p>aaaaaaaaaa</p><div><p>bbbbbbbbbb</p><p>cccccccccc</p></div></div>")
     found = html_text.nodes(root)

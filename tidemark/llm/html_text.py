@@ -11,7 +11,8 @@
    whole, or split, which costs something; so no node is kept within a dropped one.
 
 Decoded blocks are joined by line ends in page order; white space inside a block is
-one blank. A `br` is white space. Scripts, styles and form controls hold no text.
+one blank. A `br` is white space. Scripts, styles, drawings and form controls hold no
+text; formulas are inline text.
 
 Defined cases: a null or empty html gives an empty text; a page without blocks of
 main text too; unclosed or unknown tags are taken as browsers do, roughly; a null
@@ -38,13 +39,19 @@ SAMPLE = 160
 SPLIT_COST = 1.0
 
 # Kinds of elements of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object select textarea button head title audio video canvas datalist".split())
+VOID = frozenset("area base basefont bgsound br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset("script style noscript template svg iframe object select textarea button head title audio video canvas datalist".split())
 RAW = frozenset("script style noscript template iframe textarea title svg select".split())
-INLINE = frozenset(
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rb rp rt rtc s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+#: Elements that do not end an open head, whose end tag may be left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes script style template".split())
 #: Elements that an opening tag of the same group ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -71,6 +78,8 @@ _TAG = re.compile(
 )
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
+_DRAWING = re.compile(r"<(/?)svg\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -96,6 +105,20 @@ class Node:
         self.label = None
 
 
+def _self_closed(marks: str) -> bool:
+    """Whether a tag of a drawing or formula ends by `/>`; a stroke within an unquoted value does not count."""
+    return marks.endswith("/") and not _UNQUOTED.search(marks)
+
+
+def _after_drawing(page: str, at: int) -> int:
+    """The place behind an svg that was opened before `at`, and behind those within it."""
+    depth = 1
+    while depth and (found := _DRAWING.search(page, at)):
+        at = found.end()
+        depth += -1 if found[1] else int(not _self_closed(found[2]))
+    return len(page) if depth else at
+
+
 def parse(page: str | None) -> Node:
     """The tree of blocks. Inline elements vanish in their block; characters in links are counted."""
     root = node = Node("html", None, "")
@@ -105,6 +128,8 @@ def parse(page: str | None) -> Node:
 
     def text(data: str) -> None:
         if data and not data.isspace():
+            if node.tag == "head":
+                close(innermost({"head"}))
             node.held.append(data)
             size = len(data)
             node.own += size
@@ -143,7 +168,17 @@ def parse(page: str | None) -> Node:
         if not opened:
             continue
         tag = opened.lower()
+        marks = found[3] or found[5] or ""
+        if tag == "body" or (node.tag == "head" and tag not in IN_HEAD):
+            k = innermost({"head"})
+            if k >= 0:
+                close(k)
         node.tags += 1
+        if tag == "svg":
+            at = at if _self_closed(marks) else _after_drawing(page, at)
+            continue
+        if tag in MATH and _self_closed(marks):
+            continue
         if tag in RAW:
             after = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = after.end() if after else len(page)
@@ -164,7 +199,7 @@ def parse(page: str | None) -> Node:
             k = innermost({"p"}, {"td", "th", "button", "table"})
         if k >= 0:
             close(k)
-        child = Node(tag, node, found[3] or found[5] or "")
+        child = Node(tag, node, marks)
         child.index = position
         position += 1
         node.held.append(child)
