@@ -133,3 +133,12 @@ def test_plan_holds_all_in_few_sequences(kind):
     used = sum(times for _, times in plan)
     greedy = sum(packing.best_fit(Counter(lengths.tolist()), 2048).values())
     assert used <= 1.005 * greedy + 1
+
+
+def test_named_tokens_are_those_of_the_library_as_it_is(documents):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["end <|endoftext|> next", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x\ny", "<|endoftext| >", "end of text"]
+    want = [array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() for text in texts]
+    assert Encoder(PATH)(texts) == want
+    rows = binary.write_and_read(documents(list(enumerate(texts))), PATH).orderBy("doc_id").collect()
+    assert [bytes(row.ids) for row in rows] == [ids + b"\0\0\0\0" for ids in want]

@@ -5,7 +5,7 @@ over a blank or line end that follows something else than white space, nor from
 a letter into ASCII punctuation. So a text is cut at blanks and line ends, every
 distinct piece is encoded once by the library (many at a time, a line each), and the ids of a
 text are the joined ids of its pieces. Where white space is doubled or of another
-kind, the whole text is encoded at once.
+kind, or an added token of the tokenizer is named, the whole text is encoded at once.
 """
 
 from __future__ import annotations
@@ -82,7 +82,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # the library looks for these before it splits a text
+        added = sorted(re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values() if token.content)
+        self.named = re.compile("|".join(added)).search if added else lambda text: None
         self.limit = limit
         self.bare, self.after_blank = _Pieces(self, ""), _Pieces(self, " ")
         self.tails: dict[str, bytes] = {}
@@ -103,11 +105,13 @@ class Encoder:
         for text, found in zip(texts, pieces, strict=True):
             try:
                 out.append(b"".join(found))
-            except TypeError:  # white space that is doubled, odd or at an end
+            except TypeError:  # added tokens, or white space that is doubled, odd or at an end
                 out.append(self.whole(text))
         return out
 
     def _pieces(self, text: str | None) -> list[bytes | bytearray | None]:
+        if text and self.named(text):
+            return [None]
         found = []
         for line in text.split("\n") if text else ():
             head, *rest = line.split(" ")
