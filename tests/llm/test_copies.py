@@ -75,6 +75,14 @@ def test_groups_of_awkward_rows(documents):
     assert kept.columns == documents([]).columns
 
 
+def test_empty_rows_of_repeated_ids_link_nothing(documents):
+    first, second = "one two three four five six", "seven eight nine ten eleven twelve"
+    pairs = [(1, ""), (5, ""), (5, first), (7, None), (7, second), (8, second)]
+    got = sorted(map(tuple, jaccard.groups(documents(pairs), 3, 90, 100).collect()))
+    assert got == [(1, 0, 1), (5, 0, 5), (5, 4, 5), (7, 0, 7), (7, 4, 7), (8, 4, 7)]
+    assert sorted(row.doc_id for row in jaccard.one_of_each_group(documents(pairs), 3, 90, 100).collect()) == [1, 5, 5, 7, 7]
+
+
 def test_links_across_a_large_tile_are_found(documents, monkeypatch):
     """Copies that link only with some of their tile, in blocks of few."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)

@@ -323,9 +323,10 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     tried = materialize(_plausible(pairs, nodes, bands), "plausible")
     links = materialize(_verified(tried, known_texts, words, bands), "links")
 
-    # rows of one doc_id are one document, whatever their texts
-    repeated = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    repeated = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+    # rows of one doc_id are one document, whatever their texts; empty ones link nothing
+    filled = members.where("size > 0")
+    repeated = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    repeated = filled.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
     links = links.union(repeated)
     labels = components(links)
     across = materialize(_across(shared.select("tile", "node").distinct(), nodes, labels, bands).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
