@@ -180,3 +180,16 @@ def test_names_count_wherever_they_stand(llm, documents):
     assert set(rows) >= {(1, 10), (2, 11), (3, 10), (4, 10), (6, 11), (7, 11), (8, 11), (9, 11)}
     assert {doc for doc, _ in rows} <= {1, 2, 3, 4, 6, 7, 8, 9, 10}
     assert rows[1, 10].matched == rows[1, 10].windows and rows[7, 11].changed == 0
+
+
+def test_language_counts_whole_texts_of_all_documents(documents, monkeypatch):
+    texts = ["plain words " * 600 + "zyxwvut qqjj", "zyxwvut Ünder 漢字漢字", None, "", *["plain"] * 40]
+    monkeypatch.setattr(secrets, "HELD_WORDS", 3)
+    language = secrets.language_of(documents([(None if k % 2 else k, text) for k, text in enumerate(texts)]))
+    assert {"plain", "words", "zyxwvut"} <= language.words
+    whole = secrets.Language.of([text for text in texts if text])
+    assert language.words == whole.words and set(language.pairs) == set(whole.pairs) >= {"zy", "漢字"}
+    assert secrets.train(documents([(k, text) for k, text in enumerate(texts)]), sample=1).language.words == language.words
+    # what stands behind the first 512 characters counts
+    plain = [secrets.features("ab1" * 200 + end, "key", "", "", "", language) for end in ("ab1" * 200, "zyxwvut" * 80)]
+    assert plain[0][1] != plain[1][1] and plain[0][11:13] != plain[1][11:13]

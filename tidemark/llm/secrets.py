@@ -4,9 +4,10 @@ Candidates are values after an assignment to a telling name, long runs of the
 characters of keys, and private key blocks. The forest judges each by its length and
 kinds of characters, character transitions (how usual its pairs of characters are in
 the corpus), coverage by words of the corpus, the path of the document and the
-words next to it. It is trained from labelled findings: keys of known making
-(right) and hashes, ids, paths, words and placeholders (wrong), set into places of
-a bounded sample of the corpus, so that labels are known by construction.
+words next to it. Pairs and words are counted over whole texts of all documents. The
+forest is trained from labelled findings: keys of known making (right) and hashes,
+ids, paths, words and placeholders (wrong), set into places of a bounded sample of
+the corpus, so that labels are known by construction.
 
 Values leave the operator only as a SHA-256 digest; `redact` replaces them.
 
@@ -34,10 +35,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import slices
 from tidemark.llm.trees import Forest
+from tidemark.storage import materialize
 
-#: Documents whose words and places the forest is trained with, at most; findings made of each label.
+#: Documents whose places the forest is trained with, at most; findings made of each label.
 SAMPLE, FINDINGS = 1_500, 2_500
 THRESHOLD = 0.5
+#: Shares of all pairs of characters and of all words that a pair or word must reach to be known: at most as many as their inverses.
+PAIR_FLOOR, WORD_FLOOR = 1e-6, 5e-6
+#: Distinct words a task counts before it hands them on.
+HELD_WORDS = 500_000
 #: Characters before and after a value whose words count as neighbours.
 NEAR = 48
 
@@ -46,6 +52,7 @@ _ASSIGNED = re.compile(r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"'`]?([^\s\"'`,;<>(
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_\-]*)$")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]*PRIVATE KEY-----")
 _WORD = re.compile(r"[A-Za-z]+")
+_LONG_WORD = re.compile(r"[a-z]{4,}")
 
 # Words beside a value and what they tell.
 TELLING = "password passwd pwd pass passphrase secret token apikey key auth authorization bearer credential credentials private client access signing".split()
@@ -56,6 +63,25 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xo
 NEIGHBOURS = tuple(map(frozenset, (TELLING, HASHES, NAMES, SAMPLES)))
 
 
+def _floor(total: int, share: float) -> int:
+    return max(2, math.ceil(total * share))
+
+
+def count(texts: list[str | None]) -> tuple[Counter, Counter, int]:
+    """Pairs of letters and digits, words of four letters and more, and the number of all pairs of characters."""
+    low = "\n".join(text for text in texts if text).lower()
+    words = Counter(_LONG_WORD.findall(low))
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    first, second = codes[:-1], codes[1:]
+    near = (first < 1024) & (second < 1024)
+    counted = np.bincount(first[near] * 1024 + second[near], minlength=1)
+    found = [(int(k) // 1024, int(k) % 1024, int(counted[k])) for k in np.flatnonzero(counted)]
+    keys, times = np.unique(first[~near] << 21 | second[~near], return_counts=True)
+    found += [(k >> 21, k & (1 << 21) - 1, n) for k, n in zip(keys.tolist(), times.tolist(), strict=True)]
+    pairs = Counter({pair: n for a, b, n in found if (pair := chr(a) + chr(b)).isalnum()})
+    return pairs, words, len(first)
+
+
 class Candidate(NamedTuple):
     start: int
     end: int
@@ -92,18 +118,22 @@ def candidates(text: str | None) -> list[Candidate]:
 
 
 class Language:
-    """Pairs of letters and words of the corpus, from a sample."""
-
-    def __init__(self, texts: list[str], most: int = 20_000):
-        pairs, words = Counter(), Counter()
-        for text in texts:
-            low = text.lower()
-            words.update(w for w in _WORD.findall(low) if len(w) >= 4)
-            pairs.update(map("".join, zip(low[:4000], low[1:4001], strict=False)))
-        total = sum(pairs.values()) + 1
-        self.rare = math.log(0.5 / total)
-        self.pairs = {pair: math.log(n / total) for pair, n in pairs.items() if pair.isalnum() and n > 1}
-        self.words = frozenset(word for word, _ in words.most_common(most)) | frozenset(w for group in NEIGHBOURS for w in group)
+    """Pairs of letters and words of the corpus, from their counts.
+
+    Kept are pairs and words that are there twice and reach a share (`PAIR_FLOOR`,
+    `WORD_FLOOR`) of all, which bounds both tables whatever the corpus.
+    """
+
+    def __init__(self, pairs: Counter, words: Counter, all_pairs: int, all_words: int):
+        total = all_pairs + 1
+        self.rare = math.log(0.5 * max(1 / total, PAIR_FLOOR))
+        self.pairs = {pair: math.log(n / total) for pair, n in pairs.items() if n >= _floor(all_pairs, PAIR_FLOOR)}
+        self.words = frozenset(word for word, n in words.items() if n >= _floor(all_words, WORD_FLOOR)) | frozenset(w for group in NEIGHBOURS for w in group)
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Language:
+        pairs, words, total = count(texts)
+        return cls(pairs, words, total, words.total())
 
     def usual(self, value: str) -> float:
         """Mean logarithm of the shares of a value's pairs of characters."""
@@ -127,23 +157,22 @@ def _kind_of(c: str) -> int:
 
 
 def features(value: str, kind: str, before: str, after: str, path: str, language: Language) -> list[float]:
-    short = value[:512]
-    kinds = [_kind_of(c) for c in short]
-    n = max(1, len(short))
-    counts = Counter(short)
+    kinds = [_kind_of(c) for c in value]
+    n = max(1, len(value))
+    counts = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     near = set(_WORD.findall(before.lower())) | {part for word in re.findall(r"[A-Za-z_\-]+", before.lower()) for part in re.split(r"[_\-]", word)}
     beyond = set(_WORD.findall(after.lower()))
     own = set(_WORD.findall(value.lower()))
     last = before.rstrip(" \"'`=:>").lower()
     parts = re.split(r"[^a-z0-9]+", path.lower())
-    steps = sum(abs(ord(a) - ord(b)) <= 1 for a, b in zip(short, short[1:], strict=False)) / n
+    steps = sum(abs(ord(a) - ord(b)) <= 1 for a, b in zip(value, value[1:], strict=False)) / n
     return [
         len(value), entropy, entropy / math.log2(max(2, min(n, 64))),
         *(kinds.count(k) / n for k in range(4)),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, steps, len(counts) / n,
-        language.usual(short), language.covered(short),
-        all(c in string.hexdigits for c in short), n in (32, 40, 56, 64, 96, 128), value.count("/") + value.count("."), value.count("-"), value.count("_"),
+        language.usual(value), language.covered(value),
+        all(c in string.hexdigits for c in value), n in (32, 40, 56, 64, 96, 128), value.count("/") + value.count("."), value.count("-"), value.count("_"),
         bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)),
         value.startswith(PREFIXES), kind == "assigned", kind == "private key",
         before.rstrip(" ").endswith(("=", ":", "=>")) or before.rstrip("\"'`").rstrip(" ").endswith(("=", ":")), before[-1:] in "\"'`" and before != "",
@@ -205,10 +234,10 @@ class Scanner:
         self.forest, self.language = forest, language
 
     @classmethod
-    def train(cls, texts: list[str], findings: int = FINDINGS, seed: int = 5) -> Scanner:
-        """Half of the findings are right. Those whose value is no candidate in its place are left out."""
+    def train(cls, texts: list[str], findings: int = FINDINGS, seed: int = 5, language: Language | None = None) -> Scanner:
+        """Half of the findings are right. Those whose value is no candidate in its place are left out. Without a language, that of the texts."""
         rng = np.random.default_rng(seed)
-        language = Language(texts)
+        language = language or Language.of(texts)
         held = [words for words in (text.split() for text in texts) if len(words) >= 12] or [["some", "plain", "words"] * 4]
         rows, targets = [], []
         for k in range(2 * findings):
@@ -234,13 +263,43 @@ class Scanner:
         return [[(c, next(odds)) for c in own] for own in found]
 
 
+def language_of(documents: DataFrame) -> Language:
+    """The language of whole texts of all documents; tasks sum before they shuffle, and only what reaches the floors goes to the driver."""
+    texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
+
+    def counts(batches):
+        pairs, words, total = Counter(), Counter(), 0
+
+        def table():
+            rows = [("pair", k, n) for k, n in pairs.items()] + [("word", k, n) for k, n in words.items()] + [("pairs", "", total), ("words", "", words.total())]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "key", "n"])
+
+        for batch in batches:
+            for some in slices(batch):
+                own_pairs, own_words, own_total = count(some["text"].to_pylist())
+                pairs.update(own_pairs)
+                words.update(own_words)
+                total += own_total
+                if len(words) + len(pairs) > HELD_WORDS:
+                    yield table()
+                    pairs, words, total = Counter(), Counter(), 0
+        yield table()
+
+    summed = texts.mapInArrow(counts, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    summed = materialize(summed, "language")
+    total = {row.kind: row.n for row in summed.where("kind in ('pairs', 'words')").collect()}
+    all_pairs, all_words = total.get("pairs", 0), total.get("words", 0)
+    pairs = summed.where((F.col("kind") == "pair") & (F.col("n") >= _floor(all_pairs, PAIR_FLOOR)))
+    words = summed.where((F.col("kind") == "word") & (F.col("n") >= _floor(all_words, WORD_FLOOR)))
+    known = [Counter({row.key: row.n for row in rows.toLocalIterator()}) for rows in (pairs, words)]
+    return Language(*known, all_pairs, all_words)
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> Scanner:
-    """A scanner trained with places of at most `sample` documents, drawn by a hash of the id."""
+    """A scanner trained with the language of all documents, and places of the `sample` documents with the smallest hashes."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = texts.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = texts.where(place < int((1 << 30) * min(1.0, 2 * sample / max(1, total))))
-    return Scanner.train([row.text for row in picked.select("text").limit(sample).toLocalIterator()])
+    picked = texts.select("text", F.xxhash64("doc_id", "text").alias("place")).orderBy("place").limit(sample)
+    return Scanner.train([row.text for row in picked.select("text").collect()], language=language_of(documents))
 
 
 def find(documents: DataFrame, path: str | None = None, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
