@@ -165,6 +165,19 @@ def test_pages_with_open_heads_drawings_and_formulas(model):
     assert html_text.render(root, {id(node): True for node in html_text.nodes(root)}) == "Loose text"
 
 
+def test_siblings_count_without_limit(llm):
+    found = html_text.nodes(html_text.parse("<div>" + "".join(f"<p>{'x' * k}</p>" for k in range(1, 101)) + "</div>"))
+    rows = html_text.features(found)
+    at = html_text._OWN + 6
+    assert set(rows[2:, at].tolist()) == {100}
+    assert np.allclose(rows[2:, at + 1], [np.log1p((5050 - k) / 99) for k in range(1, 101)])
+    words = "Plain words of a long paragraph, with commas and an end. " * 80
+    page = f"<body><nav><a href=x>Menu</a></nav><article>{f'<p>{words}</p>' * 50}</article><footer>Foot</footer>"
+    got = html_text.main_text(make_pages(llm, [(1, "u", page), (2, "u", None)])).collect()
+    assert len(page) > 200_000
+    assert {row.page_id: row.text for row in got} == {1: "\n".join([words.strip()] * 50), 2: ""}
+
+
 def test_decoding_is_consistent(model):
     root = html_text.parse("<div><p>aaaaaaaaaa</p><div><p>bbbbbbbbbb</p><p>cccccccccc</p></div></div>")
     found = html_text.nodes(root)

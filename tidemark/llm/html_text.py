@@ -35,6 +35,8 @@ from tidemark.llm.trees import Boosted
 
 #: Pages that the trees are fitted to, at most (each also in other layouts).
 SAMPLE = 160
+#: Pages that they are fitted to where no page of the sample is below the limit of size.
+SMALLEST = 16
 #: What splitting a node costs against one decision for all of it.
 SPLIT_COST = 1.0
 
@@ -87,7 +89,7 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block element: what it holds in order (texts and child nodes), and sums over its subtree."""
 
-    __slots__ = ("tag", "parent", "depth", "held", "kinds", "above", "hidden", "links", "own", "chars", "tags", "blocks", "index", "label")
+    __slots__ = ("tag", "parent", "depth", "held", "kinds", "above", "hidden", "links", "own", "chars", "tags", "blocks", "index", "label", "children", "below")
 
     def __init__(self, tag: str, parent: Node | None, marks: str):
         self.tag, self.parent = tag, parent
@@ -103,6 +105,7 @@ class Node:
         self.above = [a | b for a, b in zip(parent.above, [int(parent.tag == t) for t in ABOVE] + parent.kinds + [parent.hidden], strict=True)] if parent else [0] * (len(ABOVE) + len(TOKENS) + 1)
         self.links = self.own = self.chars = self.tags = self.blocks = 0
         self.label = None
+        self.children = self.below = 0
 
 
 def _self_closed(marks: str) -> bool:
@@ -222,6 +225,8 @@ def nodes(root: Node) -> list[Node]:
     for node in reversed(out):
         if node.parent is not None:
             node.parent.chars += node.chars
+            node.parent.below += node.chars
+            node.parent.children += 1
             node.parent.links += node.links
             node.parent.tags += node.tags
             node.parent.blocks += node.blocks
@@ -235,11 +240,7 @@ def features(found: list[Node]) -> np.ndarray:
     seen = 0
     for node in found:
         parent = node.parent or node
-        siblings = [child for child in parent.held if isinstance(child, Node)] if node.parent else [node]
-        if node.parent and len(siblings) > 64:
-            siblings = siblings[:64]
-        others = sum(child.chars for child in siblings) - node.chars
-        n = len(siblings)
+        n, others = (parent.children, parent.below - node.chars) if node.parent else (1, 0)
         own = "".join(part for part in node.held if isinstance(part, str)) if node.own else ""
         words = own.count(" ") + 1 if own else 0
         rows.append([
@@ -464,6 +465,9 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
     picked = rows.where((F.octet_length("html") < 200_000) & (place < int((1 << 30) * min(1.0, 2 * sample / max(1, total)))))
     model = train([row.html for row in picked.select("html").limit(sample).toLocalIterator()])
+    if model is None:  # no page below the limit has text: the smallest that have any html
+        smallest = rows.where(F.octet_length("html") > 0).orderBy(F.octet_length("html"), "page_id").limit(SMALLEST)
+        model = train([row.html for row in smallest.select("html").toLocalIterator()])
 
     def read(batches):
         for batch in batches:
