@@ -265,3 +265,18 @@ def test_pages_behind_the_limit_come_with_the_next_polls(spark, folder):
         jobs = J.run(spark, [source], [sink], f"{folder}/s")
         assert [(report.action, report.detail[:5]) for report in jobs["t"].reports] == ([(action, "/long")] if action else [])
         assert rows(read_batches(spark, f"{folder}/o", "json", ID)) == sorted(((n,) for n in range(expected)), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["pages", "cursor", "resume"])
+def test_polled_queries_deliver_every_order_of_a_hot_customer(spark, folder, kind):
+    from tidemark.plans import responses as queries
+
+    orders = [(k, 1 if k % 3 else k, float(k)) for k in range(30)]
+    schema = "o_orderkey long, o_custkey long, o_totalprice double"
+    spark.createDataFrame(orders, schema).repartition(3).write.parquet(f"{folder}/orders.parquet")
+    settings = {"page_size": 2, "max_requests": 4, "wave_pages": 2, "pagination": "page_increment"}
+    if kind == "cursor":
+        settings |= {"pagination": "cursor", "page_token_key": "after", "cursor_field": ["next"], "cursor_location": "query"}
+    fetch = queries._cursor_answer if kind == "cursor" else queries._page_answer
+    query = queries._polled(fetch, **settings, **({"one_request": False} if kind == "resume" else {}))
+    assert rows(query(spark, folder)) == sorted(((c, o, p) for o, c, p in orders), key=repr)

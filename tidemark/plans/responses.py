@@ -8,9 +8,11 @@ and none holds more than 50 records.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark import storage
 from tidemark.functions import json_values as J
@@ -235,48 +237,82 @@ def cursor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Polling ---------------------------------------------------------------------
 
-def _orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An endpoint per customer; its orders travel in the request body, for the answers."""
-    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
-    orders = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(order)).alias("held"))
-    return orders.select(F.col("o_custkey").cast("string").alias("endpoint"), F.to_json(F.struct("held")).alias("body"))
+def _numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their place among those of their customer; one with many is numbered in parts."""
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    dealt = orders.repartitionByRange("o_custkey", "o_orderkey").withColumn("part", F.spark_partition_id())
+    dealt = storage.materialize(dealt, "orders")
+    inside = Window.partitionBy("part", "o_custkey").orderBy("o_orderkey")
+    parts = dealt.groupBy("part", "o_custkey").count()
+    before = Window.partitionBy("o_custkey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "o_custkey", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    places = dealt.withColumn("inside", F.row_number().over(inside) - 1).join(parts, ["part", "o_custkey"])
+    return places.select(F.col("o_custkey").cast("string").alias("endpoint"), "o_orderkey", "o_totalprice", (F.col("before") + F.col("inside")).alias("place"))
+
+
+def _order_pages(spark: SparkSession, sf_dir: str, page_size: int) -> tuple[DataFrame, DataFrame]:
+    """An endpoint per customer, whose body tells how many orders it has, and the orders of each page."""
+    orders = storage.materialize(_numbered_orders(spark, sf_dir), "numbered-orders")
+    endpoints = orders.groupBy("endpoint").agg(F.count(F.lit(1)).cast("string").alias("total"))
+    endpoints = endpoints.select("endpoint", F.to_json(F.struct("total")).alias("body"))
+    order = F.struct("place", F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")).alias("order"))
+    page = F.floor(F.col("place") / page_size).cast("bigint")
+    pages = orders.groupBy("endpoint", page.alias("page")).agg(F.array_sort(F.collect_list(order)).alias("held"))
+    pages = pages.select("endpoint", "page", F.to_json(F.transform("held", lambda item: item["order"])).alias("held"))
+    return storage.materialize(endpoints, "customers"), storage.materialize(pages, "order-pages")
+
+
+def _with_orders(pages: DataFrame):
+    """Requests with the orders of their page in the body, for the answers."""
+
+    def prepare(requests: DataFrame) -> DataFrame:
+        found = requests.join(pages, ["endpoint", "page"], "left")
+        return found.withColumn("body", put_member(F.col("body"), "held", F.col("held"))).select(*requests.columns)
+
+    return prepare
 
 
 def _page_answer(request: dict) -> tuple[int, str]:
     """The orders of a page; past the end, an error; nothing new for a later bookmark."""
     body, params = json.loads(request["body"]), request["params"]
-    held = body["held"] if body.get("bookmark", "1970").startswith("1970") else []
+    new = body.get("bookmark", "1970").startswith("1970")
     size, page = int(params["page_size"]), int(params["page"])
-    if page * size > len(held):
+    if page * size > (int(body["total"]) if new else 0):
         return 404, ""
-    return 200, json.dumps({"data": held[page * size : (page + 1) * size]})
+    return 200, json.dumps({"data": json.loads(body.get("held", "[]")) if new else []})
 
 
 def _cursor_answer(request: dict) -> tuple[int, str]:
-    held, params = json.loads(request["body"])["held"], request["params"]
+    body, params = json.loads(request["body"]), request["params"]
     size, start = int(params["page_size"]), int(params.get("after", "0"))
-    answer = {"data": held[start : start + size]}
-    if start + size < len(held):
+    answer = {"data": json.loads(body.get("held", "[]"))}
+    if start + size < int(body["total"]):
         answer["next"] = str(start + size)
     return 200, json.dumps(answer)
 
 
-def _polled(fetch, polls: int = 1, **settings):
-    """The orders that `polls` polls deliver, one after another."""
+def _polled(fetch, one_request: bool = True, **settings):
+    """The orders that polls deliver, one after another, until no endpoint is unfinished."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        endpoints, pages = _order_pages(spark, sf_dir, settings.get("page_size", PAGE_SIZE))
         source = ApiSource(
-            "orders", _orders_by_customer(spark, sf_dir), fetch, select_field=["data"], one_request=polls == 1,
+            "orders", endpoints, fetch, select_field=["data"], one_request=one_request, prepare=_with_orders(pages),
             schema=T.StructType().add("key", T.LongType()).add("price", T.DoubleType()), **settings,
         )
         state, parts = None, []
-        for number in range(polls):
+        now = datetime(2024, 1, 1)
+        while True:
             landed = S.poll(spark, source, state)
             records = R.explode_records(R.with_selection(landed, source.select_field))
             parts.append(R.decode(records, source.schema, keep=["endpoint"]))
-            state = storage.materialize(S.next_state(landed, source, f"2024-01-01 00:00:{number:02d}", state), "state")
-            if number + 1 < polls and state.where("unfinished").isEmpty():
+            state = storage.materialize(S.next_state(landed, source, str(now), state), "state")
+            going_on = state.where("unfinished").select("endpoint")
+            if going_on.isEmpty():
                 break
+            if one_request:  # without a bookmark the others would answer all again
+                source = replace(source, endpoints=endpoints.join(going_on, "endpoint", "left_semi"))
+            now += timedelta(seconds=1)
         rows = reduce(DataFrame.unionByName, parts)
         return rows.select(F.col("endpoint").cast("bigint").alias("o_custkey"), F.col("key").alias("o_orderkey"), F.col("price").alias("o_totalprice"))
 
@@ -306,7 +342,7 @@ QUERIES = {
     ),
     # a poll of four requests leaves most endpoints unfinished; the later ones go on
     "polled_resume": _polled(
-        _page_answer, polls=100, pagination="page_increment", wave_pages=4, page_size=5, max_requests=4,
+        _page_answer, one_request=False, pagination="page_increment", wave_pages=4, page_size=5, max_requests=4,
     ),
 }
 

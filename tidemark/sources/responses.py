@@ -63,6 +63,8 @@ class ApiSource:
     cursor_location: str = "body"
     wave_pages: int = 8
     parallelism: int | None = None
+    #: A step on finished request tables that keeps rows and columns, such as a join that puts something in their bodies.
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         if self.pagination not in PAGINATIONS:
@@ -209,6 +211,8 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
     land, waves = storage.scratch_dir(spark, "responses"), []
     for first in range(0, limit, width):
         requests = build_requests(expand_pages(active, first, min(width, limit - first)), source)
+        if source.prepare is not None:
+            requests = source.prepare(requests)
         waves.append(f"{land}/wave={first}")
         with_facts(send(requests, source.fetch, source.parallelism), steps).write.parquet(waves[-1])
         wave = spark.read.schema(LANDED_SCHEMA).parquet(waves[-1])
