@@ -298,7 +298,10 @@ def language_of(documents: DataFrame) -> Language:
 def train(documents: DataFrame, sample: int = SAMPLE) -> Scanner:
     """A scanner trained with the language of all documents, and places of the `sample` documents with the smallest hashes."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    picked = texts.select("text", F.xxhash64("doc_id", "text").alias("place")).orderBy("place").limit(sample)
+    # about twice the sample passes, so tasks hand the driver no more than that
+    bound = int((1 << 30) * min(1.0, 2 * sample / max(1, texts.count())))
+    placed = texts.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("place"))
+    picked = placed.where(F.col("place") < bound).orderBy("place", "text").limit(sample)
     return Scanner.train([row.text for row in picked.select("text").collect()], language=language_of(documents))
 
 
