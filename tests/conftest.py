@@ -17,9 +17,3 @@ def spark():
 @pytest.fixture
 def folder():
     return tempfile.mkdtemp(prefix="tidemark-test-")
-
-
-def rows(df, *columns):
-    """Collected rows as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -3,7 +3,7 @@ import pathlib
 from datetime import datetime, timezone
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F, types as T
 
 from tidemark import storage

@@ -5,7 +5,7 @@ import time
 from datetime import datetime, timezone
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F, types as T
 from test_files import put, two_files
 from test_open_table import add, commit, data, head, remove, table  # noqa: F401

@@ -2,7 +2,7 @@ import json
 import pathlib
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators.schemas import SchemaConflict

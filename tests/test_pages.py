@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from tidemark.operators import pages as P
