@@ -1,0 +1,293 @@
+"""Periodic runs, quality rules and spelling variants against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tidemark.llm import queries, rules, runs, spelling
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# Periodic runs ------------------------------------------------------------------
+
+def brute_runs(words, shortest=12):
+    """Every lag over all words; a stretch belongs to its smallest lag."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(shortest, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda run: (run[0], run[2]))
+
+
+def collapsed(words, found):
+    gone = {i for start, length, q in found for i in range(start + q, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def repeating_text(rng):
+    words, kinds = [], rng.choice([1, 2, 3, 5, 30, 200])
+    for _ in range(rng.randint(0, 6)):
+        part = [str(rng.randrange(kinds)) for _ in range(rng.choice([1, 3, 7, 20, 50, 90]))]
+        words += part * rng.choice([1, 1, 2, 3, 4]) + part[: rng.randint(0, len(part)) if rng.random() < 0.3 else 0]
+    return words
+
+
+def test_runs_of_random_texts():
+    rng = random.Random(5)
+    for _ in range(150):
+        texts = [repeating_text(rng) for _ in range(rng.randint(1, 5))]
+        got = list(runs.runs_of([" ".join(t).encode() for t in texts]))
+        for words, (found, kept) in zip(texts, got, strict=True):
+            assert found == brute_runs(words)
+            assert b" ".join(kept).decode() == collapsed(words, found)
+
+
+def test_splitting_may_stop_early(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(repeating_text(rng)).encode() for _ in range(40)]
+    whole = list(runs.runs_of(texts))
+    monkeypatch.setattr(runs, "ROUNDS", 1)
+    assert list(runs.runs_of(texts)) == whole
+
+
+def test_splitting_leaves_running_text_out():
+    text = "one two three one two four one five three one two six seven eight one two nine ten one".split()
+    numbers = np.array([text.index(w) for w in text])
+    assert runs.split_segments(numbers, np.zeros(len(text), np.int64)) == []
+
+
+def test_long_periods_of_a_long_text():
+    words = [str(n % 5003) for n in range(40_000)]
+    (found, kept), = runs.runs_of([" ".join(words).encode()])
+    assert found == [(0, 40_000, 5003)] and len(kept) == 5003
+
+
+def test_a_run_of_a_multiple_is_no_run():
+    words = ["a", "b"] * 40 + ["c"] + ["a", "b", "a", "b", "d"] * 5
+    (found, _), = runs.runs_of([" ".join(words).encode()])
+    assert found == brute_runs(words)
+
+
+def planted(doc_id, text):
+    """The words of a document as the query changes them."""
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def expected_runs(doc_id, text):
+    words = planted(doc_id, text)
+    found = brute_runs(words)
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    spelled = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(found), *best, best[1] and 1000 * best[1] // best[2], sha(spelled), sha(collapsed(words, found)))
+
+
+def by_key(rows):
+    return sorted((tuple(row) for row in rows), key=repr)
+
+
+def query_runs(documents, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: documents)
+    return by_key(queries.op11_periodic_runs(documents.sparkSession, "").collect())
+
+
+def test_runs_of_awkward_rows(documents, monkeypatch):
+    # 5 and 27 are among the ids that get repetition
+    tenth = [d for d in range(200) if zlib.crc32(str(d).encode()) % 10 == 0][:4]
+    words = " ".join(str(n) for n in range(60))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a b " * 30), (4, "a b " * 30), (None, "x " * 14), (6, "é ü  " * 20), (7, "q " * 11)]
+    rows += [(tenth[0], words), (tenth[1], "one"), (tenth[2], None), (tenth[3], " "), (-1, words + " " + words)]
+    assert query_runs(documents(rows), monkeypatch) == by_key(expected_runs(d, t) for d, t in rows)
+    assert query_runs(documents([]), monkeypatch) == []
+
+
+def test_runs_of_the_given_documents(llm, given, sf):
+    rows = given("SELECT doc_id, text FROM documents WHERE length(text) < 3000")
+    got = {row["doc_id"]: tuple(row) for row in queries.op11_periodic_runs(llm, sf).collect()}
+    assert len(got) == given("SELECT count(*) FROM documents")[0][0]
+    assert [got[d] for d, _ in rows] == [expected_runs(d, t) for d, t in rows]
+
+
+# Quality rules ------------------------------------------------------------------
+
+def expected_statistics(doc_id, text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    failed = len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+    return (doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed)
+
+
+def statistics(judged):
+    return by_key(judged.select("doc_id", *rules.STATISTICS, "base_failed").collect())
+
+
+def test_statistics_of_awkward_rows(documents):
+    eight = "one two three four five six seven eight"
+    texts = [None, "", " \n \x0b", "a", eight, f"{eight}\n{eight}", f"{eight} x {eight} {eight}", "a " * 40, "é ü |<>#\n\n \né ü |<>#", "ab " * 7, "ß" * 5000]
+    rows = [(n, t) for n, t in enumerate(texts)] + [(None, eight), (5, "again"), (5, "again")]
+    judged = rules.judge(documents(rows))
+    assert statistics(judged) == by_key(expected_statistics(d, t) for d, t in rows)
+    assert not judged.where("base_failed and kept").count()
+    assert rules.judge(documents([])).collect() == []
+
+
+def test_statistics_of_the_given_documents(llm, given, sf):
+    rows = given("SELECT doc_id, text FROM documents")
+    assert statistics(queries.op12_quality_rules(llm, sf)) == by_key(expected_statistics(*row) for row in rows)
+
+
+def test_verdicts_agree_with_labels(llm, given, sf):
+    labels = dict(given("SELECT doc_id, quality FROM labels"))
+    judged = [row for row in queries.op12_quality_rules(llm, sf).collect() if row["doc_id"] in labels and not row["base_failed"]]
+    good = [row["kept"] for row in judged if labels[row["doc_id"]]]
+    bad = [row["kept"] for row in judged if not labels[row["doc_id"]]]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_model_tells_good_rules_from_bad_ones():
+    rng = random.Random(3)
+    counts = Counter()
+    for _ in range(4000):
+        good = rng.random() < 0.7
+        vote = lambda right: 0 if rng.random() < 0.3 else (1 if (rng.random() < right) == good else -1)  # noqa: E731, B023
+        counts[vote(0.95), vote(0.9), vote(0.85), vote(0.5)] += 1
+    model = rules.Model.fit(list("abcd"), sorted(counts.items()))
+    right = model.accuracies()
+    assert abs(model.share - 0.7) < 0.05 and abs(right["a"] - 0.95) < 0.05 and abs(right["d"] - 0.5) < 0.1
+    assert model.posterior((1, 1, 1, -1)) > 0.9 > 0.1 > model.posterior((-1, -1, -1, 1))
+
+
+def test_the_posterior_column_is_that_of_the_model(documents):
+    voted = rules.votes(rules.measure(documents([(n, "the old house of stone " * n + "### " * (n % 5)) for n in range(1, 12)])))
+    model, names = rules.fit(voted), rules.rule_names(voted)
+    for row in voted.withColumn("p", model.column()).collect():
+        assert row["p"] == pytest.approx(model.posterior(tuple(row[name] for name in names)), abs=1e-9)
+
+
+# Spelling variants --------------------------------------------------------------
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def expected_variants(rows, least=2):
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = run.encode().lower().decode()
+            h = zlib.crc32(f"{doc_id}:{word}".encode())
+            if doc_id is not None and h % 31 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            counts[word] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 7 and n >= least}
+    around = {w: set() for w in counts}
+    holes = {}
+    for w in counts:
+        for i in range(len(w)):
+            holes.setdefault((w[:i], w[i + 1 :]), set()).add(w)
+            if w[:i] + w[i + 1 :] in counts:
+                around[w].add(w[:i] + w[i + 1 :])
+                around[w[:i] + w[i + 1 :]].add(w)
+    for group in holes.values():
+        for w in group:
+            around[w] |= group - {w}
+    forms = {}
+    for w, others in around.items():
+        best = min(others, key=lambda o: (-counts[o], o), default=None)
+        forms[w] = best if best and counts[best] >= 10 * counts[w] else None
+    out = []
+    for w, n in counts.items():
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out.append((w, n, len(around[w]), forms[w], forms[w] and counts[forms[w]], root))
+    return by_key(out)
+
+
+def test_near_words_of_the_brute_force():
+    assert near("harbour", "harbor") and near("harbour", "harbours") and not near("harbour", "harbour") and not near("abcdefg", "badcefg")
+
+
+def query_variants(documents, monkeypatch):
+    monkeypatch.setattr(queries, "table", lambda *_: documents)
+    return by_key(queries.op13_spelling_variants(documents.sparkSession, "").collect())
+
+
+def made_documents(rng):
+    base = ["".join(rng.choice("aabéÿ") for _ in range(rng.randint(6, 9))) for _ in range(25)] + ["x" * 70, "x" * 71, "x" * 69 + "y"]
+    weights = [10 ** rng.uniform(0, 3) for _ in base]
+    chain = "kitchens " * 2000 + "kitchenz " * 150 + "kitchezz " * 10
+    return [(n, " ".join(rng.choices(base, weights, k=120))) for n in range(60)] + [(77, chain)]
+
+
+def test_variants_of_random_documents(documents, monkeypatch):
+    rows = made_documents(random.Random(8))
+    got = query_variants(documents(rows), monkeypatch)
+    assert got == expected_variants(rows)
+    assert any(row[3] and row[5] != row[3] for row in got)
+
+
+def test_many_small_shards_give_the_same(documents, monkeypatch):
+    rows = made_documents(random.Random(9))
+    monkeypatch.setattr(spelling, "KEPT_BYTES", 100)
+    got = spelling.variants(documents(rows), variant=spelling.with_slips, shard_words=2)
+    assert by_key(got.select("word", "n", "n_near", "form", "form_n", "root").collect()) == expected_variants(rows)
+
+
+def test_variants_of_awkward_rows(documents, monkeypatch):
+    rows = [(1, None), (2, ""), (3, "12 ab c"), (None, "Harbour HARBOUR harbor harbors"), (4, "ÀÉÎÕÜßÿ ÀÉÎÕÜßÿ àéîõüßÿ"), (4, "harbour×harbour"), (4, "harbour×harbour")]
+    rows += [(n, "Über-StraßeĀharbours " * 12) for n in range(20, 40)]
+    assert query_variants(documents(rows), monkeypatch) == expected_variants(rows)
+    assert query_variants(documents([]), monkeypatch) == query_variants(documents([(1, "few short words")]), monkeypatch) == []
+
+
+def test_variants_of_the_given_documents(llm, given, sf):
+    got = by_key(queries.op13_spelling_variants(llm, sf).collect())
+    assert got == expected_variants(given("SELECT doc_id, text FROM documents"))
+
+
+def test_filters_hold_what_was_put_in():
+    words = np.random.default_rng(1).choice(spelling.ALPHABET, (20_000, 9))
+    hashes = np.unique(spelling.word_hashes(words))
+    held = spelling.build_filter(hashes[::2])
+    assert spelling.passes(held, hashes[::2]).all() and spelling.passes(held, hashes[1::2]).mean() < 0.03
+
+
+def test_hashes_of_edits():
+    words = spelling._as_rows([b"balloon", b"\xe9t\xe9rnel"], 7)
+    for kind, rows, places, letters, hashes in spelling.edits(words):
+        for row, place, letter, value in zip(rows, places, letters, hashes, strict=True):
+            edited = spelling.spelled(kind, words[row].tobytes(), int(place), int(letter))
+            assert spelling.word_hashes(spelling._as_rows([edited], len(edited)))[0] == value
+
+
+def test_registered():
+    assert {"op11_periodic_runs", "op12_quality_rules", "op13_spelling_variants"} <= set(queries.QUERIES)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binary, contamination, html_text, jaccard, lines, packing, quality, secrets, topk, warc
+from tidemark.llm import binary, contamination, html_text, jaccard, lines, packing, quality, rules, runs, secrets, spelling, topk, warc
 from tidemark.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.decisions(documents, lines.build_index(documents)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_planted_repetition(table(spark, sf_dir, "documents")))
+    found = found.withColumn("longest", runs.longest_run(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"longest.{name}").alias(name) for name in ("start", "length", "period")),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(runs.spelled(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept", "posterior")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), variant=spelling.with_slips)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
 _LINES = """
 WITH split AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS held FROM documents
@@ -105,6 +128,7 @@ FROM payload LEFT JOIN first USING (html)
 _QUERIES = (
     op1_warc, op2_benchmark_decontamination, op3_quality_classifier, op4_secret_scan, op5_best_fit_packing,
     op6_exact_topk, op7_token_files, op8_html_extraction, op9_ngram_jaccard_join, op10_line_dedup,
+    op11_periodic_runs, op12_quality_rules, op13_spelling_variants,
 )
 QUERIES = {query.__name__: query for query in _QUERIES}
 ORACLES = {"op1_warc": _WARC, "op6_exact_topk": _TOPK, "op10_line_dedup": _LINES}
