@@ -8,14 +8,16 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F, types as T
 from test_files import put, two_files
-from test_open_table import add, commit, data, head, remove, table  # noqa: F401
+from test_open_table import SCHEMA as TABLE_SCHEMA, add, commit, data, head, remove, table  # noqa: F401
 
 from tidemark import storage
 from tidemark.sinks.files import FileSink, read_batches
 from tidemark.sinks.open_table import OpenTableSink, read_table
+from tidemark.sources import open_table as O
 from tidemark.sources.files import FileSource
 from tidemark.sources.open_table import OpenTableSource
 from tidemark.streaming import jobs as J
+from tidemark.streaming.commits import _CommitReader
 
 SCHEMA = T.StructType().add("id", T.LongType()).add("value", T.StringType())
 
@@ -267,3 +269,58 @@ def test_a_snapshot_that_fails_is_taken_later(spark, table, folder, on_fail):  #
         assert J.run(spark, [source], [sink], f"{folder}/s")["t"].reports == []
         got = read_batches(spark, sink.path, "json", T.StructType().add("id", T.LongType()).add("_change_type", T.StringType()))
         assert rows(got) == [(7, "insert")]
+
+
+def test_commits_count_by_version_not_by_time(spark, folder):
+    """Old-dated commits arrive once and in order; a missing one is reported and waited for."""
+    now, out, state = time.time(), f"{folder}-out", f"{folder}-state"
+
+    def put(version, *actions):
+        commit(folder, version, *actions)
+        os.utime(f"{folder}/_delta_log/{version:020d}.json", (now - 86400 * 30 * version,) * 2)
+
+    def added(version):
+        return {"commitInfo": {"timestamp": 1_700_000_000_000 + version}}, add(data(spark, folder, f"{version}.parquet", [(version, "x")]))
+
+    source, sink = OpenTableSource("t", folder), FileSink("o", "t", out, "json")
+    got = lambda: sorted(row["id"] for row in spark.read.json(f"{out}/batch=*").collect())
+    put(0, *head(), added(0)[1])
+    assert not J.run(spark, [source], [sink], state)["t"].reports
+    put(1, *added(1))
+    put(3, *added(3))
+    put(200, *added(200))
+    reports = J.run(spark, [source], [sink], state)["t"].reports
+    assert [(r.action, r.detail) for r in reports] == [("wait", "commit 2 is missing, later ones wait for it")]
+    assert got() == [0, 1]
+    assert not J.run(spark, [source], [sink], state)["t"].reports
+    put(2, *added(2))
+    reports = J.run(spark, [source], [sink], state)["t"].reports
+    assert [r.detail[:8] for r in reports] == ["commit 4"] and got() == [0, 1, 2, 3]
+
+
+def test_commits_of_a_trigger_are_bounded(folder):
+    log = pathlib.Path(folder, "_delta_log")
+    log.mkdir()
+    for version in (5, 6, 7, 9):
+        (log / f"{version:020d}.json").write_text("{}")
+    reader = _CommitReader(str(log), 2)
+    start = reader.initialOffset()
+    rows, end = reader.read(start)
+    assert list(rows) == [(5, None), (6, None)] and end == {"version": 6, "missing": -1}
+    rows, end = reader.read(end)
+    assert list(rows) == [(7, None), (None, 8)] and end == {"version": 7, "missing": 8}
+    assert reader.read(end)[1] == end and list(reader.readBetweenOffsets(start, end)) == [(5, None), (6, None), (7, None), (None, 8)]
+
+
+def test_new_commits_tell_the_schema(spark, folder):
+    """Batches behind the first read the new commits only, also where one changes the schema."""
+    wider = json.loads(TABLE_SCHEMA)
+    wider["fields"].append({"name": "more", "type": "integer", "nullable": True, "metadata": {}})
+    stamp = {"commitInfo": {"timestamp": 1_700_000_000_000}}
+    commit(folder, 0, *head(), add(data(spark, folder, "a.parquet", [(1, "a")])))
+    schema = O.schema_after(spark, folder, [0], None)
+    commit(folder, 1, stamp, add(data(spark, folder, "b.parquet", [(2, "b")])))
+    assert O.schema_after(spark, folder, [1], schema) == schema
+    commit(folder, 2, *head(json.dumps(wider)))
+    assert O.schema_after(spark, folder, [1, 2], schema).names == ["id", "name", "more"]
+    assert rows(O.read_changes(spark, folder, [1], schema=schema), "id") == [(2,)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,7 +57,15 @@ def snapshot_as_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stage_log_table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """Lineitem as a partitioned open table with four commits.
+    """Lineitem as a partitioned open table, all its commits written."""
+    table, lines, commits = _lineitem_table(spark, sf_dir)
+    for version, actions in enumerate(commits):
+        _commit(spark, table, version, actions)
+    return table, lines
+
+
+def _lineitem_table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, list[list[dict]]]:
+    """Lineitem as the files of a partitioned open table, with four commits to come.
 
     1 adds every file, 2 removes the returned lines, 3 rewrites the accepted
     ones without changing rows, 4 adds the returned lines back that were open.
@@ -77,12 +85,13 @@ def _stage_log_table(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     returned = [f for group in files if "flag=R" in group for f in files[group]]
     first = [f for group in files.values() for f in group if f not in copies]
     meta = {"schemaString": lines.schema.json(), "partitionColumns": keys, "configuration": {}}
-    _commit(spark, table, 0, [{"protocol": {"minReaderVersion": 1}}, {"metaData": meta}])
-    _commit(spark, table, 1, [_add(f, True) for f in first])
-    _commit(spark, table, 2, [_remove(f, True) for f in returned])
-    _commit(spark, table, 3, [_remove(f, False) for f in accepted] + [_add(f, False) for f in sorted(copies)])
-    _commit(spark, table, 4, [_add(f, True) for f in returned if "status=O" in f])
-    return table, lines
+    return table, lines, [
+        [{"protocol": {"minReaderVersion": 1}}, {"metaData": meta}],
+        [_add(f, True) for f in first],
+        [_remove(f, True) for f in returned],
+        [_remove(f, False) for f in accepted] + [_add(f, False) for f in sorted(copies)],
+        [_add(f, True) for f in returned if "status=O" in f],
+    ]
 
 
 def _second_copies(spark: SparkSession, table: str, files: dict[str, list[str]]) -> set[str]:
@@ -134,6 +143,23 @@ def open_table_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_time(read_batches(spark, out, "parquet", schema))
 
 
+def commits_out_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy job run three times on commits whose files are the older the later their version.
+
+    The first run takes the snapshot. Before the second, commit 3 is there without
+    commit 2 and has to wait; the third has all.
+    """
+    table, lines, commits = _lineitem_table(spark, sf_dir)
+    out, state = storage.scratch_dir(spark, "lineitem-copy"), storage.scratch_dir(spark, "job")
+    source, sink = OpenTableSource("lineitem", table, bookmark=_STAMP), FileSink("copy", "lineitem", out, "parquet")
+    for versions in ((0, 1), (3,), (2, 4)):
+        for version in versions:
+            _commit(spark, table, version, commits[version])
+            storage.set_time(spark, f"{table}/{O.LOG_DIR}/{version:020d}.json", _STAMP - timedelta(days=40 * version))
+        run(spark, [source], [sink], state)
+    return _plain_time(read_batches(spark, out, "parquet", C.as_inserts(lines).schema))
+
+
 def schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of orders that each have a field of their own."""
     orders = load(spark, sf_dir, "orders")
@@ -167,6 +193,7 @@ QUERIES = {
     "log_replay_version": log_replay_version,
     "log_changes": log_changes,
     "open_table_copy": open_table_copy,
+    "commits_out_of_time": commits_out_of_time,
     "schema_merge": schema_merge,
     "conform_types": conform_types,
 }
@@ -195,6 +222,13 @@ ORACLES = {
         SELECT *, 'insert' AS _change_type, TIMESTAMP '2024-02-03 04:05:06' AS _commit_timestamp
         FROM lineitem WHERE {_LIVE}
     """,
+    "commits_out_of_time": """
+        SELECT *, 'insert' AS _change_type, TIMESTAMP '2024-02-03 04:05:06' AS _commit_timestamp FROM lineitem
+        UNION ALL
+        SELECT *, 'delete', TIMESTAMP '2023-11-14 22:13:22' FROM lineitem WHERE l_returnflag = 'R'
+        UNION ALL
+        SELECT *, 'insert', TIMESTAMP '2023-11-14 22:13:24' FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'
+    """,
     "schema_merge": """
         SELECT o_orderkey, o_totalprice, CAST(NULL AS TIMESTAMP) AS o_orderdate, CAST(NULL AS VARCHAR) AS o_orderpriority
         FROM orders WHERE o_orderstatus = 'F'

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tidemark import storage
 from tidemark.operators import changes as C
 from tidemark.sources.files import is_new
+from tidemark.streaming.commits import stream_versions
 
 LOG_DIR = "_delta_log"
 CHANGE_DIR = "_change_data"
@@ -37,6 +38,7 @@ _ACTION = """
 _NEED_CONNECTOR = ("deletionVectors", "columnMapping", "v2Checkpoint")
 
 _CHECKPOINT = re.compile(r"^(\d{20})\.checkpoint(\.\d{10}\.\d{10})?\.parquet$")
+_COMMIT = re.compile(r"^(\d{20})\.json$")
 _LAST_VERSION = 10**20 - 1
 
 
@@ -54,7 +56,8 @@ class OpenTableSource:
     on_fail: str = "stop"
     one_request: bool = False
     first_read: bool = False
-    max_files_per_trigger: int | None = None
+    #: Commits of one trigger, at most; a run that reads what there is and ends takes all at once.
+    max_files_per_trigger: int = 1_000
 
 
 def has_connector(spark: SparkSession) -> bool:
@@ -85,20 +88,13 @@ def read_log(spark: SparkSession, path: str, version: int | None = None) -> Data
     folder = _log_path(path)
     if not storage.exists(spark, folder):
         raise FileNotFoundError(f"no commit log in {path}")
-    names = storage.matching_names(spark, f"{folder}/*.checkpoint*")
-    if any(not _CHECKPOINT.match(n) for n in names if n.endswith((".parquet", ".json"))):
+    names = storage.list_names(spark, folder)
+    if any(".checkpoint" in n and n.endswith((".parquet", ".json")) and not _CHECKPOINT.match(n) for n in names):
         raise ValueError("this log has checkpoints only a connector can read")
     top = _LAST_VERSION if version is None else version
     base = max((v for v in _whole_checkpoints(names) if v <= top), default=-1)
-    commit_name = F.col("_metadata.file_name")
-    commits = (
-        spark.read.schema(_ACTION).option("pathGlobFilter", "*.json").json(folder)
-        .where((commit_name > f"{max(base, 0):020d}.json") | F.lit(base < 0))
-        .where(commit_name <= f"{top:020d}.json")
-        .withColumn("version", _version(commit_name))
-        .where("version is not null")
-    )
-    _refuse_gaps(commits, base, version)
+    _refuse_gaps([int(match[1]) for match in map(_COMMIT.match, names) if match and base < int(match[1]) <= top], base, version)
+    commits = _commits_between(spark, path, base + 1, top)
     if base < 0:
         return commits
     files = [f"{folder}/{n}" for n in names if _CHECKPOINT.match(n) and int(n[:20]) == base]
@@ -115,11 +111,10 @@ def _whole_checkpoints(names: Sequence[str]) -> list[int]:
     return [version for (version, wanted), there in parts.items() if there == wanted]
 
 
-def _refuse_gaps(commits: DataFrame, base: int, version: int | None) -> None:
+def _refuse_gaps(versions: Sequence[int], base: int, version: int | None) -> None:
     """Refuse a log that lacks a commit behind its checkpoint, or the version asked for."""
-    head = commits.agg(F.max("version").alias("top"), F.count_distinct("version").alias("n")).first()
-    top = base if head["top"] is None else head["top"]
-    if head["n"] != top - base:
+    top = max(versions, default=base)
+    if len(versions) != top - base:
         raise ValueError(f"the log lacks commits between versions {base} and {top}")
     if version is not None and version != top:
         raise ValueError(f"the log ends at version {top}, there is no version {version}")
@@ -127,6 +122,14 @@ def _refuse_gaps(commits: DataFrame, base: int, version: int | None) -> None:
         raise FileNotFoundError("the log holds no commit")
 
 
+def _commits_between(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Actions of the JSON commits of some versions, each with its version; the directory is one table, names prune files."""
+    name = F.col("_metadata.file_name")
+    commits = spark.read.schema(_ACTION).option("pathGlobFilter", "*.json").json(_log_path(path))
+    commits = commits.where(name.between(f"{first:020d}.json", f"{last:020d}.json"))
+    return commits.withColumn("version", _version(name)).where("version is not null")
+
+
 def live_files(log: DataFrame) -> DataFrame:
     """The data files of the latest version in the log, as `path`.
 
@@ -148,8 +151,8 @@ def _located(path: Column, table_path: str) -> Column:
     return F.when(plain.rlike("^([a-z][a-z0-9+.-]*:|/)"), plain).otherwise(full)
 
 
-def table_schema(log: DataFrame) -> T.StructType:
-    """The table's schema in the latest metadata of the log."""
+def table_schema(log: DataFrame, known: T.StructType | None = None) -> T.StructType:
+    """The table's schema in the latest metadata of the log, or the one that is `known` if there is none."""
     head = log.agg(
         F.max_by("metaData", F.when(F.col("metaData").isNotNull(), F.col("version"))).alias("meta"),
         F.max_by("protocol", F.when(F.col("protocol").isNotNull(), F.col("version"))).alias("protocol"),
@@ -159,6 +162,8 @@ def table_schema(log: DataFrame) -> T.StructType:
     mapping = ((head["meta"]["configuration"] if head["meta"] else None) or {}).get("delta.columnMapping.mode", "none")
     if head["vectors"] or features.intersection(_NEED_CONNECTOR) or mapping != "none":
         raise ValueError("this table uses features only a connector can read")
+    if head["meta"] is None and known is not None:
+        return known
     if head["meta"] is None:
         raise ValueError("the log holds no table metadata")
     return T.StructType.fromJson(json.loads(head["meta"]["schemaString"]))
@@ -220,7 +225,8 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     if has_connector(spark):
         reader = spark.read.format("delta")
         return (reader.option("versionAsOf", version) if version is not None else reader).load(path)
-    log = read_log(spark, path, version)
+    # the log is text: read once, then by column
+    log = storage.materialize(read_log(spark, path, version), "log")
     return _read_data(spark, path, live_files(log), table_schema(log))
 
 
@@ -242,16 +248,16 @@ def read_change_files(spark: SparkSession, path: str, bookmark: datetime = C.EPO
 
 
 def read_changes(
-    spark: SparkSession, path: str, versions: Sequence[int], bookmark: datetime = C.EPOCH
+    spark: SparkSession, path: str, versions: Sequence[int], bookmark: datetime = C.EPOCH, schema: T.StructType | None = None
 ) -> DataFrame:
-    """Normalised change rows of some commits.
+    """Normalised change rows of some commits, in the table's `schema` (read from the whole log if not given).
 
     A commit with change files is read from them. One without was a plain
     append or removal of whole files: the rows of its data-changing adds are
     inserts, those of its removes deletes. Rows carry the commit's own time.
     """
-    schema = table_schema(read_log(spark, path, max(versions)))
-    log = read_commits(spark, path, versions)
+    schema = schema or table_schema(read_log(spark, path, max(versions)))
+    log = storage.materialize(read_commits(spark, path, versions), "commits")
     has_cdc = F.max(F.col("cdc").isNotNull()).alias("has_cdc")
     time = F.max(F.timestamp_millis("commitInfo.timestamp")).alias(C.COMMIT_TIME)
     commits = log.groupBy("version").agg(has_cdc, time)
@@ -282,17 +288,23 @@ def read_changes(
 
 def read_commits(spark: SparkSession, path: str, versions: Sequence[int]) -> DataFrame:
     """Actions of some JSON commits, each with its version."""
-    names = [f"{_log_path(path)}/{v:020d}.json" for v in versions]
-    return spark.read.schema(_ACTION).json(names).withColumn("version", _version(F.col("_metadata.file_name")))
-
-
-def stream_commits(spark: SparkSession, source: OpenTableSource) -> DataFrame:
-    """The stream of new commit versions, one row per commit file."""
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("pathGlobFilter", "*.json")
-    )
-    if source.max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", source.max_files_per_trigger)
-    return reader.load(_log_path(source.path)).select(_version(F.col("path")).alias("version"))
+    first, last = min(versions), max(versions)
+    commits = _commits_between(spark, path, first, last)
+    return commits if len(set(versions)) > last - first else commits.where(F.col("version").isin(list(versions)))
+
+
+def schema_after(spark: SparkSession, path: str, versions: Sequence[int], schema: T.StructType | None) -> T.StructType:
+    """The table's schema after some commits, from the one before them: only these commits are read.
+
+    Without one before, the whole log is.
+    """
+    if schema is None:
+        return table_schema(read_log(spark, path, max(versions)))
+    told = F.col("metaData").isNotNull() | F.col("protocol").isNotNull() | F.col("add.deletionVector").isNotNull()
+    new = storage.materialize(read_commits(spark, path, versions).where(told), "commit-heads")
+    return schema if new.isEmpty() else table_schema(new, schema)
+
+
+def stream_commits(spark: SparkSession, source: OpenTableSource, all_at_once: bool = False) -> DataFrame:
+    """The stream of new commits by version, whatever the times of their files."""
+    return stream_versions(spark, _log_path(source.path), None if all_at_once else source.max_files_per_trigger)

@@ -11,6 +11,7 @@ import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def set_time(spark: SparkSession, path: str, time: datetime) -> None:
+    """Set the modification time of a file, where the file system has one to set."""
+    fs, jpath = _locate(spark, path)
+    fs.setTimes(jpath, int(time.timestamp() * 1000), -1)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, jpath = _locate(spark, path)
     fs.delete(jpath, True)

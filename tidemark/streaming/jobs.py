@@ -208,6 +208,7 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
     """
     source = job.source
     marker = f"{job.folder}/snapshot_version"
+    schema_file = f"{job.folder}/table_schema.json"
 
     def snapshot(commits: DataFrame, batch_id: int) -> bool:
         """Deliver the snapshot if this batch is the one for it."""
@@ -218,6 +219,8 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
             return False
         if version is None:
             version = commits.agg(F.max("version")).first()[0]
+        if version is None:
+            return True
         job.deliver(_read_or_fail(lambda: open_table.read_snapshot_changes(spark, source, version)), batch_id)
         storage.write_text(spark, marker, f"{version} {batch_id}")
         return True
@@ -226,15 +229,24 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
         spark = commits.sparkSession
         text = storage.read_text(spark, marker)
         done = int(text.split()[0]) if text else -1
-        versions = sorted(row["version"] for row in commits.where(F.col("version") > done).collect())
-        if not versions:
+        ends = commits.where(F.col("version") > done).agg(F.min("version"), F.max("version")).first()
+        if ends[0] is None:
             return None
-        rows = open_table.read_changes(spark, source.path, versions, source.bookmark)
+        versions = range(ends[0], ends[1] + 1)
+        text = storage.read_text(spark, schema_file)
+        schema = open_table.schema_after(spark, source.path, versions, None if text is None else T.StructType.fromJson(json.loads(text)))
+        if text != schema.json():
+            storage.write_text(spark, schema_file, schema.json())
+        rows = open_table.read_changes(spark, source.path, versions, source.bookmark, schema)
         if source.first_read and source.bookmark > open_table.C.EPOCH:
             rows = open_table.C.newer_than(rows, open_table.C.COMMIT_TIME, source.bookmark)
         return rows
 
     def write(commits: DataFrame, batch_id: int) -> None:
+        commits = commits.persist(StorageLevel.MEMORY_AND_DISK)
+        hole = commits.where("missing is not null").first()
+        if hole is not None:
+            job.report(source.name, batch_id, "wait", f"commit {hole['missing']} is missing, later ones wait for it")
         try:
             if snapshot(commits, batch_id):
                 return
@@ -245,6 +257,8 @@ def _deliver_commits(job: TableJob) -> Callable[[DataFrame, int], None]:
             if source.on_fail == "stop":
                 raise
             job.report(source.name, batch_id, "skip", problem)
+        finally:
+            commits.unpersist()
 
     return write
 
@@ -333,13 +347,13 @@ def _tidy(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int],
     return write_and_delete
 
 
-def _stream_of(spark: SparkSession, job: TableJob) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
+def _stream_of(spark: SparkSession, job: TableJob, once: bool) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     source = job.source
     if isinstance(source, ApiSource):
         return stream_polls(spark), _deliver_polls(job)
     if isinstance(source, OpenTableSource):
         _restart_without_snapshot(spark, job)
-        return open_table.stream_commits(spark, source), _deliver_commits(job)
+        return open_table.stream_commits(spark, source, once or source.one_request), _deliver_commits(job)
     if source.on_fail == "skip" or source.schema is None:
         return file_source.stream_file_names(spark, source), _deliver_named_files(job)
     return file_source.stream_files(spark, source), _deliver_rows(job)
@@ -398,7 +412,7 @@ def start(
         for name, part in parts.items():
             folder = f"{checkpoint.rstrip('/')}/{name}"
             jobs[name] = TableJob(source, part, folder, _job_id(spark, folder), cache)
-    streams = {name: _stream_of(spark, job) for name, job in jobs.items()}
+    streams = {name: _stream_of(spark, job, once) for name, job in jobs.items()}
     for name, job in jobs.items():
         stream, write = streams[name]
         writer = stream.writeStream.queryName(f"{name}-{job.job}").foreachBatch(_tidy(write))
