@@ -12,13 +12,14 @@ attempt of a task writes a file of its own name, and only those listed in the
 manifest, which Spark commits, are read.
 
 Defined cases: a null text is an empty document of one id (the end id); rows
-with a null doc_id come first; rows with equal doc_id are ordered by text; an
+with a null doc_id come first; rows with equal doc_id are ordered by a hash of the text; an
 empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,12 +43,13 @@ FRAME_IDS = 1 << 16
 
 MANIFEST = "part int, path string, documents long, tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
+CHECKSUMMED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class TokenFileWriter:
     """Writes documents one after another; holds one frame and the index."""
 
-    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 3):
+    def __init__(self, sink, frame_ids: int = FRAME_IDS, level: int = 1):
         self.sink, self.frame_bytes = sink, 4 * frame_ids
         self.compressor = zstandard.ZstdCompressor(level=level)
         self.buffer = bytearray()
@@ -162,19 +164,23 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str | None =
 
     ordered = (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        # rows of one doc_id (or of none) may be many: a hash of the text parts them, too
+        .withColumn("print", F.xxhash64("text"))
+        .repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first(), "print")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "print", "text")
+        .drop("print")
     )
     manifest = f"{folder}/manifest.parquet"
     ordered.mapInArrow(write, MANIFEST).write.parquet(manifest)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
-def read_token_files(manifest: DataFrame, folder: str, doc_ids: Sequence[int] | None = None) -> DataFrame:
+def read_token_files(manifest: DataFrame, folder: str, doc_ids: Sequence[int] | None = None, checksums: bool = False) -> DataFrame:
     """Documents of the files with the place of their first id among all files.
 
-    With `doc_ids` only the frames of those documents are read. The manifest (a
-    row for each file) is summed up on the driver.
+    With `doc_ids` only the frames of those documents are read. With `checksums` the
+    ids stay in the reader, and their crc32 is returned in their place. The manifest
+    (a row for each file) is summed up on the driver.
     """
     spark = manifest.sparkSession
     base, files = 0, []
@@ -194,8 +200,8 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Sequence[int] |
         picked = None if wanted is None else [i for i, doc_id in enumerate(file.doc_ids) if doc_id in wanted]
         found, size = [], 0
         for position, ids in file.documents(picked):
-            found.append((file.doc_ids[position], first + int(file.starts[position]), len(ids) // 4, ids))
-            size += len(ids)
+            found.append((file.doc_ids[position], first + int(file.starts[position]), len(ids) // 4, zlib.crc32(ids) if checksums else ids))
+            size += 0 if checksums else len(ids)
             if size > 4 << 20 or len(found) >= 5_000:
                 yield arrow(found)
                 found, size = [], 0
@@ -204,17 +210,17 @@ def read_token_files(manifest: DataFrame, folder: str, doc_ids: Sequence[int] |
 
     def arrow(found):
         doc_ids, starts, lengths, ids = zip(*found, strict=True)
-        columns = [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.int64() if checksums else pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"])
 
     listed = spark.createDataFrame(files, "path string, base long")
-    return listed.repartition(max(1, len(files))).mapInArrow(read, DOCUMENTS)
+    return listed.repartition(max(1, len(files))).mapInArrow(read, CHECKSUMMED if checksums else DOCUMENTS)
 
 
-def write_and_read(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Write all documents and read them back: doc_id, start, n_tokens, ids."""
+def write_and_read(documents: DataFrame, tokenizer: str, checksums: bool = False) -> DataFrame:
+    """Write all documents and read them back: doc_id, start, n_tokens, ids (or their checksums)."""
     spark: SparkSession = documents.sparkSession
     folder = scratch_dir(spark, "tokens")
-    return read_token_files(write_token_files(documents, tokenizer, folder), folder)
+    return read_token_files(write_token_files(documents, tokenizer, folder), folder, checksums=checksums)
 
 

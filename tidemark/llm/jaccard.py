@@ -228,6 +228,9 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, bands: Bands) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
 
+    # most sets share no tile: only those of the pairs are joined with their bitmaps
+    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired-nodes")
+    nodes = materialize(nodes.select("node", "size", "bitmap").join(named, "node", "left_semi"), "paired-sets")
     first, second = (
         nodes.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bitmap").alias(f"bitmap_{side}")) for side in "ab"
     )
@@ -262,22 +265,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of different components that share a tile and pass sizes and bitmaps."""
+    """Pairs of different components that share a tile and pass sizes and bitmaps, once for each such tile."""
     labelled = shared.join(groups, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
     labelled = materialize(labelled, "tile-groups")
     counted = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     still_open = counted.where("n > 3 and low < high").select("tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(still_open, "tile")
+    members = materialize(labelled.join(still_open, "tile"), "open-tiles")
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     members = members.select("tile", "node", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.withColumns({"row": F.least("block", "other"), "column": F.greatest("block", "other")})
-    full = members.join(nodes.select("node", "size", "bitmap", "tiles"), "node")
+    held = nodes.select("node", "size", "bitmap").join(members.select("node").distinct(), "node", "left_semi")
+    full = members.join(materialize(held, "open-sets"), "node")
 
     def compare(key, group: pd.DataFrame) -> pd.DataFrame:
-        tile, row, column = (int(k) for k in key)
+        _, row, column = (int(k) for k in key)
         group = group.sort_values("size", kind="stable")
         size, component = group["size"].to_numpy(), group["component"].to_numpy()
-        block, node, tiles = group["block"].to_numpy(), group["node"].to_numpy(), group["tiles"].tolist()
+        block, node = group["block"].to_numpy(), group["node"].to_numpy()
         width = min(map(len, group["bitmap"]))
         bitmap = np.stack([fold(np.frombuffer(x, "u1"), width) for x in group["bitmap"]])
         found = []
@@ -291,8 +295,7 @@ def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, bands: Bands
             if len(pick):
                 bound = overlap_bound(bitmap[i], bitmap[pick], size[i], size[pick])
                 for j in pick[bands.links(size[i], size[pick], bound)].tolist():
-                    if np.intersect1d(tiles[i], tiles[j])[0] == tile:  # each pair in the first tile it shares
-                        found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return full.groupBy("tile", "row", "column").applyInPandas(compare, "a long, b long")
@@ -305,12 +308,13 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(_sets(texts, words, bands), "sets")
     known = sets.where("doc_id is not null")
-    first = known.groupBy("high", "low").agg(F.min("doc_id").alias("node"))
-    first = materialize(first, "classes")
-    members = materialize(known.select("doc_id", "size", "high", "low").join(first, ["high", "low"]).select("doc_id", "size", "node"), "members")
+    # sets that stand alone are their own class and are joined with nothing
+    classes = known.where("size > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.where("n > 1").drop("n"), "classes")
+    members = known.select("doc_id", "size", "high", "low").join(classes, ["high", "low"], "left")
+    members = materialize(members.withColumn("node", F.coalesce("node", "doc_id")), "members")
     # where Spark can broadcast the copies, the wide rows of the nodes are not shuffled
-    copies = known.select("doc_id", "high", "low").join(first, ["high", "low"]).where("doc_id <> node").select("doc_id", "high", "low")
-    copies = materialize(copies.distinct(), "copies")
+    copies = materialize(members.where("doc_id <> node").select("doc_id", "high", "low").distinct(), "copies")
     nodes = known.where("size > 0").join(copies, ["doc_id", "high", "low"], "left_anti")
     nodes = nodes.withColumnRenamed("doc_id", "node")
     known_texts = texts.where("doc_id is not null")

@@ -7,8 +7,8 @@
    votes how on good and on bad documents, and the share of good ones; a
    document's pattern then gives the posterior that it is good.
 3. A linear scorer on hashed words and word shapes is fitted to the posteriors of a
-   sample of at most `sample` documents (in the order of a hash of the id, so all
-   kinds come in their shares), and scores the whole text of every document.
+   sample of at most `sample` documents (the first by a hash of id and text, so all
+   kinds come in their shares) and scores the whole text of every document.
 
 Function words vary in documents of one kind, so a labeller may abstain, and no
 labeller is trusted more than its agreement with the others allows.
@@ -31,9 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import slices
+from tidemark.storage import materialize
 
 #: Documents that the scorer is fitted to, at most.
 SAMPLE = 6_000
+#: Bytes of their texts, at most.
+SAMPLE_BYTES = 64 << 20
 #: Buckets of hashed features.
 BUCKETS = 1 << 15
 #: The bucket of words that follow themselves (others may fall there too).
@@ -52,6 +55,17 @@ _SIGN = str.maketrans("", "", " \n\t\r.,;:'\"()-?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class _Folded(dict):
+    """Words without the signs around them, in small letters; kept, as most words come again."""
+
+    def __missing__(self, word: str) -> str:
+        value = self[word] = word.strip(".,;:!?\"'()").lower()
+        return value
+
+
+_folded = _Folded()
+
+
 def measures(text: str | None) -> dict[str, float]:
     """What labellers look at."""
     text = text or ""
@@ -60,7 +74,9 @@ def measures(text: str | None) -> dict[str, float]:
     dense = text.translate(_SIGN)
     chars = max(1, len(dense))
     letters = sum(map(len, _LETTERS.findall(dense)))
-    folded = [word.strip(".,;:!?\"'()").lower() for word in words]
+    if len(_folded) > 400_000:
+        _folded.clear()
+    folded = list(map(_folded.__getitem__, words))
     return {
         "words": len(words),
         "signs": 1 - letters / chars,
@@ -69,7 +85,7 @@ def measures(text: str | None) -> dict[str, float]:
         "again": sum(map(str.__eq__, folded, folded[1:])) / n,
         "top": max(Counter(folded).values(), default=0) / n,
         "expected": min(1.0, 1.6 * n**-0.18),
-        "function": sum(word in FUNCTION_WORDS for word in folded) / n,
+        "function": sum(map(FUNCTION_WORDS.__contains__, folded)) / n,
         "length": len(dense) / n,
         "bare": sum(map(str.isalpha, folded)) / n,
     }
@@ -221,56 +237,96 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def vote_patterns(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Patterns, how often each occurs, and the number of documents; summed by Spark."""
+def _code(found: tuple[int, ...]) -> int:
+    """A pattern of votes as one number."""
+    code = 0
+    for vote in found:
+        code = 3 * code + vote + 1
+    return code
+
+
+def _pattern(code: int) -> tuple[int, ...]:
+    found = []
+    for _ in range(LABELLERS):
+        code, digit = divmod(code, 3)
+        found.append(digit - 1)
+    return tuple(reversed(found))
+
+
+def with_votes(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the pattern of votes on it (a number)."""
 
     def vote(batches):
         for batch in batches:
             for some in slices(batch):
-                found = Counter(votes(text) for text in some["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in found], pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
+                codes = [_code(votes(text)) for text in some["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["text"], pa.array(codes, pa.int32())], ["doc_id", "text", "pattern"])
+
+    return _texts(documents).mapInArrow(vote, "doc_id long, text string, pattern int")
 
-    counted = _texts(documents).select("text").mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    rows = sorted(((tuple(row.votes), row.n) for row in counted.collect()), key=lambda row: row[0])
+
+def vote_patterns(voted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Patterns, how often each occurs, and the number of documents; summed by Spark."""
+    rows = sorted((_pattern(row["pattern"]), row["n"]) for row in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
     patterns = np.array([row[0] for row in rows], np.int64).reshape(-1, LABELLERS)
     counts = np.array([row[1] for row in rows], float)
     return patterns, counts, int(counts.sum())
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """The label model of all documents, and the scorer fitted to at most `sample` of them."""
-    patterns, counts, total = vote_patterns(documents)
+def train(voted: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[LabelModel, Scorer]:
+    """The label model of all documents (with their votes), and the scorer fitted to at most `sample` of them.
+
+    The sample is drawn by a hash of id and text, so rows of one id pass or fail each
+    by itself, and the first rows by that hash are taken whatever the files' layout,
+    until they hold `sample_bytes` of text.
+    """
+    patterns, counts, total = vote_patterns(voted)
     if not total:
         return LabelModel(0.5, np.full((2, LABELLERS, 3), 1 / 3)), Scorer(np.zeros(BUCKETS), 0.0)
     model = LabelModel.fit(patterns, counts)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = _texts(documents).where(place < int((1 << 30) * min(1.0, 0.95 * sample / total)) if total > sample else F.lit(True))
-    texts = [row.text or "" for row in picked.select("text").limit(sample).toLocalIterator()]
+    order = F.xxhash64("doc_id", "text")
+    place = F.pmod(order, F.lit(1 << 30))
+    drawn = voted.where(place < int((1 << 30) * min(1.0, 1.1 * (sample + 100) / total)) if total > sample else F.lit(True))
+    # sizes first, so that the texts that come to the driver are bounded
+    sized = drawn.select(place.alias("place"), order.alias("order"), F.octet_length("text").alias("bytes"))
+    sizes = sized.orderBy("place", "order").limit(sample).collect()
+    held = np.cumsum([row["bytes"] or 0 for row in sizes])
+    fitting = int(np.searchsorted(held, sample_bytes, "right"))
+    texts, codes = [], []
+    if fitting:
+        last = sizes[fitting - 1]
+        until = (place < last["place"]) | ((place == last["place"]) & (order <= last["order"]))
+        for row in drawn.where(until).select("text", "pattern").orderBy(place, order, "text").limit(fitting).toLocalIterator():
+            texts.append(row["text"] or "")
+            codes.append(row["pattern"])
     if not texts:
         return model, Scorer(np.zeros(BUCKETS), 0.0)
-    targets = model.posterior(np.array([votes(text) for text in texts], np.int64))
+    targets = model.posterior(np.array([_pattern(code) for code in codes], np.int64))
     return model, Scorer.fit(texts, targets)
 
 
 def classify(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, posterior of the label model, probability by the scorer, keep."""
-    model, scorer = train(documents, sample)
+    """doc_id, posterior of the label model, probability by the scorer, keep.
+
+    The votes are written beside the texts, so that every labeller looks at a text once.
+    """
+    voted = materialize(with_votes(documents), "votes")
+    model, scorer = train(voted, sample)
 
     def score(batches):
         for batch in batches:
             for some in slices(batch):
-                texts = some["text"].to_pylist()
-                posterior = model.posterior(np.array([votes(text) for text in texts], np.int64))
-                probability = np.array([scorer(text) for text in texts])
+                posterior = model.posterior(np.array([_pattern(code) for code in some["pattern"].to_pylist()], np.int64))
+                probability = np.array([scorer(text) for text in some["text"].to_pylist()])
                 arrays = [some["doc_id"], pa.array(posterior), pa.array(probability), pa.array(probability >= threshold)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "posterior", "probability", "keep"])
 
-    return _texts(documents).mapInArrow(score, "doc_id long, posterior double, probability double, keep boolean")
+    return voted.mapInArrow(score, "doc_id long, posterior double, probability double, keep boolean")
 
 
 def keep_good(documents: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the scorer finds good, all columns."""
-    _, scorer = train(documents, sample)
+    _, scorer = train(materialize(with_votes(documents), "votes"), sample)
 
     def keep(batches):
         for batch in batches:

@@ -38,8 +38,7 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = binary.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return binary.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), checksums=True)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import filesystem, slices, unique_name
+from tidemark.llm.shared import filesystem, parallelism, slices, unique_name
 from tidemark.storage import materialize, scratch_dir
 
 MIN_CHARS = 7
@@ -52,7 +52,7 @@ MIN_COUNT = 2
 TIMES = 10
 
 #: Words of a filter shard, on average; each takes 16 bits.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 16
 #: Lengths from here on share their shards.
 LONGEST_CLASS = 40
 #: Bytes of loaded shards that a worker keeps.
@@ -321,8 +321,10 @@ def near_words(vocabulary: DataFrame, filters: Filters) -> DataFrame:
             for left, right in possible_pairs(batch["word"].to_pylist(), filters):
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["word", "near"])
 
-    # words of one length together: a task then asks for the shards of two lengths
-    ranged = vocabulary.select("word").repartitionByRange(F.char_length("word"), F.xxhash64("word"))
+    # words of one length together: a task then asks for the shards of two lengths. The
+    # number of tasks is given, as a few bytes of words make much work
+    tasks = parallelism(vocabulary.sparkSession)
+    ranged = vocabulary.select("word").repartitionByRange(tasks, F.char_length("word"), F.xxhash64("word"))
     possible = ranged.mapInArrow(probe, "word string, near string")
     right = vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     pairs = materialize(possible.join(right, "near").join(vocabulary, "word").select("word", "n", "near", "near_n"), "near-words")
