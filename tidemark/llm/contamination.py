@@ -21,7 +21,8 @@ names (capitalised words, wherever they stand) as typed slots. It is read in for
 
 A document and an item match if a span holds at least `share` of all windows of the
 item with consistent slots, one of them with `literals` plain words. Items of fewer
-than 2 * window - 1 words are too short to be told from prose and match nothing. A
+than 2 * window - 1 words have too few windows to be judged by a share: they match
+where a document holds them word by word, as one window, in any case and layout. A
 copy whose names are changed as well as written small is not known as one: nothing
 tells its names from words.
 
@@ -35,6 +36,8 @@ not reported; an empty table on either side gives no rows; other columns are ign
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +62,27 @@ UNITS = (
 def marked(text: Column) -> Column:
     """The words of a text parted by blanks, slots with their mark and value."""
     unit = "|".join(UNITS)
-    steps = (
-        # decimal and thousands separators stay inside their number
-        (r"[.,:/](?<=\p{N}.)(?=\p{N})", "_"),
-        (r"%(?<=\p{N}%)", " percent"),
-        # a word that begins with a capital and goes on with a small letter is a name
-        (r"\p{Lu}(?<![\p{L}\p{M}\p{N}_].)(?=\p{Ll})", f"{NAME}$0"),
-    )
-    for pattern, by in steps:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
-    text = F.regexp_replace(F.lower(text), F.lit(r"[^\p{L}\p{M}\p{N}_\x01-\x03]+"), F.lit(" "))
+
+    def replaced(held: Column, *steps: tuple[str, str]) -> Column:
+        for pattern, by in steps:
+            held = F.regexp_replace(held, F.lit(pattern), F.lit(by))
+        return held
+
+    # the steps on numbers are for texts that hold a digit
+    digits = text.rlike(r"\p{N}")
+    # decimal and thousands separators stay inside their number
+    text = F.when(digits, replaced(text, (r"[.,:/](?<=\p{N}.)(?=\p{N})", "_"), (r"%(?<=\p{N}%)", " percent"))).otherwise(text)
+    # a word that begins with a capital and goes on with a small letter is a name
+    text = replaced(text, (r"\p{Lu}(?<![\p{L}\p{M}\p{N}_].)(?=\p{Ll})", f"{NAME}$0"))
+    text = replaced(F.lower(text), (r"[^\p{L}\p{M}\p{N}_\x01-\x03]+", " "))
     text = F.concat(F.lit(" "), text, F.lit(" "))
-    # a unit may touch its number
-    text = F.regexp_replace(text, F.lit(rf"( \p{{N}}[\p{{N}}_]*)({unit}) "), F.lit("$1 $2 "))
-    text = F.regexp_replace(text, F.lit(r" (?=\p{N}[\p{N}_]* )"), F.lit(f" {NUMBER}"))
-    text = F.regexp_replace(text, F.lit(rf"({NUMBER}[^ ]+) {NAME}?({unit})(?= )"), F.lit(f"$1 {UNIT}$2"))
-    return F.trim(text)
+    numbers = (
+        # a unit may touch its number
+        (rf"( \p{{N}}[\p{{N}}_]*)({unit}) ", "$1 $2 "),
+        (r" (?=\p{N}[\p{N}_]* )", f" {NUMBER}"),
+        (rf"({NUMBER}[^ ]+) {NAME}?({unit})(?= )", f"$1 {UNIT}$2"),
+    )
+    return F.trim(F.when(digits, replaced(text, *numbers)).otherwise(text))
 
 
 def words_of(text: Column, form: str) -> Column:
@@ -100,41 +108,104 @@ def _places(words: Column, window: int) -> Column:
     return F.when(F.size(words) >= window, F.sequence(F.lit(1), F.size(words) - window + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(words: Column, window: int) -> Column:
-    """The hash of the window at every place."""
-    return F.transform(_places(words, window), lambda start: F.xxhash64(F.slice(words, start, window)))
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_hashes(words: Column, form: str) -> Column:
+    """The hash of every word of a marked text (as an array) in a form."""
+    kept = {"names": "", "numbers": NAME, "exact": NUMBER + UNIT + NAME}[form]
+
+    def slot(word: Column) -> Column:
+        mark = F.substring(word, 1, 1)
+        return F.when(F.lit(kept).contains(mark), F.xxhash64(F.substring(word, 2, 1 << 30))).otherwise(F.xxhash64(mark))
+
+    return F.transform(words, lambda word: F.when(word >= "\x04", F.xxhash64(word)).otherwise(slot(word)))
+
+
+def window_hashes(hashes: Column, window: int) -> Column:
+    """The hash of the window at every place, from those of its words: windows are doubled by pairing."""
 
+    def behind(held: Column, by: int) -> Column:
+        return F.slice(held, by + 1, F.greatest(F.size(held) - by, F.lit(0)))
 
-def benchmark_items(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, item_body and item_text (marked) of the items that are long enough, each text once."""
+    def built(words: Column) -> Column:
+        held, size = words, 1
+        for bit in f"{window:b}"[1:]:
+            held = _let(held, lambda h: F.zip_with(h, behind(h, size), lambda a, b: F.xxhash64(a, b)))  # noqa: B023
+            size *= 2
+            if bit == "1":
+                held = F.zip_with(held, behind(words, size), lambda a, b: F.xxhash64(b, a))
+                size += 1
+        # the last places have no whole window
+        return F.slice(held, 1, F.greatest(F.size(words) - window + 1, F.lit(0)))
+
+    return _let(hashes, built)
+
+
+def _hashes(words: Column, form: str, window: int) -> Column:
+    return window_hashes(word_hashes(words, form), window)
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_body and item_text (marked) of the items that hold a word, each text once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null")
     items = items.select("item_id", F.xxhash64("text").alias("item_body"), marked(F.col("text")).alias("item_text"))
-    return items.where(F.size(F.split("item_text", " ")) >= 2 * window - 1).dropDuplicates(["item_id", "item_body"])
+    return items.where("item_text <> ''").dropDuplicates(["item_id", "item_body"])
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """item_id, item_body, form, windows and rich windows of the item, item_place and hash of every rich window."""
-    held = items.select("item_id", "item_body", F.explode(F.array(*map(F.lit, FORMS))).alias("form"), "item_text")
-    held = held.select("item_id", "item_body", "form", _in_form(F.col("item_text"), F.col("form")).alias("words"))
+    long_enough = items.where(F.size(F.split("item_text", " ")) >= 2 * window - 1)
+    held = long_enough.select("item_id", "item_body", F.explode(F.array(*map(F.lit, FORMS))).alias("form"), "item_text")
+    hashed = reduce(
+        lambda found, form: F.when(F.col("form") == form, _hashes(F.split("item_text", " "), form, window)).otherwise(found), FORMS, F.lit(None)
+    )
+    held = held.select("item_id", "item_body", "form", _in_form(F.col("item_text"), F.col("form")).alias("words"), hashed.alias("hashes"))
     plain = lambda words: F.size(F.filter(words, lambda word: word >= "\x04"))
     rich = F.filter(_places(F.col("words"), window), lambda place: plain(F.slice("words", place, window)) >= literals)
     held = held.withColumn("places", rich).withColumns({"rich": F.size("places"), "windows": F.size("words") - window + 1})
     told = held.where("form = 'numbers' and rich > 0").select("item_id", "item_body", F.lit("exact").alias("form"))
     held = held.join(told, ["item_id", "item_body", "form"], "left_anti")
-    opened = held.select("item_id", "item_body", "form", "windows", "rich", "words", F.explode("places").alias("item_place"))
-    return opened.withColumn("hash", F.xxhash64(F.slice("words", F.col("item_place"), window))).drop("words")
+    opened = held.select("item_id", "item_body", "form", "windows", "rich", "hashes", F.explode("places").alias("item_place"))
+    return opened.withColumn("hash", F.get("hashes", F.col("item_place") - 1)).drop("hashes")
+
+
+def short_items(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, item_words (plain, between blanks), length and hash of the items too short for windows: they are met as a whole."""
+    words = F.split("item_text", " ")
+    held = items.where(F.size(words) < 2 * window - 1).withColumn("length", F.size(words))
+    hashed = F.lit(None)
+    for length in range(1, 2 * window - 1):
+        hashed = F.when(F.col("length") == length, _hashes(words, "exact", length)[0]).otherwise(hashed)
+    plain = F.translate("item_text", NUMBER + UNIT + NAME, "")
+    return held.select("item_id", F.concat(F.lit(" "), plain, F.lit(" ")).alias("item_words"), "length", hashed.alias("hash"))
 
 
-def candidates(documents: DataFrame, hashes: DataFrame, forms: list[str], window: int = WINDOW) -> DataFrame:
-    """doc_id of the documents that hold a window of the benchmark at any place."""
+def candidates(documents: DataFrame, hashes: DataFrame, reads: list[tuple[str, int]]) -> DataFrame:
+    """doc_id of the documents that hold a window of the benchmark at any place, read in forms and window sizes."""
     # an outer explode and no condition on the words: Spark would compute them once more for a filter
-    texts = documents.select("doc_id", marked(F.col("text")).alias("marked"))
-    words = texts.select("doc_id", *(words_of(F.col("marked"), form).alias(form) for form in forms))
-    opened = words.select("doc_id", F.explode_outer(F.concat(*(_hashes(F.col(form), window) for form in forms))).alias("hash"))
+    words = documents.select("doc_id", F.split(marked(F.col("text")), " ").alias("words"))
+    forms = sorted({form for form, _ in reads})
+    words = words.select("doc_id", *(word_hashes(F.col("words"), form).alias(form) for form in forms))
+    windows = [window_hashes(F.col(form), window) for form, window in reads]
+    opened = words.select("doc_id", F.explode_outer(F.concat(*windows)).alias("hash"))
     return opened.join(hashes, "hash", "left_semi").select("doc_id").distinct()
 
 
+def short_matches(held: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, item_id and the first place of the short items that documents (marked, as `doc_text`) hold word by word."""
+    plain = F.concat(F.lit(" "), F.translate("doc_text", NUMBER + UNIT + NAME, ""), F.lit(" "))
+    hashes = word_hashes(F.split("doc_text", " "), "exact")
+    opened = held.select("doc_id", plain.alias("doc_words"), F.explode(F.array_distinct(F.concat(*(window_hashes(hashes, n) for n in lengths)))).alias("hash"))
+    met = opened.join(short, "hash").where(F.col("doc_words").contains(F.col("item_words")))
+    before = F.expr("substring(doc_words, 1, instr(doc_words, item_words))")
+    start = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    return met.groupBy("doc_id", "item_id").agg(F.min(start).cast("long").alias("start"))
+
+
 def _spans(table: DataFrame, window: int) -> DataFrame:
     """Each row under its shift, and under two overlapping ranges of shifts."""
     wide = F.floor(F.col("shift") / (window - 1)).cast("long")
@@ -165,17 +236,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     """doc_id, item_id, matched and all windows of the item, place in the document, slots and changed slots of every match."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text is not null")
-    items = materialize(benchmark_items(benchmark, window), "benchmark-items")
+    items = materialize(benchmark_items(benchmark), "benchmark-items")
     indexed = materialize(benchmark_windows(items, window, literals), "benchmark-windows")
-    hashes = materialize(indexed.select("hash").distinct(), "benchmark-hashes")
+    short = materialize(short_items(items, window), "benchmark-short-items")
+    hashes = materialize(indexed.select("hash").union(short.select("hash")).distinct(), "benchmark-hashes")
     forms = [form for form in FORMS if form != "exact" or indexed.where("form = 'exact'").head(1)]
-    found = materialize(candidates(texts, hashes, forms, window), "candidates")
+    lengths = sorted(row["length"] for row in short.select("length").distinct().collect())
+    found = materialize(candidates(texts, hashes, [(form, window) for form in forms] + [("exact", n) for n in lengths]), "candidates")
 
     # each row of a candidate keeps a number of its own, so repeated ids don't mix their places
     held = texts.join(found, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("body"), marked(F.col("text")).alias("doc_text"))
     held = materialize(held, "candidate-texts")
-    words = held.select("doc_id", "body", *(words_of(F.col("doc_text"), form).alias(form) for form in forms))
-    opened = words.select("doc_id", "body", F.explode(F.array(*(F.struct(F.lit(form).alias("form"), _hashes(F.col(form), window).alias("hashes")) for form in forms))).alias("read"))
+    words = held.select("doc_id", "body", F.split("doc_text", " ").alias("words"))
+    opened = words.select("doc_id", "body", F.explode(F.array(*(F.struct(F.lit(form).alias("form"), _hashes(F.col("words"), form, window).alias("hashes")) for form in forms))).alias("read"))
     opened = opened.select("doc_id", "body", "read.form", F.posexplode("read.hashes").alias("at", "hash"))
     agreeing = opened.join(indexed, ["form", "hash"]).withColumn("shift", F.col("at") + 1 - F.col("item_place"))
     shift = ["doc_id", "body", "item_id", "item_body", "form", "shift"]
@@ -204,7 +277,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     judged = judged.where("slots = item_values and slots = doc_values")
     order = F.struct("matched", -F.col("start"), "slots", -F.col("changed"), "windows", "body")
     best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "windows", "start", "slots", "changed"), order).alias("best"))
-    return best.select("doc_id", "item_id", "best.matched", "best.windows", F.col("best.start").cast("long").alias("start"), "best.slots", "best.changed")
+    best = best.select("doc_id", "item_id", "best.matched", "best.windows", F.col("best.start").cast("long").alias("start"), "best.slots", "best.changed")
+    if not lengths:
+        return best
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    whole = short_matches(held, short, lengths).select("doc_id", "item_id", one.alias("matched"), one.cast("int").alias("windows"), "start", none.alias("slots"), none.alias("changed"))
+    # rows that repeat an item_id may hold a long text and a short one
+    return best.unionByName(whole.join(best.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
