@@ -280,3 +280,13 @@ def test_polled_queries_deliver_every_order_of_a_hot_customer(spark, folder, kin
     fetch = queries._cursor_answer if kind == "cursor" else queries._page_answer
     query = queries._polled(fetch, **settings, **({"one_request": False} if kind == "resume" else {}))
     assert rows(query(spark, folder)) == sorted(((c, o, p) for o, c, p in orders), key=repr)
+
+
+def test_large_bodies_are_handed_on_by_size():
+    """A task never holds all bodies of its requests: rows go out before the next request is made."""
+    asked = []
+    rows_ = ((asked.append(n) or "/a", n, None, 200, body) for n, body in enumerate(["x" * 100, "x" * 60, None, "x" * 200, "x"]))
+    parts = P.portions(rows_, 150)
+    assert [row[1] for row in next(parts)] == [0, 1] and asked == [0, 1]
+    assert [[row[1] for row in part] for part in parts] == [[2, 3], [4]]
+    assert list(P.portions([])) == []

@@ -205,10 +205,13 @@ def _read_data(
     return rows.select(*columns, *([F.col("_file").alias(file_column)] if file_column else []))
 
 
+#: Paths that are put as a condition on the scan, at most: they are literals on the driver.
+PRUNED_PATHS = 10_000
+
+
 def _is_small(table: DataFrame) -> bool:
-    """Whether Spark, by the size it has measured, would broadcast a written table."""
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    """Whether a written list of paths is short enough to be a condition, by its rows."""
+    return table.count() <= PRUNED_PATHS
 
 
 def _check_present(spark: SparkSession, root: str, wanted: DataFrame) -> None:

@@ -8,7 +8,7 @@ rows that were landed already.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -130,6 +130,23 @@ def build_requests(pages: DataFrame, source: ApiSource) -> DataFrame:
 
 # Sending ---------------------------------------------------------------------
 
+#: Characters of bodies that a task holds before it hands them on.
+HELD_CHARS = 4 << 20
+
+
+def portions(rows: Iterable[tuple], limit: int = HELD_CHARS) -> Iterator[list[tuple]]:
+    """Response rows in lists that end once their bodies (the last column) reach `limit` characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def send(requests: DataFrame, fetch: Fetch, parallelism: int | None = None) -> DataFrame:
     """The response table of a request table; requests spread over the executors.
 
@@ -137,20 +154,21 @@ def send(requests: DataFrame, fetch: Fetch, parallelism: int | None = None) -> D
     policy to judge.
     """
 
+    def answer(request: dict) -> tuple:
+        if request["params"] is not None:
+            request["params"] = dict(request["params"])
+        try:
+            status, body = fetch(request)
+        except Exception as problem:
+            status, body = None, str(problem)
+        return request["endpoint"], request["page"], request["cursor"], status, body
+
     def responses_of(batches):
         for batch in batches:
-            rows = []
-            for request in batch.to_dict("records"):
-                if request["params"] is not None:
-                    request["params"] = dict(request["params"])
-                try:
-                    status, body = fetch(request)
-                except Exception as problem:
-                    status, body = None, str(problem)
-                rows.append((request["endpoint"], request["page"], request["cursor"], status, body))
-            out = type(batch)(rows, columns=["endpoint", "page", "cursor", "status", "body"])
-            out["status"] = out["status"].astype("Int32")
-            yield out
+            for rows in portions(map(answer, batch.to_dict("records"))):
+                out = type(batch)(rows, columns=["endpoint", "page", "cursor", "status", "body"])
+                out["status"] = out["status"].astype("Int32")
+                yield out
 
     tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
     return requests.repartition(tasks).mapInPandas(responses_of, RESPONSE_SCHEMA)
@@ -224,7 +242,8 @@ def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None)
             active = base.drop("cursor").join(going, "endpoint")
         else:
             going = wave.groupBy("endpoint").agg(F.min("records").alias("records")).where(full)
-            active = base.join(landed.where(~full).select("endpoint"), "endpoint", "left_anti")
+            # whoever is in this wave filled all earlier ones, so these are not read again
+            active = base.join(going.select("endpoint"), "endpoint", "left_semi")
         if first + width >= limit or going.isEmpty():
             break
     if width > 1:
