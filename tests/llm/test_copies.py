@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, lines, queries
 
@@ -83,6 +84,33 @@ def test_empty_rows_of_repeated_ids_link_nothing(documents):
     assert sorted(row.doc_id for row in jaccard.one_of_each_group(documents(pairs), 3, 90, 100).collect()) == [1, 5, 5, 7, 7]
 
 
+def test_copies_give_their_tiles_once_a_task(documents):
+    """A group of copies with a third of all rows, over several tasks, among texts near to it."""
+    pairs = [(k, " ".join(f"w{i}" for i in range(60))) for k in range(10, 60)] + [(k, None) for k in range(60, 70)]
+    pairs += [(100 + k, text) for k, text in chained(80, 4)]
+    df = documents(pairs).repartition(4)
+    sets = jaccard._sets(df.select("doc_id", "text"), 3, jaccard.Bands(90, 100))
+    given = sets.where("size(tiles) > 0").groupBy("high", "low").count().collect()
+    assert max(row["count"] for row in given) == 4
+    assert len(given) == sets.where("size > 0").select("high", "low").distinct().count()
+    assert sorted(map(tuple, jaccard.groups(df, 3, 90, 100).collect())) == brute_groups(pairs, 3, 90, 100)
+
+
+def test_two_sets_with_one_half_of_the_hash_are_both_tried(documents, monkeypatch):
+    """Texts 1 and 3, which are not alike, get the same half; each has a near copy."""
+    real = jaccard._sets
+
+    def clash(*settings):
+        sets = real(*settings)
+        return sets.withColumn("high", F.when(F.col("doc_id").isin(1, 3), 77).otherwise(F.col("high")))
+
+    monkeypatch.setattr(jaccard, "_sets", clash)
+    text = {name: " ".join(f"{name}{i}" for i in range(100)) for name in "ab"}
+    pairs = [(1, text["a"]), (2, text["a"] + " end"), (3, text["b"]), (4, text["b"] + " end")]
+    got = sorted(map(tuple, jaccard.groups(documents(pairs), 3, 90, 100).collect()))
+    assert got == [(1, 98, 1), (2, 99, 1), (3, 98, 3), (4, 99, 3)]
+
+
 def test_links_across_a_large_tile_are_found(documents, monkeypatch):
     """Copies that link only with some of their tile, in blocks of few."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)

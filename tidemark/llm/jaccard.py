@@ -10,7 +10,8 @@ pair do, none is missed.) A tile is what shares the content of a part: (band, pa
 hash of the shingles in it). Documents enter the tiles of their own band and of the
 lower bands that may hold a partner.
 
-1. Equal sets become one node (the smallest doc_id), so copies cost nothing more.
+1. Equal sets become one node (the smallest doc_id). Tiles hold hashes of sets, and a task
+   gives those of a set once, so copies cost next to nothing and no wide row is joined for them.
 2. In each tile every node is paired with the tile's smallest and largest node.
    Sizes, then bitmaps (bits that only one side has bound the overlap from above),
    then the exact intersection of the sorted arrays decide. This is linear in rows.
@@ -54,6 +55,7 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
+_NO_TILES = np.zeros(0, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,7 +122,7 @@ class Bands:
     def tiles(self, found: np.ndarray) -> np.ndarray:
         """Keys of all tiles of a set."""
         if not len(found):
-            return np.zeros(0, np.uint64)
+            return _NO_TILES
         own = self.band(len(found))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(found + np.uint64(_MULTIPLIERS[0])), dtype=np.uint64)])
         keys = []
@@ -167,16 +169,24 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, size_a, size_b):
 
 
 def _sets(documents: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """doc_id, size, hash of the set (two longs), bitmap and tiles of each document."""
+    """doc_id, size, hash of the set (two longs), bitmap and tiles of each document.
+
+    Of the equal sets of a task one has the tiles, a set with a null doc_id none.
+    """
 
     def build(batches):
+        seen = set()
         for batch in batches:
             for some in slices(batch, 4 << 20):
                 rows = []
-                for text in some["text"].to_pylist():
+                for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True):
                     found = shingles(text, words)
                     digest = xxhash.xxh3_128_digest(found.tobytes())
-                    rows.append((len(found), *np.frombuffer(digest, "<i8").tolist(), bands.bitmap(found), bands.tiles(found).view("i8")))
+                    tiles = _NO_TILES
+                    if doc_id is not None and digest not in seen:
+                        seen.add(digest)
+                        tiles = bands.tiles(found)
+                    rows.append((len(found), *np.frombuffer(digest, "<i8").tolist(), bands.bitmap(found), tiles.view("i8")))
                 size, high, low, bitmap, tiles = zip(*rows, strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in tiles])]).astype("i4")
                 listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles)))
@@ -264,10 +274,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
+def _across(shared: DataFrame, nodes: DataFrame, hashed: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of different components that share a tile and pass sizes and bitmaps, once for each such tile."""
-    labelled = shared.join(groups, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
-    labelled = materialize(labelled, "tile-groups")
+    named = hashed.join(groups, "node", "left").select("high", "node", F.coalesce("component", "node").alias("component"))
+    labelled = materialize(shared.join(materialize(named, "hash-groups"), "high").select("tile", "node", "component"), "tile-groups")
     counted = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     still_open = counted.where("n > 3 and low < high").select("tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = materialize(labelled.join(still_open, "tile"), "open-tiles")
@@ -313,17 +323,18 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     classes = materialize(classes.where("n > 1").drop("n"), "classes")
     members = known.select("doc_id", "size", "high", "low").join(classes, ["high", "low"], "left")
     members = materialize(members.withColumn("node", F.coalesce("node", "doc_id")), "members")
-    # where Spark can broadcast the copies, the wide rows of the nodes are not shuffled
-    copies = materialize(members.where("doc_id <> node").select("doc_id", "high", "low").distinct(), "copies")
-    nodes = known.where("size > 0").join(copies, ["doc_id", "high", "low"], "left_anti")
-    nodes = nodes.withColumnRenamed("doc_id", "node")
+    nodes = known.where("size > 0").withColumnRenamed("doc_id", "node")
+    # a half of the hash stands for a set in its tiles; all sets that have it are tried
+    hashed = members.where("size > 0 and doc_id = node").select("high", "node")
     known_texts = texts.where("doc_id is not null")
 
-    tiles = nodes.select("node", F.explode("tiles").alias("tile")).repartition(parallelism(spark), "tile")
-    ends = tiles.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    tiles = known.where("size > 0").select("high", F.explode("tiles").alias("tile")).repartition(parallelism(spark), "tile").distinct()
+    ends = tiles.groupBy("tile").agg(F.min("high").alias("first"), F.max("high").alias("last")).where("first < last")
     shared = materialize(tiles.join(ends, "tile"), "shared-tiles")
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("pair"))
-    pairs = materialize(pairs.select("pair.*").where("a < b").distinct(), "pairs")
+    pairs = shared.select(F.explode(F.array(F.struct(F.col("first").alias("x"), F.col("high").alias("y")), F.struct(F.col("high").alias("x"), F.col("last").alias("y")))).alias("pair"))
+    pairs = materialize(pairs.select("pair.*").where("x < y").distinct(), "hash-pairs")
+    pairs = pairs.join(hashed.select(F.col("high").alias("x"), F.col("node").alias("m")), "x").join(hashed.select(F.col("high").alias("y"), F.col("node").alias("n")), "y")
+    pairs = materialize(pairs.select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")).where("a < b").distinct(), "pairs")
     tried = materialize(_plausible(pairs, nodes, bands), "plausible")
     links = materialize(_verified(tried, known_texts, words, bands), "links")
 
@@ -333,7 +344,7 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     repeated = filled.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
     links = links.union(repeated)
     labels = components(links)
-    across = materialize(_across(shared.select("tile", "node").distinct(), nodes, labels, bands).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    across = materialize(_across(shared.select("tile", "high"), nodes, hashed, labels, bands).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     if across.head(1):
         labels = components(reduce(DataFrame.union, [links, _verified(across, known_texts, words, bands)]))
 
