@@ -11,6 +11,9 @@ from tidemark.sources.responses import ApiSource
 from tidemark.streaming import jobs as J
 
 
+ID = T.StructType().add("id", T.LongType())
+
+
 def endpoints(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "endpoint string")
 
@@ -130,7 +133,7 @@ def test_refused_responses_follow_the_policy(spark, bad):
 
 
 def test_refusals_past_the_end_do_not_count(spark):
-    # a wave of 8 pages asks for pages 2 to 7, which answer 404
+    # pages 2 to 7 answer 404
     df = poll_rows(spark, ["/paged_user"], pagination="page_increment", wave_pages=8)
     assert df.count() == 7
 
@@ -152,6 +155,98 @@ def test_many_endpoints_advance_together(spark):
     assert P.rows_of(landed, source, T.StructType().add("id", T.LongType())).count() == 0 + 1 + 4 + 5 + 6 + 37 + 60
 
 
+def logged(folder, size, ends, cursor=None):
+    """A fetch over numbered records that notes every request in a file of the test."""
+
+    def fetch(request):
+        import json
+        import uuid
+
+        params = request["params"]
+        at = int(params.get("c", "0")) if cursor else int(params["page"])
+        with open(f"{folder}/asked-{uuid.uuid4().hex}", "w") as note:
+            note.write(f"{request['endpoint']} {at}")
+        records = [{"id": n} for n in range(at * size, min(ends[request["endpoint"]], at * size + size))]
+        answer = {"rows": records}
+        if cursor and (at + 1) * size < ends[request["endpoint"]]:
+            answer["next"] = cursor(at + 1)
+        return 200, json.dumps(answer)
+
+    return fetch
+
+
+def asked(folder):
+    import pathlib
+
+    return sorted(path.read_text() for path in pathlib.Path(folder).glob("asked-*"))
+
+
+def jobs_of(folder):
+    import pathlib
+
+    return len(list(pathlib.Path(folder).glob("shared/responses-*/wave=*")))
+
+
+@pytest.mark.parametrize("pagination", ["page_increment", "cursor"])
+def test_hundreds_of_pages_are_one_job_and_none_is_asked_for_past_the_end(spark, folder, monkeypatch, pagination):
+    monkeypatch.setattr(storage, "shared_root", lambda _: f"{folder}/shared")
+    ends = {"/long": 901, "/short": 3, "/even": 6, "/none": 0}
+    settings = {"page_token_key": "c", "cursor_field": ["next"], "cursor_location": "query"} if pagination == "cursor" else {}
+    fetch = logged(folder, 3, ends, str if pagination == "cursor" else None)
+    source = ApiSource(
+        "t", endpoints(spark, *ends), fetch, select_field=["rows"], schema=ID, pagination=pagination, page_size=3,
+        max_requests=1000, wave_pages=1000, one_request=True, parallelism=3, **settings,
+    )
+    landed = P.poll(spark, source)
+    got = dict(rows(P.rows_of(landed, source).groupBy("id").count().groupBy("count").count()))
+    assert got == {1: 901 - 6, 2: 3, 3: 3} and jobs_of(folder) == 1
+    pages = {"/long": 301, "/short": 1 if pagination == "cursor" else 2, "/even": 2 if pagination == "cursor" else 3, "/none": 1}
+    assert asked(folder) == sorted(f"{name} {n}" for name, count in pages.items() for n in range(count))
+
+
+def test_answers_a_task_cannot_follow_go_on_in_a_further_job(spark, folder, monkeypatch):
+    """Cursors that are no plain texts or numbers are read by Spark alone; the limit still counts all pages."""
+    monkeypatch.setattr(storage, "shared_root", lambda _: f"{folder}/shared")
+    fetch = logged(folder, 2, {"/odd": 100}, lambda n: n if n % 3 else True)
+
+    def named(request):
+        request["params"] = {k: str(asked_for(folder)) if v == "true" else v for k, v in (request["params"] or {}).items()}
+        return fetch(request)
+
+    def asked_for(folder):
+        import pathlib
+
+        return len(list(pathlib.Path(folder).glob("asked-*")))
+
+    source = ApiSource(
+        "t", endpoints(spark, "/odd"), named, select_field=["rows"], schema=ID, pagination="cursor", page_size=2, max_requests=8,
+        page_token_key="c", cursor_field=["next"], cursor_location="query", one_request=True, parallelism=2,
+    )
+    landed = P.poll(spark, source)
+    assert rows(landed, "page") == [(n,) for n in range(8)] and jobs_of(folder) == 3
+    assert rows(P.rows_of(landed, source)) == sorted(((n,) for n in range(16)), key=repr)
+    assert asked(folder) == [f"/odd {n}" for n in range(8)]
+
+
+@pytest.mark.parametrize(("body", "expected"), [
+    ('{"a":{"rows":[1,2,3]},"next":"x"}', (True, "x")), ('{"a":{"rows":[1,2]},"next":"x"}', (False, "x")),
+    ('{"a":[{"rows":1},{"rows":2},{"rows":3}],"next":7}', (True, "7")), ('{"a":[{"rows":1},{"rows":2},{}],"next":7}', (False, "7")),
+    ('[[1,2],{"next":"first"},{"next":"last"}]', (True, "last")), ('{"a":{"rows":[1,2,3]},"next":null}', (False, None)),
+    ('{"a":{"rows":[1,2,3]},"next":1.5}', (False, None)), ("{broken", (False, None)), ("", (False, None)), (None, (False, None)),
+])
+def test_what_a_task_reads_off_a_page(spark, body, expected):
+    """The task's reading agrees with the columns that judge the page."""
+    source = ApiSource("t", endpoints(spark, "/a"), answers(), pagination="cursor", page_size=3, select_field=["a", "rows"], cursor_field=["next"])
+    assert P.next_request(source)(200, body) == expected
+    assert P.next_request(source)(500, body) == (False, None) == P.next_request(source)(None, body)
+    page = spark.createDataFrame([("/a", 0, None, 200, body)], P.RESPONSE_SCHEMA)
+    facts = P.with_facts(page, P.fact_steps(source)).first()
+    going = facts["records"] >= 3 and facts["next_cursor"] is not None
+    assert going or not expected[0]
+    if going and expected[0]:
+        assert facts["next_cursor"] == expected[1]
+
+
 def test_settings_are_checked(spark):
     with pytest.raises(ValueError):
         ApiSource("t", endpoints(spark, "/a"), answers(), pagination="x")
@@ -163,9 +258,6 @@ def test_settings_are_checked(spark):
         poll_rows(spark, ["/user", "/user"])
 
 
-ID = T.StructType().add("id", T.LongType())
-
-
 def test_job_polls_with_a_durable_bookmark(spark, folder):
     source = ApiSource("books", endpoints(spark, "/bookmark_user"), answers(), parallelism=2, bookmark_key="updated_after")
     sink = FileSink("o", "books", f"{folder}/o", "json")

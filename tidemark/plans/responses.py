@@ -336,13 +336,13 @@ QUERIES = {
     "page_cutoff_limit": _cut(20),
     "offset_increment": offset_increment,
     "cursor_chain": cursor_chain,
-    "polled_pages": _polled(_page_answer, pagination="page_increment", wave_pages=4),
+    "polled_pages": _polled(_page_answer, pagination="page_increment", wave_pages=16),
     "polled_cursor": _polled(
-        _cursor_answer, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query",
+        _cursor_answer, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query", wave_pages=16,
     ),
     # a poll of four requests leaves most endpoints unfinished; the later ones go on
     "polled_resume": _polled(
-        _page_answer, one_request=False, pagination="page_increment", wave_pages=4, page_size=5, max_requests=4,
+        _page_answer, one_request=False, pagination="page_increment", page_size=5, max_requests=4,
     ),
 }
 

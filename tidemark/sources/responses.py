@@ -8,18 +8,21 @@ rows that were landed already.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import storage
 from tidemark.functions import json_values as J
 from tidemark.functions.requests import DEFAULT_BOOKMARK_FORMAT, bookmark_text, is_body, put_member, put_param
 from tidemark.operators.changes import EPOCH, bookmark_literal
-from tidemark.operators.pages import keep_pages, last_pages
+from tidemark.operators.pages import keep_pages
 from tidemark.operators.records import (
     RESPONSE_SCHEMA, BadResponse, decode, explode_records, first_schema, is_accepted, with_selection,
 )
@@ -61,7 +64,8 @@ class ApiSource:
     cursor_field: Sequence[str] | None = None
     cursor_record: str = "last"
     cursor_location: str = "body"
-    wave_pages: int = 8
+    #: Pages of an endpoint that one job may walk; longer sequences go on in a further job.
+    wave_pages: int = 100
     parallelism: int | None = None
     #: A step on finished request tables that keeps rows and columns, such as a join that puts something in their bodies.
     prepare: Callable[[DataFrame], DataFrame] | None = None
@@ -139,7 +143,7 @@ def portions(rows: Iterable[tuple], limit: int = HELD_CHARS) -> Iterator[list[tu
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[-1] or "")
+        size += 1 + len(row[-1] or "")
         if size >= limit:
             yield held
             held, size = [], 0
@@ -147,31 +151,122 @@ def portions(rows: Iterable[tuple], limit: int = HELD_CHARS) -> Iterator[list[tu
         yield held
 
 
-def send(requests: DataFrame, fetch: Fetch, parallelism: int | None = None) -> DataFrame:
-    """The response table of a request table; requests spread over the executors.
+_MISSING = object()
 
-    A fetch that raises becomes a response without status, for the failure
-    policy to judge.
+
+def _at_path(value, keys: Sequence[str]):
+    """What the keys lead to, each item of an array walked on its own; `_MISSING` if a step misses anywhere."""
+    for depth, key in enumerate(keys):
+        if isinstance(value, list):
+            items = [_at_path(item, keys[depth:]) for item in value]
+            return _MISSING if any(item is _MISSING for item in items) else items
+        if not isinstance(value, dict) or key not in value:
+            return _MISSING
+        value = value[key]
+    return value
+
+
+def _cursor_at(value, keys: Sequence[str], at: int) -> str | None:
+    """The next cursor where it is a text or a plain number, else None."""
+    for key in keys:
+        while isinstance(value, list):
+            value = value[at] if value else None
+        value = value.get(key) if isinstance(value, dict) else None
+    plain = isinstance(value, str) or (type(value) is int and abs(value) < 10**18)
+    return str(value) if plain else None
+
+
+def next_request(source: ApiSource) -> Callable[[int | None, str | None], tuple[bool, str | None]]:
+    """A function of a response that tells a task whether to ask for the next page, and with which cursor.
+
+    It is only as clever as most answers need: what it does not follow ends the walk
+    in this job, and the columns of `with_facts` decide whether a further job goes on.
     """
+    size, keys, by_cursor = source.page_size, list(source.select_field or ()), source.pagination == "cursor"
+    cursor_keys, at = list(source.cursor_field or ()), 0 if source.cursor_record == "first" else -1
 
-    def answer(request: dict) -> tuple:
-        if request["params"] is not None:
-            request["params"] = dict(request["params"])
+    def after(status: int | None, body: str | None) -> tuple[bool, str | None]:
+        if status is None or not 200 <= status <= 299 or body is None:
+            return False, None
         try:
-            status, body = fetch(request)
-        except Exception as problem:
-            status, body = None, str(problem)
-        return request["endpoint"], request["page"], request["cursor"], status, body
+            value = json.loads(body)
+        except ValueError:
+            return False, None
+        selected = _at_path(value, keys)
+        selected = value if selected is _MISSING else selected
+        full = (len(selected) if isinstance(selected, list) else 1) >= size
+        cursor = _cursor_at(value, cursor_keys, at) if by_cursor else None
+        return full and not (by_cursor and cursor is None), cursor
+
+    return after
+
+
+def walk(requests: DataFrame, source: ApiSource, unknown: str) -> DataFrame:
+    """The response table of request rows that lie together by endpoint, in the order of their pages.
+
+    A task walks its endpoints one after another and leaves an endpoint at its
+    last page, so none waits for another and no page past the end is asked for.
+    `unknown` stands in the requests for the cursor that the page before will name.
+    Responses are handed on by size. A fetch that raises becomes a response
+    without status, for the failure policy to judge.
+    """
+    fetch, after = source.fetch, next_request(source)
+    quoted = json.dumps(unknown)
 
-    def responses_of(batches):
+    def request_of(batch: pa.RecordBatch, row: int, cursor: str | None) -> dict:
+        request = {name: batch.column(name)[row].as_py() for name in ("endpoint", "page", "cursor", "params", "body")}
+        if request["params"] is not None:
+            request["params"] = dict(request["params"])
+        if request["cursor"] == unknown:
+            request["cursor"] = cursor
+            if request["params"] is not None:
+                request["params"] = {key: cursor if value == unknown else value for key, value in request["params"].items()}
+            if request["body"] is not None:
+                request["body"] = request["body"].replace(quoted, json.dumps(cursor, ensure_ascii=False))
+        return request
+
+    def answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        here, going, cursor = _MISSING, False, None
         for batch in batches:
-            for rows in portions(map(answer, batch.to_dict("records"))):
-                out = type(batch)(rows, columns=["endpoint", "page", "cursor", "status", "body"])
-                out["status"] = out["status"].astype("Int32")
-                yield out
-
-    tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
-    return requests.repartition(tasks).mapInPandas(responses_of, RESPONSE_SCHEMA)
+            for row, endpoint in enumerate(batch.column("endpoint").to_pylist()):
+                if endpoint != here:
+                    here, going, cursor = endpoint, True, None
+                if not going:
+                    continue
+                request = request_of(batch, row, cursor)
+                asked = request["endpoint"], request["page"], request["cursor"]
+                try:
+                    status, body = fetch(request)
+                except Exception as problem:
+                    status, body = None, str(problem)
+                yield *asked, status, body
+                going, cursor = after(status, body)
+
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+
+    def landed(batches):
+        for rows in portions(answers(batches)):
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["endpoint", "page", "cursor", "status", "body"])
+
+    return requests.mapInArrow(landed, RESPONSE_SCHEMA)
+
+
+def plan_walks(active: DataFrame, source: ApiSource, limit: int, unknown: str) -> DataFrame:
+    """The requests of the next pages, dealt to tasks by endpoint and in the order of their pages.
+
+    `active` tells where each endpoint began (`start`) and goes on (`resume`).
+    """
+    tasks = source.parallelism or active.sparkSession.sparkContext.defaultParallelism
+    pages = expand_pages(active.repartition(tasks), 0, min(source.wave_pages, limit))
+    pages = pages.where(F.col("page") < F.col("start") + limit)
+    if source.pagination == "cursor":
+        asked = F.when(F.col("page") > F.col("resume"), unknown).otherwise(F.col("cursor"))
+        pages = pages.withColumn("cursor", asked)
+    requests = build_requests(pages, source)
+    if source.prepare is None:
+        return requests
+    return source.prepare(requests).repartition(tasks, "endpoint").sortWithinPartitions("endpoint", "page")
 
 
 LANDED_SCHEMA = f"{RESPONSE_SCHEMA}, accepted boolean, records int, next_cursor string"
@@ -205,51 +300,51 @@ def with_facts(responses: DataFrame, steps: list[dict[str, Column]]) -> DataFram
 def poll(spark: SparkSession, source: ApiSource, state: DataFrame | None = None) -> DataFrame:
     """All responses of one poll, landed; pages past the end already cut off.
 
-    Pages are requested in waves for all endpoints at once. An endpoint leaves
-    the waves at its first short or refused page, so at most `wave_pages - 1`
-    requests per endpoint go past the end. Cursor walks advance one page per
-    wave. Each wave is one job: requests, responses and what the next wave has
-    to know of them are written together, and then read by column. `state` is
-    what `next_state` gave for the poll before.
+    One job plans the requests, walks the endpoints and writes the responses with
+    what they say of the next page. An endpoint whose sequence is longer than
+    `wave_pages`, or whose answer a task could not follow, goes on in a further job, up to
+    the request limit. `state` is what `next_state` gave for the poll before.
     """
     by_cursor = source.pagination == "cursor"
     limit = 1 if source.pagination == "none" else source.max_requests
-    width = 1 if by_cursor else min(source.wave_pages, limit)
     base = with_request_columns(source.endpoints)
     if state is None:
         nothing = {"since": F.lit(None).cast("timestamp"), "cursor": F.lit(None).cast("string"), "resume": F.lit(0).cast("bigint")}
         base = base.withColumns(nothing)
     else:
         base = base.join(_progress(state), "endpoint", "left").na.fill(0, ["resume"])
-    base = active = storage.materialize(base, "endpoints")
+    base = active = storage.materialize(base.withColumn("start", F.col("resume")), "endpoints")
     twice = base.groupBy("endpoint").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"endpoint {twice['endpoint']} is listed {twice['count']} times")
-    steps = fact_steps(source)
-    land, waves = storage.scratch_dir(spark, "responses"), []
-    for first in range(0, limit, width):
-        requests = build_requests(expand_pages(active, first, min(width, limit - first)), source)
-        if source.prepare is not None:
-            requests = source.prepare(requests)
-        waves.append(f"{land}/wave={first}")
-        with_facts(send(requests, source.fetch, source.parallelism), steps).write.parquet(waves[-1])
+    steps, unknown = fact_steps(source), f"cursor-{uuid.uuid4().hex}"
+    land, waves, ends, beyond = storage.scratch_dir(spark, "responses"), [], [], False
+    over = F.col("records") < source.page_size
+    if by_cursor:
+        over |= F.col("next_cursor").isNull()
+    while True:
+        requests = plan_walks(active, source, limit, unknown)
+        waves.append(f"{land}/wave={len(waves)}")
+        with_facts(walk(requests, source, unknown), steps).write.parquet(waves[-1])
         wave = spark.read.schema(LANDED_SCHEMA).parquet(waves[-1])
-        landed = spark.read.schema(LANDED_SCHEMA).parquet(*waves)
-        full = F.col("records") >= source.page_size
-        if by_cursor:
-            going = wave.where(full & F.col("next_cursor").isNotNull())
-            going = going.select("endpoint", F.col("next_cursor").alias("cursor"))
-            active = base.drop("cursor").join(going, "endpoint")
-        else:
-            going = wave.groupBy("endpoint").agg(F.min("records").alias("records")).where(full)
-            # whoever is in this wave filled all earlier ones, so these are not read again
-            active = base.join(going.select("endpoint"), "endpoint", "left_semi")
-        if first + width >= limit or going.isEmpty():
+        seen = wave.groupBy("endpoint").agg(
+            F.min(F.when(over, F.col("page"))).alias("last_page"), F.max("page").alias("reached"), F.max_by("next_cursor", "page").alias("cursor"),
+        )
+        seen = storage.materialize(seen, "page-ends")
+        ends.append(seen.where("last_page is not null").select("endpoint", "last_page"))
+        found = seen.agg(F.max(F.col("last_page").isNull()).alias("going"), F.max(F.col("reached") > F.col("last_page")).alias("beyond")).first()
+        beyond = beyond or bool(found["beyond"])
+        if limit == 1 or not found["going"]:
+            break
+        going = seen.where("last_page is null").select("endpoint", (F.col("reached") + 1).alias("resume"), "cursor")
+        kept = base.drop("resume", "cursor") if by_cursor else base.drop("resume")
+        active = kept.join(going if by_cursor else going.drop("cursor"), "endpoint").where(F.col("resume") < F.col("start") + limit)
+        if active.isEmpty():
             break
-    if width > 1:
-        ends = storage.materialize(last_pages(landed, source.page_size), "page-ends")
+    landed = spark.read.schema(LANDED_SCHEMA).parquet(*waves)
+    if beyond and limit > 1:
         # no page past the limit was asked for, wherever the endpoints began
-        landed = keep_pages(landed, ends, _NO_LIMIT)
+        landed = keep_pages(landed, reduce(DataFrame.unionByName, ends), _NO_LIMIT)
     return _judge(landed, source)
 
 
