@@ -336,9 +336,9 @@ QUERIES = {
     "page_cutoff_limit": _cut(20),
     "offset_increment": offset_increment,
     "cursor_chain": cursor_chain,
-    "polled_pages": _polled(_page_answer, pagination="page_increment", wave_pages=16),
+    "polled_pages": _polled(_page_answer, pagination="page_increment", wave_pages=8),
     "polled_cursor": _polled(
-        _cursor_answer, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query", wave_pages=16,
+        _cursor_answer, pagination="cursor", page_token_key="after", cursor_field=["next"], cursor_location="query", wave_pages=8,
     ),
     # a poll of four requests leaves most endpoints unfinished; the later ones go on
     "polled_resume": _polled(
