@@ -274,10 +274,10 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _across(shared: DataFrame, nodes: DataFrame, hashed: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
+def _across(shared: DataFrame, nodes: DataFrame, groups: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of different components that share a tile and pass sizes and bitmaps, once for each such tile."""
-    named = hashed.join(groups, "node", "left").select("high", "node", F.coalesce("component", "node").alias("component"))
-    labelled = materialize(shared.join(materialize(named, "hash-groups"), "high").select("tile", "node", "component"), "tile-groups")
+    labelled = shared.join(groups, "node", "left").select("tile", "node", F.coalesce("component", "node").alias("component"))
+    labelled = materialize(labelled, "tile-groups")
     counted = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     still_open = counted.where("n > 3 and low < high").select("tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = materialize(labelled.join(still_open, "tile"), "open-tiles")
@@ -329,12 +329,13 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     known_texts = texts.where("doc_id is not null")
 
     tiles = known.where("size > 0").select("high", F.explode("tiles").alias("tile")).repartition(parallelism(spark), "tile").distinct()
-    ends = tiles.groupBy("tile").agg(F.min("high").alias("first"), F.max("high").alias("last")).where("first < last")
-    shared = materialize(tiles.join(ends, "tile"), "shared-tiles")
-    pairs = shared.select(F.explode(F.array(F.struct(F.col("first").alias("x"), F.col("high").alias("y")), F.struct(F.col("high").alias("x"), F.col("last").alias("y")))).alias("pair"))
-    pairs = materialize(pairs.select("pair.*").where("x < y").distinct(), "hash-pairs")
-    pairs = pairs.join(hashed.select(F.col("high").alias("x"), F.col("node").alias("m")), "x").join(hashed.select(F.col("high").alias("y"), F.col("node").alias("n")), "y")
-    pairs = materialize(pairs.select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b")).where("a < b").distinct(), "pairs")
+    several = tiles.groupBy("tile").agg(F.min("high").alias("first"), F.max("high").alias("last")).where("first < last")
+    shared = materialize(tiles.join(several.select("tile"), "tile"), "shared-hashes")
+    # most near copies are made of the smallest doc_id, so that one links more of them than any other
+    shared = materialize(shared.join(hashed, "high").select("tile", "node"), "shared-tiles")
+    ends = shared.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    pairs = shared.join(ends, "tile").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("pair"))
+    pairs = materialize(pairs.select("pair.*").where("a < b").distinct(), "pairs")
     tried = materialize(_plausible(pairs, nodes, bands), "plausible")
     links = materialize(_verified(tried, known_texts, words, bands), "links")
 
@@ -344,7 +345,7 @@ def groups(documents: DataFrame, words: int = 5, numerator: int = 80, denominato
     repeated = filled.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b")
     links = links.union(repeated)
     labels = components(links)
-    across = materialize(_across(shared.select("tile", "high"), nodes, hashed, labels, bands).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
+    across = materialize(_across(shared, nodes, labels, bands).distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     if across.head(1):
         labels = components(reduce(DataFrame.union, [links, _verified(across, known_texts, words, bands)]))
 
