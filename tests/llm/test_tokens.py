@@ -1,5 +1,6 @@
 """Token files and packing: exact round trips, and the plan against a lower bound."""
 
+import os
 import random
 import zlib
 from array import array
@@ -7,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import binary, packing, queries
 from tidemark.llm.shared import filesystem
-from tidemark.llm.tokens import Encoder
+from tidemark.llm.tokens import Encoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 AWKWARD = [(5, None), (3, ""), (9, "  two  blanks\n\nand lines \n"), (1, "a " * 9000 + "end"), (7, "tab\there"), (None, "no id"), (2, "same"), (2, "same")]
@@ -142,3 +144,36 @@ def test_named_tokens_are_those_of_the_library_as_it_is(documents):
     assert Encoder(PATH)(texts) == want
     rows = binary.write_and_read(documents(list(enumerate(texts))), PATH).orderBy("doc_id").collect()
     assert [bytes(row.ids) for row in rows] == [ids + b"\0\0\0\0" for ids in want]
+
+
+def test_a_worker_keeps_its_encoder_between_tasks(llm):
+    def ask(batches):
+        for batch in batches:
+            kept = encoder(PATH)
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([not hasattr(kept, "asked")])], ["worker", "new"])
+            kept.asked = True
+
+    asked = llm.range(0, 64, 1, 64).mapInArrow(ask, "worker long, new boolean").collect()
+    assert len(asked) == 64
+    assert sum(row.new for row in asked) <= len({row.worker for row in asked}) < 64
+
+
+def test_pieces_met_again_outlive_those_met_once(plain):
+    kept = Encoder(PATH, limit=40)
+    for start in range(0, 400, 20):
+        texts = ["the often, often " + " ".join(f"w{'x' * k}" for k in range(start, start + 20)), "z" * 5000 + " " + "z" * 5000]
+        assert kept(texts) == list(map(plain, texts))
+        assert "often," in kept.after_blank or "often," in kept.after_blank.older
+        for pieces in kept.kept:
+            assert len(pieces) <= 20 and len(pieces.older) <= 60
+            assert max(map(len, [*pieces, *pieces.older]), default=0) <= 100
+
+
+def test_plain_words_go_to_the_model_unsplit(plain):
+    kept = Encoder(PATH)
+    words = ["plain", "Größe", "ÿÀ", "don't", "end.\u4e00", "x-y_z", "a" * 300, "é" * 200, "naïve!?", "µ", "x2"]
+    text = " ".join(words) + "\n" + "\n".join(words)
+    asked = []
+    split, kept.whole = kept.whole, lambda piece: asked.append(piece) or split(piece)
+    assert kept([text]) == [plain(text)]
+    assert not {"plain", " plain", "Größe", " Größe", "a" * 300}.intersection(asked)

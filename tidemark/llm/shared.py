@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -47,3 +49,11 @@ def unique_name(prefix: str, suffix: str) -> str:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def worker_memory() -> dict:
+    """What a worker process keeps between its tasks.
+
+    This package is shipped by value, so its own globals begin anew in each task.
+    """
+    return vars(sys.modules.setdefault("_tidemark_worker", ModuleType("_tidemark_worker")))

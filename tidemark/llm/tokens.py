@@ -3,76 +3,94 @@
 A byte-level BPE splits a text into words before it merges, and no word runs
 over a blank or line end that follows something else than white space, nor from
 a letter into ASCII punctuation. So a text is cut at blanks and line ends, every
-distinct piece is encoded once by the library (many at a time, a line each), and the ids of a
-text are the joined ids of its pieces. Where white space is doubled or of another
-kind, or an added token of the tokenizer is named, the whole text is encoded at once.
+distinct piece is encoded once by the library, and the ids of a text are the joined
+ids of its pieces. A plain word needs no splitting: its letters go straight to the
+library's model. Where white space is doubled or of another kind, or an added token
+of the tokenizer is named, the whole text is encoded at once.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from struct import Struct
 
-import numpy as np
+from tidemark.llm.shared import worker_memory
 
 #: Characters besides blank and line end that some definition of white space includes.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]").search
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*").match
-_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: A word of plain letters, alone or before ASCII punctuation and whatever follows that.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~].*)?", re.DOTALL).fullmatch
+
+#: Longest piece whose ids are kept: they stay in a worker process between its tasks.
+KEPT_CHARS = 100
 
 #: The id that ends each document.
 END = b"\x00\x00\x00\x00"
 
-_loaded: dict[str, Encoder] = {}
+_UNKNOWN = object()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letters that byte-level vocabularies write for bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in plain]
+    return {byte: chr(byte) for byte in plain} | {byte: chr(256 + k) for k, byte in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 
 
 class _Pieces(dict):
-    """Ids of pieces, as little-endian unsigned 32-bit integers; new pieces wait, empty, until `learn`."""
+    """Ids of pieces behind `lead`, as little-endian unsigned 32-bit integers; None where the whole text has to be encoded.
+
+    Once half of `limit` is learned, those pieces become the older ones, which are
+    forgotten at the next time unless they are met again.
+    """
 
-    def __init__(self, encoder: Encoder, lead: str):
+    def __init__(self, encoder: Encoder, lead: str, limit: int):
         super().__init__()
-        self.encoder, self.lead, self.waiting = encoder, lead, []
+        self.encoder, self.lead, self.half, self.older = encoder, lead, limit // 2, {}
+        self.lead_letters = lead.translate(_LETTERS)
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older.get(piece, _UNKNOWN)
+        if ids is _UNKNOWN:
+            ids = self._learn(piece)
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = ids
+        return ids
 
-    def __missing__(self, piece: str) -> bytearray | None:
-        ids = self[piece] = None if not piece or _ODD_SPACE(piece) else bytearray()
-        if ids is not None:
-            self.waiting.append(piece)
+    def _learn(self, piece: str) -> bytes | None:
+        if piece.isascii() and piece.isalpha():
+            return self.encoder.letters(self.lead_letters + piece)
+        plain = _WORD(piece)
+        if plain is None:
+            return None if not piece or _ODD_SPACE(piece) else self.encoder.whole(self.lead + piece)
+        word, tail = plain.groups()
+        if tail is None:
+            return self.encoder.word(self.lead + word)
+        ids = self.encoder.tails[tail]
+        return None if ids is None else self[word] + ids
+
+    def age(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Tails(_Pieces):
+    """Ids of what follows a plain word."""
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = None if _ODD_SPACE(piece) else self.encoder.whole(piece)
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = ids
         return ids
 
-    def learn(self) -> None:
-        """Encode what waits. Plain words go together, parted by line ends."""
-        words, joined = [], []
-        for piece in self.waiting:
-            word = _WORD(piece).group()
-            tail = piece[len(word) : len(word) + 1]
-            if not word or (tail and tail not in _SIGNS):
-                self[piece] += self.encoder.whole(self.lead + piece)
-            elif tail:
-                joined.append((piece, word))
-                if word not in self:
-                    self[word] = bytearray()
-                    words.append(word)
-            else:
-                words.append(word)
-        self.waiting = []
-        if words:
-            self._learn_words(words)
-        tails = self.encoder.tails
-        for piece, word in joined:
-            tail = piece[len(word) :]
-            if tail not in tails:
-                tails[tail] = self.encoder.whole(tail)
-            self[piece] += self[word] + tails[tail]
-
-    def _learn_words(self, words: list[str]) -> None:
-        text = "".join(f"\n{self.lead}{word}" for word in words)
-        ids = np.array(self.encoder.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == np.frombuffer(self.encoder.line_end, "<u4"))
-        if len(cuts) != len(words):
-            raise ValueError("the tokenizer splits plain words in another way")
-        joined, starts = ids.tobytes(), (4 * cuts + 4).tolist()
-        for word, start, end in zip(words, starts, [*(4 * cuts[1:]).tolist(), len(joined)], strict=True):
-            self[word] += joined[start:end]
+
+#: Words that tell whether the model alone does what the whole tokenizer does with plain words.
+_PROBES = [blank + word for blank in ("", " ") for word in ("a", "Zebra", "thethe", "straßenÜber", "ÀÖØöøÿ", "é" * 9, "x" * 40)]
 
 
 class Encoder:
@@ -85,31 +103,38 @@ class Encoder:
         # the library looks for these before it splits a text
         added = sorted(re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values() if token.content)
         self.named = re.compile("|".join(added)).search if added else lambda text: None
-        self.limit = limit
-        self.bare, self.after_blank = _Pieces(self, ""), _Pieces(self, " ")
-        self.tails: dict[str, bytes] = {}
+        self.kept = self.bare, self.after_blank, self.tails = [_Pieces(self, "", limit), _Pieces(self, " ", limit), _Tails(self, "", limit)]
         self.line_end = self.whole("\n")
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pack = [Struct(f"<{n}I").pack for n in range(32)]
+        if any(self.word(probe) != self.whole(probe) for probe in _PROBES):
+            raise ValueError("the tokenizer splits plain words in another way")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, text: str) -> bytes:
+        """Ids of a plain word, with or without a blank before it, by the library's model alone."""
+        return self.letters(text.encode().decode("latin-1").translate(_LETTERS))
+
+    def letters(self, letters: str) -> bytes:
+        """Ids of one word that is written as the vocabulary writes its bytes."""
+        ids = [token.id for token in self.tokenize(letters)]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else array("I", ids).tobytes()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts (null: empty), without end ids."""
-        if len(self.bare) + len(self.after_blank) + len(self.tails) > self.limit:
-            for kept in (self.bare, self.after_blank, self.tails):
-                kept.clear()
-        pieces = [self._pieces(text) for text in texts]
-        self.bare.learn()
-        self.after_blank.learn()
         out = []
-        for text, found in zip(texts, pieces, strict=True):
+        for text in texts:
             try:
-                out.append(b"".join(found))
+                out.append(b"".join(self._pieces(text)))
             except TypeError:  # added tokens, or white space that is doubled, odd or at an end
                 out.append(self.whole(text))
+        for kept in self.kept:
+            kept.age()
         return out
 
-    def _pieces(self, text: str | None) -> list[bytes | bytearray | None]:
+    def _pieces(self, text: str | None) -> list[bytes | None]:
         if text and self.named(text):
             return [None]
         found = []
@@ -123,6 +148,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of a worker process, kept between its tasks."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    kept = worker_memory()
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
