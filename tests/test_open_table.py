@@ -103,6 +103,18 @@ def test_pruning_leaves_dead_files_unread(spark, table):
     assert leaf.metrics().apply("numFiles").value() == 2
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_no_row_has_its_path_taken_apart(spark, folder, monkeypatch, small):
+    monkeypatch.setattr(O, "_is_small", lambda _: small)
+    odd = "a b+%c ü.parquet"
+    data(spark, folder, odd, [(1, "a")])
+    commit(folder, 0, *head(), {"commitInfo": {"timestamp": 1_700_000_000_000}}, add("a%20b+%25c%20%C3%BC.parquet"))
+    for df in (O.read_snapshot(spark, folder), O.read_changes(spark, folder, [0])):
+        assert rows(df, "id", "name") == [(1, "a")]
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "url" not in plan and "file_path" in plan
+
+
 def _scan(df):
     """The scan of the data files in the plan."""
     leaves = df._jdf.queryExecution().executedPlan().collectLeaves()

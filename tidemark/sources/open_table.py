@@ -179,30 +179,38 @@ def _decoded(path: Column) -> Column:
 
 
 def _read_data(
-    spark: SparkSession, table_path: str, files: DataFrame, schema: T.StructType,
-    file_column: str | None = None, below: str = "",
+    spark: SparkSession, table_path: str, files: DataFrame, schema: T.StructType, carried: Sequence[str] = (), below: str = "",
 ) -> DataFrame:
     """Rows of the listed parquet files (column `path`), in the table's schema.
 
-    The directory `below` the table is read and its rows are joined to the list on
-    their file, for lists of every length; Spark broadcasts the list where it has
-    measured it to be small. Such a list is also put as a condition on the path,
-    which leaves other files unopened. A path that is listed twice is read once.
+    The directory `below` the table is read. The list is compared with its files once,
+    by plain paths; the rows go by the path as the scan writes it, which is the same
+    for all rows of a file, so no row has a path taken apart. A short list is a
+    condition on that path, which leaves other files unopened; to a longer one, or one with
+    columns to be `carried` to the rows, the rows are joined; Spark broadcasts it where it has
+    measured it to be small. A path that is listed twice is read once, but its rows are there
+    for each listing where columns are carried.
     """
-    wanted = files.select(_file_key(_located(F.col("path"), table_path)).alias("_file")).distinct()
-    wanted = storage.materialize(wanted, "live-files")
+    wanted = files.select(_file_key(_located(F.col("path"), table_path)).alias("_key"), *carried)
     root = f"{table_path.rstrip('/')}/{below}"
+    wanted = storage.materialize(wanted if carried else wanted.distinct(), "wanted-files")
     if wanted.isEmpty():
-        rows = spark.createDataFrame([], schema).withColumn("_file", F.lit(None).cast("string"))
-    else:
-        _check_present(spark, root, wanted)
-        rows = spark.read.option("basePath", table_path).schema(schema).parquet(root)
-        rows = rows.withColumn("_file", _file_key(_decoded(F.col("_metadata.file_path"))))
-        if _is_small(wanted):
-            rows = rows.where(F.col("_file").isin([row["_file"] for row in wanted.collect()]))
-        rows = rows.join(wanted, "_file", "left_semi")
-    columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
-    return rows.select(*columns, *([F.col("_file").alias(file_column)] if file_column else []))
+        return spark.createDataFrame([], T.StructType([*schema.fields, *(wanted.schema[name] for name in carried)]))
+    found = storage.materialize(_find(spark, root, wanted), "live-files")
+    missing = found.where("_file is null").first()
+    if missing is not None:
+        raise FileNotFoundError(f"{missing['_key']} is in the log but not below {root}")
+    rows = spark.read.option("basePath", table_path).schema(schema).parquet(root)
+    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    paths = found.select("_file").distinct()
+    short = _is_small(paths)
+    if short:
+        rows = rows.where(F.col("_file").isin([row["_file"] for row in paths.collect()]))
+    if carried:
+        rows = rows.join(found.select("_file", *carried), "_file")
+    elif not short:
+        rows = rows.join(found, "_file", "left_semi")
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema], *carried)
 
 
 #: Paths that are put as a condition on the scan, at most: they are literals on the driver.
@@ -214,13 +222,11 @@ def _is_small(table: DataFrame) -> bool:
     return table.count() <= PRUNED_PATHS
 
 
-def _check_present(spark: SparkSession, root: str, wanted: DataFrame) -> None:
-    """Refuse a snapshot of which a file is not in the directory."""
+def _find(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """The wanted files, each with its `_file` as scans write it, null if it is not in the directory."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    present = listing.select(_file_key(F.col("path")).alias("_file"))
-    missing = wanted.join(present, "_file", "left_anti").first()
-    if missing is not None:
-        raise FileNotFoundError(f"{missing['_file']} is in the log but not below {root}")
+    present = listing.select(_file_key(F.col("path")).alias("_key"), F.col("_metadata.file_path").alias("_file"))
+    return wanted.join(present, "_key", "left")
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -275,10 +281,8 @@ def read_changes(
     files = storage.materialize(files.drop("has_cdc", "data_change"), "change-files")
 
     def rows_of(kind: str, row_schema: T.StructType) -> DataFrame:
-        part = files.where(F.col("kind") == kind)
-        rows = _read_data(spark, path, part.select("path"), row_schema, "_file", CHANGE_DIR if kind == "cdc" else "")
-        stamps = part.select(_file_key(_located(F.col("path"), path)).alias("_file"), C.COMMIT_TIME)
-        return rows.join(stamps, "_file", "left").drop("_file")
+        part = files.where(F.col("kind") == kind).select("path", C.COMMIT_TIME)
+        return _read_data(spark, path, part, row_schema, [C.COMMIT_TIME], CHANGE_DIR if kind == "cdc" else "")
 
     cdc_schema = T.StructType(schema.fields + [T.StructField(C.CHANGE_TYPE, T.StringType(), True)])
     order = [*schema.names, C.CHANGE_TYPE, C.COMMIT_TIME]
