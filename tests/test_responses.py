@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F, types as T
@@ -382,3 +383,14 @@ def test_large_bodies_are_handed_on_by_size():
     assert [row[1] for row in next(parts)] == [0, 1] and asked == [0, 1]
     assert [[row[1] for row in part] for part in parts] == [[2, 3], [4]]
     assert list(P.portions([])) == []
+
+
+def test_request_rows_are_read_by_column():
+    params = [None, {}, {"page": "1", "page_size": "5"}, {"after": None}] * 100
+    rows = [(f"e{k}", k, None if k % 3 else "c", params[k], None if k % 5 else "{}") for k in range(400)]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+    columns = [pa.array([list(x.items()) if isinstance(x, dict) else x for x in column], kind) for column, kind in zip(zip(*rows), kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, list(P.REQUEST))
+    for start, count in ((0, 400), (3, 300), (399, 1), (5, 0)):
+        for at_once in (1, 7, 256):
+            assert list(P.request_rows(batch.slice(start, count), at_once)) == rows[start : start + count]

@@ -113,11 +113,19 @@ def build_requests(pages: DataFrame, source: ApiSource) -> DataFrame:
     `page` counts from 0 at the source's configured start; `since` is the
     endpoint's bookmark, null before its first poll.
     """
-    requests = pages
-    if not source.one_request:
-        since = F.coalesce(F.col("since"), bookmark_literal(source.bookmark))
-        stamp = bookmark_text(since, source.bookmark_format)
-        requests = place(requests, source.bookmark_key, stamp, source.bookmark_location)
+    return with_page(with_bookmark(pages, source), source)
+
+
+def with_bookmark(requests: DataFrame, source: ApiSource) -> DataFrame:
+    """The bookmark put in place; it is the same for all pages of an endpoint."""
+    if source.one_request:
+        return requests
+    since = F.coalesce(F.col("since"), bookmark_literal(source.bookmark))
+    return place(requests, source.bookmark_key, bookmark_text(since, source.bookmark_format), source.bookmark_location)
+
+
+def with_page(requests: DataFrame, source: ApiSource) -> DataFrame:
+    """Finished requests of endpoints that have their bookmark in place."""
     in_query = source.pagination != "cursor" or not is_body(source.cursor_location)
     if source.pagination != "none" and in_query:
         requests = place(requests, source.page_size_key, F.lit(str(source.page_size)), "query")
@@ -201,6 +209,32 @@ def next_request(source: ApiSource) -> Callable[[int | None, str | None], tuple[
     return after
 
 
+REQUEST = ("endpoint", "page", "cursor", "params", "body")
+
+
+def request_rows(batch: pa.RecordBatch, count: int = 256) -> Iterator[tuple]:
+    """The rows of a request table, read by column, `count` at a time."""
+    for start in range(0, batch.num_rows, count):
+        some = batch.slice(start, count)
+        endpoint, cursor, body = (_texts(some.column(name)) for name in ("endpoint", "cursor", "body"))
+        yield from zip(endpoint, some.column("page").to_pylist(), cursor, _dicts(some.column("params")), body, strict=True)
+
+
+def _texts(column: pa.Array) -> list[str | None]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _dicts(maps: pa.MapArray) -> list[dict | None]:
+    """Maps as dicts; the keys and the values of all are read at once, not map by map."""
+    at = maps.offsets.to_numpy().tolist()
+    first, there = at[0], maps.is_valid().to_numpy(zero_copy_only=False).tolist()
+    keys, values = (_texts(part.slice(first, at[-1] - first)) for part in (maps.keys, maps.items))
+    return [
+        dict(zip(keys[start - first : end - first], values[start - first : end - first], strict=True)) if valid else None
+        for valid, start, end in zip(there, at, at[1:])
+    ]
+
+
 def walk(requests: DataFrame, source: ApiSource, unknown: str) -> DataFrame:
     """The response table of request rows that lie together by endpoint, in the order of their pages.
 
@@ -213,10 +247,8 @@ def walk(requests: DataFrame, source: ApiSource, unknown: str) -> DataFrame:
     fetch, after = source.fetch, next_request(source)
     quoted = json.dumps(unknown)
 
-    def request_of(batch: pa.RecordBatch, row: int, cursor: str | None) -> dict:
-        request = {name: batch.column(name)[row].as_py() for name in ("endpoint", "page", "cursor", "params", "body")}
-        if request["params"] is not None:
-            request["params"] = dict(request["params"])
+    def request_of(row: tuple, cursor: str | None) -> dict:
+        request = dict(zip(REQUEST, row, strict=True))
         if request["cursor"] == unknown:
             request["cursor"] = cursor
             if request["params"] is not None:
@@ -228,12 +260,12 @@ def walk(requests: DataFrame, source: ApiSource, unknown: str) -> DataFrame:
     def answers(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         here, going, cursor = _MISSING, False, None
         for batch in batches:
-            for row, endpoint in enumerate(batch.column("endpoint").to_pylist()):
-                if endpoint != here:
-                    here, going, cursor = endpoint, True, None
+            for row in request_rows(batch):
+                if row[0] != here:
+                    here, going, cursor = row[0], True, None
                 if not going:
                     continue
-                request = request_of(batch, row, cursor)
+                request = request_of(row, cursor)
                 asked = request["endpoint"], request["page"], request["cursor"]
                 try:
                     status, body = fetch(request)
@@ -258,12 +290,12 @@ def plan_walks(active: DataFrame, source: ApiSource, limit: int, unknown: str) -
     `active` tells where each endpoint began (`start`) and goes on (`resume`).
     """
     tasks = source.parallelism or active.sparkSession.sparkContext.defaultParallelism
-    pages = expand_pages(active.repartition(tasks), 0, min(source.wave_pages, limit))
+    pages = expand_pages(with_bookmark(active.repartition(tasks), source), 0, min(source.wave_pages, limit))
     pages = pages.where(F.col("page") < F.col("start") + limit)
     if source.pagination == "cursor":
         asked = F.when(F.col("page") > F.col("resume"), unknown).otherwise(F.col("cursor"))
         pages = pages.withColumn("cursor", asked)
-    requests = build_requests(pages, source)
+    requests = with_page(pages, source)
     if source.prepare is None:
         return requests
     return source.prepare(requests).repartition(tasks, "endpoint").sortWithinPartitions("endpoint", "page")
