@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import queries, rules, runs, spelling
+from tidemark.llm import queries, rules, runs, shared, spelling
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -269,6 +269,19 @@ def test_variants_of_awkward_rows(documents, monkeypatch):
     assert query_variants(documents([]), monkeypatch) == query_variants(documents([(1, "few short words")]), monkeypatch) == []
 
 
+def test_variants_of_a_batch_read_in_slices(documents, monkeypatch):
+    some = ["Harbours ÀÉÎÕÜßÿ", "harbours 1" * 9, "harbourz ÀÉÎÕÜßÿ é", "", "Éclairées HARBOURZ"]
+    # beyond the bytes of a slice, so that the last rows are in another one
+    rows = [(n, text) for n, text in enumerate([*some, *some, "é" + " " * (9 << 20) + "Kitchens", "Kitchens é", *some])]
+    assert query_variants(documents(rows).coalesce(1), monkeypatch) == expected_variants(rows)
+
+
+def test_variants_of_small_slices(documents, monkeypatch):
+    monkeypatch.setattr(spelling, "slices", lambda batch: shared.slices(batch, 100))
+    rows = [*made_documents(random.Random(10)), (None, None), (None, "Kitchens")]
+    assert query_variants(documents(rows), monkeypatch) == expected_variants(rows)
+
+
 def test_variants_of_the_given_documents(llm, given, sf):
     got = by_key(queries.op13_spelling_variants(llm, sf).collect())
     assert got == expected_variants(given("SELECT doc_id, text FROM documents"))

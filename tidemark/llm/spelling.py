@@ -40,7 +40,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,13 +99,13 @@ def count_words(documents: DataFrame, min_chars: int = MIN_CHARS, variant: Varia
         counts: Counter = Counter()
         for batch in batches:
             for some in slices(batch):
-                texts = pc.ascii_lower(some["text"].cast(pa.large_string())).to_pylist()
-                for doc_id, text in zip(some["doc_id"].to_pylist(), texts, strict=True):
+                for doc_id, text in zip(some["doc_id"].to_pylist(), some["text"].to_pylist(), strict=True):
                     if not text:
                         continue
                     key = None if doc_id is None else str(doc_id).encode()
                     for word, n in Counter(pattern.findall(text)).items():
-                        word = word.encode()
+                        # of bytes only A-Z are lower-cased; Arrow's ascii_lower shifts a cast slice
+                        word = word.encode().lower()
                         counts[variant(key, word) if variant else word] += n
                 if len(counts) > COUNTED_WORDS:
                     yield rows(counts)
